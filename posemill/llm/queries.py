@@ -2,17 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from posemill.functions.keys import base_of
+from posemill.functions.keys import base_of, clean_name, clean_protein
+from posemill.llm.components import linked_groups
 from posemill.llm.cutoffs import keep_fraction_cutoffs, kept_records
+from posemill.llm.percentiles import log_sketch, merge_sketches, sketch_percentiles
 from posemill.llm.screening import current_poses, keep_targets, scored_records
+from posemill.llm.splits import assign_splits
 from posemill.llm.topn import top_n_per_group
 from posemill.runtime import Scratch, table
 
 BY_SET = ["record_set", "protein"]
 TOP = 5
+SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
+PERCENTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+ERROR = 0.01
+
+
+def _daily_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "features_df").select(
+        clean_protein("protein").alias("protein"), F.to_date("loaded_at").alias("day"), "nofusion_Eint"
+    )
+    return log_sketch(rows.where("protein is not null"), ["protein", "day"], "nofusion_Eint", ERROR)
+
+
+def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Per protein and day, and per protein (day null) merged from the days' sketches."""
+    days = Scratch(spark, "sketch").cut(_daily_sketch(spark, folder))
+    merged = merge_sketches(days, ["protein"]).withColumn("day", F.lit(None).cast("date"))
+    out = sketch_percentiles(days.unionByName(merged), ["protein", "day"], PERCENTILES, ERROR)
+    return out.select("protein", "day", "n_values", "share", F.round("estimate", 4).alias("estimate"))
+
+
+def _names(spark: SparkSession, folder: str) -> DataFrame:
+    name = F.coalesce(clean_name("basemolname"), base_of(clean_name("structvar")))
+    return table(spark, folder, "features_df").select("feature_id", name.alias("name"), "is_active")
+
+
+def _groups(spark: SparkSession, folder: str, names: DataFrame) -> DataFrame:
+    links = table(spark, folder, "mol_links").select(clean_name("name_a").alias("a"), clean_name("name_b").alias("b"))
+    return linked_groups(names, "name", links, "a", "b")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    names = _names(spark, folder)
+    groups = _groups(spark, folder, names).where("n_records >= 2").drop("n_records")
+    return names.join(groups, "name").select("feature_id", "group_name")
+
+
+def p3_splits(spark: SparkSession, folder: str) -> DataFrame:
+    names = _names(spark, folder)
+    grouped = names.join(_groups(spark, folder, names).select("name", "group_name"), "name", "left")
+    grouped = Scratch(spark, "grouped").cut(grouped.select("feature_id", "group_name", "is_active"))
+    return grouped.join(assign_splits(grouped, "feature_id", "group_name", "is_active", SHARES), "feature_id")
+
+
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Records, groups and positive share of every split."""
+    rows = p3_splits(spark, folder)
+    n = F.sum(F.count("*")).over(Window.partitionBy())
+    return rows.groupBy("split").agg(
+        F.count("*").alias("n_records"), F.round(F.count("*") / n, 6).alias("share"), F.round(F.avg("is_active"), 6).alias("active_share")
+    )
 
 
 def _cutoffs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -43,8 +96,12 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "p1_percentiles": p1_percentiles,
         "p2_found": p2_found,
         "p2_cutoffs": p2_cutoffs,
+        "p3_found": p3_found,
+        "p3_splits": p3_splits,
+        "p3_report": p3_report,
         "p6_found": p6_found,
     }
 
