@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from posemill.functions.keys import base_of, clean_name, clean_protein
 from posemill.llm.components import linked_groups
 from posemill.llm.cutoffs import keep_fraction_cutoffs, kept_records
+from posemill.llm.neighbours import copies_of, neighbour_graph, neighbour_list, similar_pairs
 from posemill.llm.percentiles import log_sketch, merge_sketches, sketch_percentiles
 from posemill.llm.screening import current_poses, keep_targets, scored_records
 from posemill.llm.splits import assign_splits
@@ -19,6 +20,7 @@ TOP = 5
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 PERCENTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 ERROR = 0.01
+VECTOR = [f"plec_ump{i}" for i in range(1, 41)]
 
 
 def _daily_sketch(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,6 +84,27 @@ def p2_cutoffs(spark: SparkSession, folder: str) -> DataFrame:
     return _cutoffs(spark, folder)[1].select("record_set", "protein", "n_records", "keep_permille", "cutoff", "n_kept")
 
 
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "features_df").select("feature_id", clean_name("structvar").alias("variant"), *VECTOR)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _vectors(spark, folder)
+    graph = neighbour_graph(rows, "feature_id", "variant", VECTOR)
+    pairs = similar_pairs(rows, "feature_id", "variant", VECTOR, graph, 12, 0.99)
+    return pairs.select(F.col("id_a").alias("feature_id_a"), F.col("id_b").alias("feature_id_b"))
+
+
+def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest rows of other variants for one row of each class of exact copies; p5_copies has the classes."""
+    graph = neighbour_graph(_vectors(spark, folder), "feature_id", "variant", VECTOR)
+    return neighbour_list(graph, 10).withColumnsRenamed({"id": "feature_id", "neighbour": "neighbour_id"})
+
+
+def p5_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return copies_of(_vectors(spark, folder), "feature_id", "variant", VECTOR)
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     poses = current_poses(table(spark, folder, "scores_df")).select("structvar", "frame", "pose", "score")
     variants = Scratch(spark, "variants").cut(top_n_per_group(poses, ["structvar"], "score", ["pose", "frame"], TOP))
@@ -102,6 +125,9 @@ def queries() -> dict:
         "p3_found": p3_found,
         "p3_splits": p3_splits,
         "p3_report": p3_report,
+        "p5_found": p5_found,
+        "p5_neighbours": p5_neighbours,
+        "p5_copies": p5_copies,
         "p6_found": p6_found,
     }
 
