@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from posemill.functions.keys import base_of, clean_name, clean_protein
 from posemill.llm.components import linked_groups
 from posemill.llm.cutoffs import keep_fraction_cutoffs, kept_records
+from posemill.llm.mixing import mix_sources, mixture_report
 from posemill.llm.neighbours import copies_of, neighbour_graph, neighbour_list, similar_pairs
 from posemill.llm.percentiles import log_sketch, merge_sketches, sketch_percentiles
 from posemill.llm.screening import current_poses, keep_targets, scored_records
 from posemill.llm.splits import assign_splits
+from posemill.llm.stuffing import list_pages
 from posemill.llm.topn import top_n_per_group
 from posemill.runtime import Scratch, table
 
@@ -91,7 +93,7 @@ def _vectors(spark: SparkSession, folder: str) -> DataFrame:
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = _vectors(spark, folder)
     graph = neighbour_graph(rows, "feature_id", "variant", VECTOR)
-    pairs = similar_pairs(rows, "feature_id", "variant", VECTOR, graph, 12, 0.99)
+    pairs = similar_pairs(rows, "feature_id", "variant", VECTOR, graph, 11, 0.99)
     return pairs.select(F.col("id_a").alias("feature_id_a"), F.col("id_b").alias("feature_id_b"))
 
 
@@ -117,6 +119,28 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, folder, "documents").select("doc_id", "text", clean_name("source").alias("source"))
+    targets = table(spark, folder, "mix_targets").select(clean_name("source").alias("source"), "target_permille", "max_repeats")
+    return mix_sources(documents, targets, "doc_id", "text", "source", "target_permille", "max_repeats")
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder)[0]
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture_report(*_mixture(spark, folder))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return list_pages(table(spark, folder, "documents"), "doc_id", "text").where("share > 0.5").select("doc_id")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return list_pages(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def queries() -> dict:
     return {
         "p1_percentiles": p1_percentiles,
@@ -129,6 +153,10 @@ def queries() -> dict:
         "p5_neighbours": p5_neighbours,
         "p5_copies": p5_copies,
         "p6_found": p6_found,
+        "p8_mixture": p8_mixture,
+        "p8_report": p8_report,
+        "p9_found": p9_found,
+        "p9_shares": p9_shares,
     }
 
 
