@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ _NONE = np.float32(-2)
 
 def _packed(rows: np.ndarray) -> pa.Array:
     """A two-dimensional array as one binary value per row."""
-    n, width = len(rows), rows[0].nbytes if len(rows) else 0
+    n, width = len(rows), rows.shape[1] * rows.itemsize
     offsets = np.arange(n + 1, dtype=np.int32) * width
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
@@ -208,31 +209,43 @@ def _home_forest(k: int, trees: int, leaf: int) -> Callable[[pa.Table, pa.Table]
     return run
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spread(t: pa.Table, edges: np.ndarray) -> pa.Table:
     """Each row to its home block with all its edges, and to every block it has neighbours in with the edges into it."""
+    home = _longs(t["home"])
+    away = np.where(edges["part"] == home[:, None], -1, edges["part"])
+    away.sort(1)
+    new = away >= 0
+    new[:, 1:] &= away[:, 1:] != away[:, :-1]
+    row, col = np.nonzero(new)
+    target = away[row, col]
+    sent = edges[row]
+    outside = sent["part"] != target[:, None]
+    sent["id"][outside], sent["sim"][outside] = -1, 0
+    weakest = np.where(edges["id"] < 0, _NONE, edges["sim"].astype(np.float32)).min(1)
+    rows = np.concatenate([np.arange(len(home)), row])
+    both = np.concatenate([edges, sent])
+    take = pa.array(rows)
+    return pa.table(
+        [
+            pa.array(np.concatenate([home, target]).astype(np.int32)), *[t[c].combine_chunks().take(take) for c in ("home", "id", "grp", "vec")],
+            _packed(np.ascontiguousarray(both["id"])), _packed(np.ascontiguousarray(both["sim"])), pa.array(weakest[rows]),
+        ],
+        names=["block", "home", "id", "grp", "vec", "ids", "sims", "weakest"],
+    )
+
+
+def _spread_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = pa.Table.from_batches([batch])
-        home, edges = _longs(t["home"]), _unpacked(t["edges"], _EDGE)
-        away = np.where(edges["part"] == home[:, None], -1, edges["part"])
-        away.sort(1)
-        new = away >= 0
-        new[:, 1:] &= away[:, 1:] != away[:, :-1]
-        row, col = np.nonzero(new)
-        target = away[row, col]
-        sent = edges[row]
-        sent["id"] = np.where(sent["part"] == target[:, None], sent["id"], -1)
-        weakest = np.where(edges["id"] < 0, _NONE, edges["sim"].astype(np.float32)).min(1)
-        rows = np.concatenate([np.arange(len(home)), row])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([home, target]).astype(np.int32)), t["home"].combine_chunks().take(pa.array(rows)), t["id"].combine_chunks().take(pa.array(rows)),
-                t["grp"].combine_chunks().take(pa.array(rows)), t["vec"].combine_chunks().take(pa.array(rows)),
-                _packed(np.concatenate([edges, sent])), pa.array(weakest[rows]),
-            ],
-            names=["block", "home", "id", "grp", "vec", "edges", "weakest"],
-        )
+        if batch.num_rows:
+            t = pa.Table.from_batches([batch])
+            yield from _spread(t, _unpacked(t["edges"], _EDGE)).to_batches()
+
+
+def _spread_again(t: pa.Table, later: pa.Table) -> pa.Table:
+    """As _spread_first, with the edges of a later round beside the first table's vectors."""
+    edges = _unpacked(later["edges"], _EDGE)
+    order = np.argsort(_longs(later["id"]))
+    return _spread(t, edges[order[np.searchsorted(_longs(later["id"]), _longs(t["id"]), sorter=order)]])
 
 
 def _local_join(k: int, members: int) -> Callable[[pa.Table], pa.Table]:
@@ -244,13 +257,14 @@ def _local_join(k: int, members: int) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
         block = int(t["block"][0].as_py())
         ids, groups, home = _longs(t["id"]), _longs(t["grp"]), _longs(t["home"])
-        x, edges, weakest = _unpacked(t["vec"], np.float16).astype(np.float32), _unpacked(t["edges"], _EDGE), _longs(t["weakest"])
+        x, weakest = _unpacked(t["vec"], np.float16).astype(np.float32), _longs(t["weakest"])
+        near, sims = _unpacked(t["ids"], np.int64), _unpacked(t["sims"], np.float16)
         order = np.argsort(ids)
-        spot = np.searchsorted(ids, edges["id"].ravel(), sorter=order)
+        spot = np.searchsorted(ids, near.ravel(), sorter=order)
         spot = order[np.minimum(spot, len(ids) - 1)]
-        known = (ids[spot] == edges["id"].ravel()) & (edges["id"].ravel() >= 0)
-        src = np.repeat(np.arange(len(ids)), edges.shape[1])[known]
-        dst, sim = spot[known], edges["sim"].ravel()[known]
+        known = (ids[spot] == near.ravel()) & (near.ravel() >= 0)
+        src = np.repeat(np.arange(len(ids)), near.shape[1])[known]
+        dst, sim = spot[known], sims.ravel()[known]
         pairs = np.unique(src * len(ids) + dst)
         pivot, other, s = np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([sim, sim])
         mine = home[pivot] == block
@@ -307,7 +321,7 @@ def _take_in(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(t: pa.Table, found: pa.Table) -> pa.Table:
         ids, own = _longs(t["id"]), _unpacked(t["edges"], _EDGE)
         edges, fresh = _with_incoming(ids, own, _longs(found["id"]) if len(found) else np.zeros(0, np.int64), _unpacked(found["edges"], _EDGE), k)
-        return _graph_table(int(t["home"][0].as_py()), ids, _longs(t["grp"]), _unpacked(t["vec"], np.float16), edges, fresh)
+        return pa.table([t["home"], pa.array(ids), _packed(edges), pa.array(fresh)], names=["home", "id", "edges", "fresh"])
 
     return run
 
@@ -333,6 +347,16 @@ def _listed(k: int, at_least: float) -> Callable[[Iterator[pa.RecordBatch]], Ite
 
 _GRAPH = "home int, id long, grp long, vec binary, edges binary, fresh int"
 _FOUND = "home int, id long, edges binary"
+_EDGES = "home int, id long, edges binary, fresh int"
+_SPREAD = "block int, home int, id long, grp long, vec binary, ids binary, sims binary, weakest float"
+
+
+@dataclass(frozen=True)
+class NeighbourGraph:
+    """vectors: home, id, grp, vec (unit vector in half precision); edges: id, edges (k records of id, block, cosine)."""
+
+    vectors: DataFrame
+    edges: DataFrame
 
 
 def _fit_tree(x: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -359,9 +383,9 @@ def _source(rows: DataFrame, record_id: str, group: str, vector: list[str]) -> D
 
 
 def neighbour_graph(
-    rows: DataFrame, record_id: str, group: str, vector: list[str], k: int = 12, block_rows: int = 12_000, sample: int = 20_000,
-    trees: int = 4, leaf: int = 1024, members: int = 20, rounds: int = 2, settled: float = 0.05, seed: int = 7,
-) -> DataFrame:
+    rows: DataFrame, record_id: str, group: str, vector: list[str], k: int = 11, block_rows: int = 25_000, sample: int = 20_000,
+    trees: int = 7, leaf: int = 1024, members: int = 20, rounds: int = 4, settled: float = 0.1, seed: int = 7,
+) -> NeighbourGraph:
     """k nearest neighbours by cosine, of another group, of every distinct vector.
 
     Start: two random projection trees, fitted on at most ``sample`` sampled vectors, cut the collection into blocks of about
@@ -397,21 +421,26 @@ def neighbour_graph(
     else:
         found = spark.createDataFrame([], _FOUND)
     start = source.mapInArrow(_router(forest, 0), routed).groupBy("home").cogroup(found.groupBy("home"))
-    graph = scratch.cut(start.applyInArrow(_home_forest(k, trees if depth else 2 * trees, leaf), _GRAPH))
-    for _ in range(rounds):
-        spread = graph.drop("fresh").mapInArrow(_spread, "block int, home int, id long, grp long, vec binary, edges binary, weakest float")
+    vectors = scratch.cut(start.applyInArrow(_home_forest(k, trees if depth else 2 * trees, leaf), _GRAPH))
+    edges = vectors
+    for i in range(rounds):
+        if i:
+            spread = vectors.drop("edges", "fresh").groupBy("home").cogroup(edges.select("home", "id", "edges").groupBy("home")).applyInArrow(_spread_again, _SPREAD)
+        else:
+            spread = vectors.drop("fresh").mapInArrow(_spread_first, _SPREAD)
         candidates = spread.groupBy("block").applyInArrow(_local_join(k, members), _FOUND)
-        last, graph = graph, scratch.cut(graph.groupBy("home").cogroup(candidates.groupBy("home")).applyInArrow(_take_in(k), _GRAPH))
-        scratch.drop(last)
-        moved, total = graph.agg(F.sum("fresh"), F.count("*")).first()
+        last, edges = edges, scratch.cut(edges.select("home", "id", "edges").groupBy("home").cogroup(candidates.groupBy("home")).applyInArrow(_take_in(k), _EDGES))
+        if i:
+            scratch.drop(last)
+        moved, total = edges.agg(F.sum("fresh"), F.count("*")).first()
         if not total or moved < settled * k * total:
             break
-    return graph
+    return NeighbourGraph(vectors.select("home", "id", "grp", "vec"), edges.select("id", "edges"))
 
 
-def neighbour_list(graph: DataFrame, k: int, at_least: float = -1.0) -> DataFrame:
+def neighbour_list(graph: NeighbourGraph, k: int, at_least: float = -1.0) -> DataFrame:
     """id, rank, neighbour, similarity (to about 0.0005, vectors being kept in half precision)."""
-    return graph.select("id", "edges").mapInArrow(_listed(k, at_least), "id long, rank int, neighbour long, similarity float")
+    return graph.edges.select("id", "edges").mapInArrow(_listed(k, at_least), "id long, rank int, neighbour long, similarity float")
 
 
 def copies_of(rows: DataFrame, record_id: str, group: str, vector: list[str]) -> DataFrame:
@@ -421,10 +450,11 @@ def copies_of(rows: DataFrame, record_id: str, group: str, vector: list[str]) ->
     )
     key = ["g", "h1", "h2"]
     classes = keyed.groupBy(*key).agg(F.min("member").alias("representative"), F.count("*").alias("n")).where("n > 1")
+    classes = Scratch(rows.sparkSession, "copies").cut(classes)
     return keyed.join(classes, key).select("representative", "member")
 
 
-def similar_pairs(rows: DataFrame, record_id: str, group: str, vector: list[str], graph: DataFrame, k: int, at_least: float) -> DataFrame:
+def similar_pairs(rows: DataFrame, record_id: str, group: str, vector: list[str], graph: NeighbourGraph, k: int, at_least: float) -> DataFrame:
     """Pairs (id_a < id_b) of rows of different groups with a cosine of at least ``at_least``, from the graph.
 
     Candidates within the rounding of half precision are computed again from the stored vectors in double precision;
