@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from posemill.functions.keys import base_of, clean_name, clean_protein
 from posemill.llm.components import linked_groups
 from posemill.llm.cutoffs import keep_fraction_cutoffs, kept_records
+from posemill.llm.leaks import leaked_items
 from posemill.llm.mixing import mix_sources, mixture_report
 from posemill.llm.neighbours import copies_of, neighbour_graph, neighbour_list, similar_pairs
 from posemill.llm.percentiles import log_sketch, merge_sketches, sketch_percentiles
@@ -119,6 +120,14 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_leaks(spark, folder).where("edits = 0").select("doc_id", "item_id")
+
+
 def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     documents = table(spark, folder, "documents").select("doc_id", "text", clean_name("source").alias("source"))
     targets = table(spark, folder, "mix_targets").select(clean_name("source").alias("source"), "target_permille", "max_repeats")
@@ -153,6 +162,8 @@ def queries() -> dict:
         "p5_neighbours": p5_neighbours,
         "p5_copies": p5_copies,
         "p6_found": p6_found,
+        "p7_found": p7_found,
+        "p7_leaks": p7_leaks,
         "p8_mixture": p8_mixture,
         "p8_report": p8_report,
         "p9_found": p9_found,
