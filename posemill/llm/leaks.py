@@ -94,21 +94,34 @@ def build_index(items: list[tuple[object, str | None]], words: int, edits: int)
     )
 
 
-def _aligned(window: np.ndarray, data: np.ndarray, start: int, low: int, high: int) -> int:
-    """Edits between a window that starts at ``start`` of its item and its best place in data on diagonals low..high."""
-    diagonals = np.arange(low, high + 1)
-    cost = np.zeros(len(diagonals), np.int32)
-    slope = np.arange(len(diagonals), dtype=np.int32)
-    big = np.int32(1 << 20)
-    for i, byte in enumerate(window):
-        j = diagonals + start + i
-        inside = (j >= 0) & (j < len(data))
-        miss = np.where(inside, data[np.clip(j, 0, len(data) - 1)] != byte, True)
-        stay = np.where(inside, cost + miss, big)
-        skip = np.append(cost[1:] + 1, big)
-        step = np.minimum(stay, skip)
-        cost = np.minimum(np.minimum.accumulate(step - slope) + slope, big)
-    return int(cost.min())
+def _aligned(windows: list[np.ndarray], starts: np.ndarray, data: np.ndarray, begin: np.ndarray, length: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
+    """Edits between every window, at ``starts`` of its item, and its best place in its text on ``width`` diagonals from low.
+
+    One banded dynamic programme for all windows at once: a row of costs per window, a column per diagonal.
+    """
+    sizes = np.array([len(w) for w in windows])
+    order = np.argsort(-sizes, kind="stable")
+    padded = np.zeros((len(windows), int(sizes.max())), np.uint8)
+    for row, i in enumerate(order):
+        padded[row, : sizes[i]] = windows[i]
+    sizes, starts, begin, length, low = sizes[order], starts[order], begin[order], length[order], low[order]
+    slope = np.arange(width, dtype=np.int16)
+    cost = np.zeros((len(windows), width), np.int16)
+    j = (low + starts)[:, None] + slope
+    alive = len(windows)
+    for i in range(padded.shape[1]):
+        alive = int(np.searchsorted(-sizes, -i, side="left"))  # windows longer than i
+        at = j[:alive] + i
+        inside = (at >= 0) & (at < length[:alive, None])
+        miss = data[begin[:alive, None] + np.where(inside, at, 0)] != padded[:alive, i : i + 1]
+        step = cost[:alive] + (miss | ~inside)
+        np.minimum(step[:, :-1], cost[:alive, 1:] + np.int16(1), out=step[:, :-1])
+        step -= slope
+        np.minimum.accumulate(step, axis=1, out=step)
+        cost[:alive] = step + slope
+    out = np.empty(len(windows), np.int64)
+    out[order] = cost.min(1)
+    return out
 
 
 def find_leaks(index: ItemIndex, texts: list[str | None]) -> list[tuple[int, int, int]]:
@@ -155,22 +168,28 @@ def find_leaks(index: ItemIndex, texts: list[str | None]) -> list[tuple[int, int
         shared = seen[e - Q + 1] - seen[s]
         for w in np.flatnonzero(shared >= index.need[i]).tolist():
             tries.setdefault((int(text[b]), i), []).append((int(e[w] - s[w] - Q + 1 - shared[w]), w, int(band[b])))
-    out = []
-    for (t, i), windows in tries.items():
-        doc, own = np.frombuffer(plain[t], np.uint8), index.texts[i]
-        best = None
-        for missing, w, k in sorted(windows):
-            if best is not None and missing >= Q * best:
-                break  # every edit costs at most Q q-grams: no better window is left
-            s, e = int(index.starts[i][w]), int(index.ends[i][w])
-            got = _aligned(own[s:e], doc, s, k * BAND - index.edits, (k + 2) * BAND + index.edits)
-            if got <= min(index.edits, max(0, (e - s - Q) // Q)) and (best is None or got < best):
-                best = got
-            if best is not None and best <= 1 and missing:
-                break
-        if best is not None:
-            out.append((t, i, best))
-    return out
+    best: dict[tuple[int, int], int] = {}
+    for windows in tries.values():
+        windows.sort()
+    turn, open_ = 0, list(tries)
+    while open_:
+        # a pair's windows by missing q-grams: one, then the next eight, then 64 at a time, until one is within its budget
+        few = 1 if turn == 0 else 8 if turn == 1 else 64
+        work = [(pair, *w) for pair in open_ for w in tries[pair][turn : turn + few]]
+        for lo in range(0, len(work), 2048):
+            part = work[lo : lo + 2048]
+            t, i = np.array([p[0][0] for p in part]), [p[0][1] for p in part]
+            s = np.array([index.starts[x][p[2]] for x, p in zip(i, part, strict=True)])
+            e = np.array([index.ends[x][p[2]] for x, p in zip(i, part, strict=True)])
+            own = [index.texts[x][y:z] for x, y, z in zip(i, s, e, strict=True)]
+            low = np.array([p[3] for p in part]) * BAND - index.edits
+            got = _aligned(own, s, data, begins[t], lengths[t] - 1, low, 2 * BAND + 2 * index.edits + 1)
+            for k in np.flatnonzero(got <= np.minimum(index.edits, np.maximum(0, (e - s - Q) // Q))).tolist():
+                pair = part[k][0]
+                best[pair] = min(int(got[k]), best.get(pair, 1 << 20))
+        turn += few
+        open_ = [p for p in open_ if len(tries[p]) > turn and (p not in best or best[p] and not tries[p][turn][0])]
+    return [(t, i, n) for (t, i), n in best.items()]
 
 
 def _scan(held) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:  # noqa: ANN001
