@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from posemill.plans import parsing
+
 
 def queries() -> dict:
-    return {}
+    return dict(parsing.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
