@@ -55,7 +55,7 @@ def read_fingerprint_lines(lines: DataFrame, line_id: str, raw: str, counts: int
         rows.withColumn("_first", first)
         .withColumn("name", name)
         .withColumn("width", F.length(bare) - F.length(F.replace(bare, F.lit(","))) + 1)
-        .withColumn("p", F.when(paired, parsed))
+        .withColumn("p", F.explode(F.array(F.when(paired, parsed))))  # a row of its own, so a line is parsed only once
     )
     strict = F.forall(values, lambda v: v.rlike(_COUNT))
     typed = F.array(*[F.col(f"p.c{i}") for i in range(counts)])
@@ -94,9 +94,10 @@ def parse_mol2(records: DataFrame, record_id: str, raw: str) -> DataFrame:
     ``#`` are skipped inside the blocks; other sections are passed over. A null record misses its sections.
     """
     lines = F.transform(F.split(F.coalesce(F.col(raw), F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"\r$", ""))
-    rows = records.select(F.col(record_id).alias("id"), F.col(raw).alias("raw"), lines.alias("lines"))
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  # keeps a derived column from being computed at every use
+    rows = records.select(F.col(record_id).alias("id"), F.col(raw).alias("raw"), once(lines).alias("lines"))
     heads = F.transform("lines", lambda x: F.when(x.rlike(r"^\s*@<TRIPOS>"), F.upper(F.regexp_extract(x, r"^\s*@<TRIPOS>(\S*)", 1))))
-    rows = rows.withColumn("heads", heads)
+    rows = rows.withColumn("heads", once(heads))
 
     def start(section: str) -> Column:
         return F.array_position("heads", F.lit(section)).cast("int")
@@ -114,8 +115,8 @@ def parse_mol2(records: DataFrame, record_id: str, raw: str) -> DataFrame:
 
     for s in ("MOLECULE", "ATOM", "BOND"):
         rows = rows.withColumn(f"at_{s}", start(s))
-    for s in ("ATOM", "BOND"):
-        rows = rows.withColumn(s, block(s))
+    rows = rows.withColumn("blocks", once(F.struct(*[block(s).alias(s) for s in ("ATOM", "BOND")])))
+    rows = rows.withColumn("ATOM", F.col("blocks.ATOM")).withColumn("BOND", F.col("blocks.BOND"))
     name = F.regexp_replace(F.coalesce(F.get("lines", F.col("at_MOLECULE")), F.lit("")), r"^[ \t]+|[ \t]+$", "")
     counts = F.split(F.trim(F.translate(F.coalesce(F.get("lines", F.col("at_MOLECULE") + 1), F.lit("")), "\t", " ")), " +")
     energy = F.get(F.filter("lines", lambda x: x.rlike(r"(?i)^\s*energy:")), F.lit(0))
