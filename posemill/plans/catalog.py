@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from posemill.plans import parsing
+from posemill.plans import analysis, learned, parsing, selection  # noqa: F401
+from posemill.plans.registry import QUERIES, SQL
+
+
+flagship = analysis.screening_report
 
 
 def queries() -> dict:
-    return dict(parsing.QUERIES)
+    return QUERIES | parsing.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
