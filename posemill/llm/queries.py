@@ -171,5 +171,45 @@ def queries() -> dict:
     }
 
 
+_MISSING = "CASE WHEN isnan({0}) THEN NULL ELSE {0} END"
+_CURRENT = f"""current AS (SELECT * FROM (SELECT lower(trim(structvar)) AS structvar, frame, pose, nullif(upper(trim(protein)), '') AS protein, {_MISSING.format("r_i_docking_score")} AS score,
+ row_number() OVER (PARTITION BY lower(trim(structvar)), frame, pose ORDER BY loaded_at DESC NULLS LAST, row_id DESC) AS rn FROM scores_df) WHERE rn = 1)"""
+_RECORDS = f"""{_CURRENT}, homes AS (SELECT lower(trim(structvar)) AS structvar, max(nullif(upper(trim(protein)), '')) AS protein FROM scores_df GROUP BY 1),
+ records AS (SELECT 'scores_df' AS record_set, h.protein, c.structvar AS record_key, min(score) AS score FROM current c JOIN homes h USING (structvar) WHERE score IS NOT NULL AND h.protein IS NOT NULL GROUP BY 1, 2, 3
+ UNION ALL SELECT 'hyper_opt_df', nullif(upper(trim(HYPER_PROTEIN)), ''), CAST(run_id AS VARCHAR), {_MISSING.format("r_i_docking_score")} FROM hyper_opt_df
+ WHERE nullif(upper(trim(HYPER_PROTEIN)), '') IS NOT NULL AND r_i_docking_score IS NOT NULL AND NOT isnan(r_i_docking_score)),
+ counted AS (SELECT *, count(*) OVER (PARTITION BY record_set, protein) AS n, count(*) OVER (PARTITION BY record_set, protein ORDER BY score) AS upto FROM records),
+ cutoffs AS (SELECT c.record_set, c.protein, max(n) AS n_records, max(t.keep_permille) AS keep_permille, min(score) AS cutoff FROM counted c
+ JOIN keep_targets t ON t.record_set = c.record_set AND upper(trim(t.protein)) = c.protein WHERE 1000 * upto >= keep_permille * n GROUP BY 1, 2)"""
+_NAMES = """names AS (SELECT feature_id, is_active, coalesce(nullif(lower(trim(basemolname)), ''), nullif(regexp_extract(lower(trim(structvar)), '^(.+)_stereo[0-9]+_ion[0-9]+_tau[0-9]+$', 1), '')) AS name FROM features_df)"""
+_WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    gamma, percent = (1 + ERROR) / (1 - ERROR), ", ".join(f"({s})" for s in PERCENTILES)
+    vector = ", ".join(f"CAST({v} AS DOUBLE)" for v in VECTOR)
+    sums = " + ".join(f"coalesce(CAST({v} AS DOUBLE), 'nan'::DOUBLE)" for v in VECTOR)
+    return {
+        "p1_percentiles": f"""WITH v AS (SELECT nullif(upper(trim(protein)), '') AS protein, CAST(loaded_at AS DATE) AS day, nofusion_Eint AS x FROM features_df
+ WHERE nofusion_Eint IS NOT NULL AND NOT isnan(nofusion_Eint) AND nullif(upper(trim(protein)), '') IS NOT NULL),
+ r AS (SELECT protein, day, x FROM v UNION ALL SELECT protein, NULL, x FROM v),
+ n AS (SELECT *, row_number() OVER (PARTITION BY protein, day ORDER BY x) - 1 AS k, count(*) OVER (PARTITION BY protein, day) AS n_values FROM r)
+ SELECT protein, day, n_values, CAST(share AS DOUBLE) AS share, round(CASE WHEN x = 0 THEN 0 ELSE sign(x) * pow({gamma!r}, ceil(ln(abs(x)) / ln({gamma!r}))) * 2 / ({gamma!r} + 1) END, 4) AS estimate
+ FROM n, (VALUES {percent}) s(share) WHERE k = floor(CAST(share AS DOUBLE) * (n_values - 1))""",
+        "p2_found": f"WITH {_RECORDS} SELECT r.record_set, r.protein, r.record_key FROM records r JOIN cutoffs c USING (record_set, protein) WHERE r.score <= c.cutoff",
+        "p2_cutoffs": f"""WITH {_RECORDS} SELECT record_set, protein, n_records, keep_permille, cutoff, count(*) AS n_kept FROM cutoffs JOIN records USING (record_set, protein) WHERE score <= cutoff GROUP BY ALL""",
+        "p3_found": f"""WITH RECURSIVE {_NAMES}, links AS (SELECT DISTINCT lower(trim(name_a)) AS a, lower(trim(name_b)) AS b FROM mol_links WHERE trim(name_a) <> '' AND trim(name_b) <> ''),
+ edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach AS (SELECT DISTINCT name AS s, name AS t FROM names WHERE name IS NOT NULL UNION SELECT s, b FROM reach JOIN edges ON t = a),
+ roots AS (SELECT s, min(t) AS root FROM reach WHERE t IN (SELECT name FROM names) GROUP BY 1), sized AS (SELECT feature_id, root, count(*) OVER (PARTITION BY root) AS n FROM names JOIN roots ON name = s)
+ SELECT feature_id, root AS group_name FROM sized WHERE n >= 2""",
+        "p5_found": f"""WITH v AS (SELECT feature_id, lower(trim(structvar)) AS s, CAST([{vector}] AS DOUBLE[40]) AS x FROM features_df WHERE NOT isnan({sums})),
+ w AS (SELECT * FROM v WHERE array_inner_product(x, x) > 0)
+ SELECT a.feature_id AS feature_id_a, b.feature_id AS feature_id_b FROM w a JOIN w b ON a.feature_id < b.feature_id AND a.s <> b.s WHERE array_cosine_similarity(a.x, b.x) >= 0.99""",
+        "p6_found": f"""WITH {_CURRENT}, c AS (SELECT *, nullif(regexp_extract(structvar, '^(.+)_stereo[0-9]+_ion[0-9]+_tau[0-9]+$', 1), '') AS base FROM current WHERE score IS NOT NULL),
+ l AS (SELECT 'structvar' AS group_level, structvar AS group_key, * FROM c UNION ALL SELECT 'basemolname', base, * FROM c WHERE base IS NOT NULL)
+ SELECT group_level, group_key, structvar, pose, frame FROM (SELECT *, row_number() OVER (PARTITION BY group_level, group_key ORDER BY score, structvar, pose, frame) AS k FROM l) WHERE k <= {TOP}""",
+        "p7_found": f"""WITH i AS (SELECT item_id, {_WORDS} AS w FROM eval_items), d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+ iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 14], ' ') AS t FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 13, 1))) AS k FROM i)),
+ dw AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 14], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 13, 1))) AS k FROM d))
+ SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (t)""",
+    }
