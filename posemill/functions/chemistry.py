@@ -41,7 +41,11 @@ def heteroatoms(atoms: Column | str) -> Column:
 
 def bond_type_counts(bonds: Column | str, types: tuple[str, ...] = BOND_TYPES) -> dict[str, Column]:
     b = F.col(bonds) if isinstance(bonds, str) else bonds
-    return {f"bondType_{t}": F.size(F.filter(b, lambda x, t=t: x["type"] == t)) for t in types}
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(b, lambda x: x["type"] == F.lit(kind)))
+
+    return {f"bondType_{t}": count(t) for t in types}
 
 
 def shape_of(xyz: np.ndarray, weights: np.ndarray) -> list[float]:
