@@ -15,6 +15,7 @@ from posemill.runtime import Scratch, ship
 ship(__name__)
 
 _EDGE = np.dtype([("id", "<i8"), ("part", "<i4"), ("sim", "<f2")])
+_BEAM = np.dtype([("id", "<i8"), ("sim", "<f4"), ("done", "i1")])
 _NONE = np.float32(-2)
 
 
@@ -343,6 +344,93 @@ def _listed(k: int, at_least: float) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
+def _enter(start_ids: np.ndarray, start_groups: np.ndarray, starts: np.ndarray, beam: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """First beams of queries: the most similar of the entry points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, ok = _vectors(batch)
+            if not len(x):
+                continue
+            ids, groups = batch.column(0).to_numpy()[ok], batch.column(1).to_numpy()[ok]
+            sims = (x @ starts.T).astype(np.float32)
+            sims[groups[:, None] == start_groups[None, :]] = _NONE
+            top = np.argsort(-sims, 1, kind="stable")[:, :beam]
+            out = np.zeros(top.shape, _BEAM)
+            out["id"], out["sim"] = start_ids[top], np.take_along_axis(sims, top, 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((ids % buckets).astype(np.int32)), pa.array(ids), pa.array(groups), _packed(x.astype(np.float16)), _packed(out)],
+                names=["bucket", "query", "grp", "vec", "beam"],
+            )
+
+    return run
+
+
+def _frontier(expand: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The best members of every beam whose neighbours were not looked at yet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            beam = _unpacked(t["beam"], _BEAM)
+            open_ = (beam["done"] == 0) & (beam["sim"] > _NONE)
+            row, col = np.nonzero(open_ & (np.cumsum(open_, 1) <= expand))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_longs(t["bucket"])[row]), pa.array(_longs(t["query"])[row]), pa.array(beam["id"][row, col])], names=["bucket", "query", "id"]
+            )
+
+    return run
+
+
+def _step(beam: int, expand: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Beams of one bucket of queries after looking at the vectors their frontiers led to."""
+
+    def run(t: pa.Table, found: pa.Table) -> pa.Table:
+        query, groups, x, old = _longs(t["query"]), _longs(t["grp"]), _unpacked(t["vec"], np.float16).astype(np.float32), _unpacked(t["beam"], _BEAM).copy()
+        open_ = (old["done"] == 0) & (old["sim"] > _NONE)
+        old["done"][open_ & (np.cumsum(open_, 1) <= expand)] = 1
+        row, ids, sims, done = (np.repeat(np.arange(len(query)), old.shape[1]), old["id"].ravel(), old["sim"].ravel(), old["done"].ravel())
+        if len(found):
+            order = np.argsort(query)
+            at = order[np.searchsorted(query, _longs(found["query"]), sorter=order)]
+            s = np.einsum("ij,ij->i", x[at], _unpacked(found["vec"], np.float16).astype(np.float32))
+            s = np.where(_longs(found["grp"]) == groups[at], _NONE, s).astype(np.float32)
+            row, ids, sims, done = (np.concatenate(c) for c in ((row, at), (ids, _longs(found["id"])), (sims, s), (done, np.zeros(len(at), done.dtype))))
+        by = np.lexsort((-done.astype(np.int8), ids, row))
+        row, ids, sims, done = row[by], ids[by], sims[by], done[by]
+        new = np.append(True, (row[1:] != row[:-1]) | (ids[1:] != ids[:-1]))
+        row, ids, sims, done = row[new], ids[new], sims[new], done[new]
+        by = np.lexsort((ids, -sims, row))
+        row, ids, sims, done = row[by], ids[by], sims[by], done[by]
+        turn = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = turn < beam
+        out = np.zeros((len(query), beam), _BEAM)
+        out["id"], out["sim"], out["done"] = -1, _NONE, 1
+        for name, values in (("id", ids), ("sim", sims), ("done", done)):
+            out[name][row[keep], turn[keep]] = values[keep]
+        return pa.table([t["bucket"], t["query"], t["grp"], t["vec"], _packed(out)], names=["bucket", "query", "grp", "vec", "beam"])
+
+    return run
+
+
+def _ranked(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            beam = _unpacked(t["beam"], _BEAM)[:, :k]
+            row, rank = np.nonzero(beam["sim"] > _NONE)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_longs(t["query"])[row]), pa.array((rank + 1).astype(np.int32)), pa.array(beam["id"][row, rank]), pa.array(beam["sim"][row, rank])],
+                names=["query", "rank", "neighbour", "similarity"],
+            )
+
+    return run
+
+
 # ---- driver side ------------------------------------------------------------------------------------------------------
 
 _GRAPH = "home int, id long, grp long, vec binary, edges binary, fresh int"
@@ -474,3 +562,45 @@ def similar_pairs(rows: DataFrame, record_id: str, group: str, vector: list[str]
     full = left.join(copies.withColumnRenamed("representative", "b").withColumnRenamed("member", "mb"), "b", "left")
     a, b = F.coalesce("ma", "a"), F.coalesce("mb", "b")
     return full.select(F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b"))
+
+
+def greedy_search(
+    graph: NeighbourGraph, queries: DataFrame, record_id: str, group: str, vector: list[str], k: int, beam: int = 160, expand: int = 16, starts: int = 2048,
+    rounds: int = 30, bucket_rows: int = 2000,
+) -> DataFrame:
+    """query, rank, neighbour, similarity: the k most similar indexed vectors of other groups for every query vector.
+
+    Best-first search on the graph, all queries at once: each keeps a beam of the best vectors seen, and a round joins the neighbours
+    of its best unexpanded members with their vectors. Searches start at the best of at most ``starts`` entry points, a fixed
+    sample of the index (a few hundred kilobytes); they end when no beam has an unexpanded member, or after ``rounds``.
+
+    Defined cases: queries with a null id or group, a missing component or a zero vector get no rows; an empty index or query set
+    gives none; ids must not be negative. Other columns are ignored.
+    """
+    scratch = Scratch(queries.sparkSession, "search")
+    entry = graph.vectors.select("id", "grp", "vec").orderBy(F.xxhash64("id"), "id").limit(starts).toArrow()
+    schema = "bucket int, query long, grp long, vec binary, beam binary"
+    source = _source(queries, record_id, group, vector)
+    if not len(entry):
+        return queries.sparkSession.createDataFrame([], "query long, rank int, neighbour long, similarity float")
+    buckets = max(1, -(-source.count() // bucket_rows))
+    points = _unpacked(entry["vec"], np.float16).astype(np.float32)
+    state = scratch.cut(source.mapInArrow(_enter(_longs(entry["id"]), _longs(entry["grp"]), points, beam, buckets), schema))
+    links = graph.edges.mapInArrow(_neighbour_ids, "id long, near array<long>")
+    for _ in range(rounds):
+        frontier = scratch.cut(state.mapInArrow(_frontier(expand), "bucket int, query long, id long"))
+        if not frontier.limit(1).count():
+            break
+        reached = frontier.join(links, "id").select("bucket", "query", F.explode("near").alias("id")).distinct()
+        seen = reached.join(graph.vectors.select("id", "grp", "vec"), "id").select("bucket", "query", "id", "grp", "vec")
+        last, state = state, scratch.cut(state.groupBy("bucket").cogroup(seen.groupBy("bucket")).applyInArrow(_step(beam, expand), schema))
+        scratch.drop(last, frontier)
+    return state.mapInArrow(_ranked(k), "query long, rank int, neighbour long, similarity float")
+
+
+def _neighbour_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            t = pa.Table.from_batches([batch])
+            near = [r[r >= 0] for r in _unpacked(t["edges"], _EDGE)["id"]]
+            yield pa.RecordBatch.from_arrays([t["id"].combine_chunks(), pa.array(near, pa.list_(pa.int64()))], names=["id", "near"])

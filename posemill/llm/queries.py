@@ -10,7 +10,7 @@ from posemill.llm.components import linked_groups
 from posemill.llm.cutoffs import keep_fraction_cutoffs, kept_records
 from posemill.llm.leaks import leaked_items
 from posemill.llm.mixing import mix_sources, mixture_report
-from posemill.llm.neighbours import copies_of, neighbour_graph, neighbour_list, similar_pairs
+from posemill.llm.neighbours import copies_of, greedy_search, neighbour_graph, neighbour_list, similar_pairs
 from posemill.llm.percentiles import log_sketch, merge_sketches, sketch_percentiles
 from posemill.llm.screening import current_poses, keep_targets, scored_records
 from posemill.llm.splits import assign_splits
@@ -104,6 +104,14 @@ def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbour_list(graph, 10).withColumnsRenamed({"id": "feature_id", "neighbour": "neighbour_id"})
 
 
+def p5_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest rows for the rows whose id is divisible by 100, by greedy search on the graph of all rows."""
+    rows = _vectors(spark, folder)
+    graph = neighbour_graph(rows, "feature_id", "variant", VECTOR)
+    found = greedy_search(graph, rows.where("feature_id % 100 = 0"), "feature_id", "variant", VECTOR, 10)
+    return found.withColumnsRenamed({"query": "feature_id", "neighbour": "neighbour_id"})
+
+
 def p5_copies(spark: SparkSession, folder: str) -> DataFrame:
     return copies_of(_vectors(spark, folder), "feature_id", "variant", VECTOR)
 
@@ -160,6 +168,7 @@ def queries() -> dict:
         "p3_report": p3_report,
         "p5_found": p5_found,
         "p5_neighbours": p5_neighbours,
+        "p5_search": p5_search,
         "p5_copies": p5_copies,
         "p6_found": p6_found,
         "p7_found": p7_found,
