@@ -151,7 +151,7 @@ def select_features(model: Model, features: list[str], most: int) -> list[str]:
 def permutation_importance(model: Model, df: DataFrame, features: list[str], label: str, seed: int = 1) -> DataFrame:
     """feature, importance: loss of ROC area when one feature's values are dealt out anew.
 
-    Values are dealt by joining ranks in two hash orders; ranks are row numbers within 64 hash buckets of equal keys, so no
+    Values are dealt by joining ranks in two hash orders; ranks are row numbers within hash buckets of about 100 000 rows, so no
     table is sorted in one task.
     """
     spark = df.sparkSession
@@ -165,7 +165,7 @@ def permutation_importance(model: Model, df: DataFrame, features: list[str], lab
     base, out = area(rows), []
     from pyspark.sql import Window
 
-    bucket = F.pmod(F.xxhash64("_u"), F.lit(64))
+    bucket = F.pmod(F.xxhash64("_u"), F.lit(1 + rows.count() // 100_000))
     turn = Window.partitionBy("_b")
     left = rows.withColumn("_b", bucket).withColumn("_r", F.row_number().over(turn.orderBy(F.xxhash64("_u", F.lit(seed)))))
     for f in features:

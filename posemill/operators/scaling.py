@@ -59,7 +59,7 @@ def auto_edges(df: DataFrame, column: str) -> list[float]:
 
 def fixed_edges(low: float, high: float, width: float, centred: bool = False) -> list[float]:
     start = low - width / 2 if centred else low
-    n = int(-(-(high - start) // width)) + 1
+    n = max(1, int(-(-(high - start) // width)))
     return [start + width * i for i in range(n + 1)]
 
 

@@ -158,7 +158,7 @@ def standardize_group(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {FEATURES}, a AS (SELECT feature_id, protein, (nofusion_Eint - avg(nofusion_Eint) OVER ()) / stddev_pop(nofusion_Eint) OVER () AS e,
  (MW - avg(MW) OVER ()) / stddev_pop(MW) OVER () AS MW FROM features),
  b AS (SELECT *, avg(e) OVER (PARTITION BY protein) AS m, stddev_pop(e) OVER (PARTITION BY protein) AS s FROM a)
- SELECT feature_id, round((e - m) / s, 6) AS nofusion_Eint, round(MW, 6) AS MW FROM b WHERE e IS NOT NULL AND MW IS NOT NULL""")
+ SELECT feature_id, CASE WHEN s = 0 THEN 0.0 ELSE round((e - m) / s, 6) END AS nofusion_Eint, round(MW, 6) AS MW FROM b WHERE e IS NOT NULL AND MW IS NOT NULL""")
 def standardize_composed(spark: SparkSession, folder: str) -> DataFrame:
     out = scaling.standardize_composed(features(spark, folder), ["nofusion_Eint", "MW"], "protein")
     return out.select("feature_id", rounded("nofusion_Eint"), rounded("MW"))

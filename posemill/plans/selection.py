@@ -203,12 +203,12 @@ def energy_histogram(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {FEATURES} SELECT protein, count(DISTINCT CASE WHEN is_active = 1 THEN basemolname END) AS num_of_actives,
- count(DISTINCT CASE WHEN is_active = 0 THEN basemolname END) AS num_of_inactives, min(nofusion_Eint) AS minimum, round(avg(nofusion_Eint), 4) AS mean,
+ count(DISTINCT CASE WHEN is_active = 0 THEN basemolname END) AS num_of_inactives, min(nofusion_Eint) AS minimum, round(avg(nofusion_Eint), 9) AS mean,
  max(nofusion_Eint) AS max, round(stddev_samp(nofusion_Eint), 4) AS stdev, round(max(nofusion_Eint) - min(nofusion_Eint), 4) AS range,
  round(stddev_pop(nofusion_Eint) / (max(nofusion_Eint) - min(nofusion_Eint)), 6) AS scaled_stdev FROM features GROUP BY 1""")
 def score_summary(spark: SparkSession, folder: str) -> DataFrame:
     out = reduce.score_summary(features(spark, folder), "basemolname", "nofusion_Eint", "is_active", ["protein"])
-    return out.select("protein", "num_of_actives", "num_of_inactives", "minimum", rounded("mean", 4), "max", rounded("stdev", 4), rounded("range", 4), rounded("scaled_stdev"))
+    return out.select("protein", "num_of_actives", "num_of_inactives", "minimum", rounded("mean", 9), "max", rounded("stdev", 4), rounded("range", 4), rounded("scaled_stdev"))
 
 
 @query(f"""WITH {FEATURES} SELECT basemolname, {", ".join(f"round(avg({c}), 9) AS {c}" for c in ("MW", "AMW", "deepFl_logP", "nofusion_Eint"))} FROM features GROUP BY 1""")
