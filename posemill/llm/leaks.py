@@ -159,15 +159,28 @@ def find_leaks(index: ItemIndex, texts: list[str | None]) -> list[tuple[int, int
     size = np.diff(np.append(begin, len(text)))
     begin, size = begin[size >= index.least[item[begin]]], size[size >= index.least[item[begin]]]
     tries: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    last: tuple[int, int, np.ndarray] | None = None
     for b, n in zip(begin.tolist(), size.tolist(), strict=True):
-        i = int(item[b])
+        t, i, hits = int(text[b]), int(item[b]), at[b : b + n]
+        if last and last[:2] == (t, i) and np.array_equal(last[2], hits):
+            continue  # all of it lies in the half this band shares with the one before
+        last = (t, i, hits)
         seen = np.zeros(len(index.texts[i]) + 1, np.int32)
-        seen[at[b : b + n] + 1] = 1
-        seen = np.cumsum(seen)
-        s, e = index.starts[i], index.ends[i]
-        shared = seen[e - Q + 1] - seen[s]
-        for w in np.flatnonzero(shared >= index.need[i]).tolist():
-            tries.setdefault((int(text[b]), i), []).append((int(e[w] - s[w] - Q + 1 - shared[w]), w, int(band[b])))
+        seen[hits + 1] = 1
+        s, e = index.starts[i], index.ends[i] - Q + 1
+        count = np.cumsum(seen)
+        shared = count[e] - count[s]
+        enough = np.flatnonzero(shared >= index.need[i])
+        if not len(enough):
+            continue
+        # an edit breaks only q-grams that start within Q places of each other: cover the missing ones greedily
+        gaps = np.append(np.flatnonzero(seen[1:] == 0), [1 << 30])
+        jump = np.append(np.searchsorted(gaps, gaps[:-1] + Q), len(gaps) - 1)
+        k = np.searchsorted(gaps, s[enough])
+        for _ in range(index.edits):
+            k = np.where(gaps[k] < e[enough], jump[k], k)
+        for w in enough[gaps[k] >= e[enough]].tolist():
+            tries.setdefault((t, i), []).append((int(e[w] - s[w] - shared[w]), w, int(band[b])))
     best: dict[tuple[int, int], int] = {}
     for windows in tries.values():
         windows.sort()
