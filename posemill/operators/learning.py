@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Model
 from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
+    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -78,6 +79,83 @@ def fit(train: DataFrame, name: str, features: list[str], label: str, group: str
     return estimator.fit(rows)
 
 
+def fit_cross_validated(train: DataFrame, features: list[str], label: str, alphas: list[float], n_folds: int = 3, seed: int = 1) -> Model:
+    """Logistic regression whose penalty is chosen among alphas by the ROC area over random folds."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    rows = assemble(train, features, label)
+    n = rows.count() or 1
+    model = LogisticRegression(standardization=False, maxIter=200)
+    grid = ParamGridBuilder().addGrid(model.regParam, [a / n for a in alphas]).build()
+    return CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), numFolds=n_folds, seed=seed).fit(rows).bestModel
+
+
+@dataclass
+class BoostedTrees:
+    """Weighted vote of shallow trees."""
+
+    trees: list
+    weights: list[float]
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """rows with ``probability``: the weighted share of votes for class 0 and 1."""
+        total = sum(self.weights) or 1.0
+        vote, out = F.lit(0.0), rows
+        for i, (t, w) in enumerate(zip(self.trees, self.weights, strict=True)):
+            out = t.setPredictionCol(f"_p{i}").transform(out).drop("rawPrediction", "probability")
+            vote = vote + F.col(f"_p{i}") * w
+        from pyspark.ml.functions import array_to_vector
+
+        share = vote / total
+        out = out.withColumn("probability", array_to_vector(F.array(1 - share, share)))
+        return out.drop(*[f"_p{i}" for i in range(len(self.trees))])
+
+
+def fit_adaboost(train: DataFrame, features: list[str], label: str, rounds: int = 10, depth: int = 1, seed: int = 1) -> BoostedTrees:
+    """Discrete AdaBoost over decision trees: a weighted fit and one aggregate per round, weights kept in a written table."""
+    scratch = Scratch(train.sparkSession, "adaboost")
+    rows = scratch.cut(assemble(train, features, label).select("features", "label").withColumn("weight", F.lit(1.0)))
+    trees, weights = [], []
+    for _ in range(rounds):
+        tree = DecisionTreeClassifier(maxDepth=depth, weightCol="weight", seed=seed).fit(rows)
+        judged = tree.transform(rows).select("features", "label", "weight", (F.col("prediction") != F.col("label")).alias("wrong"))
+        bad, total = judged.agg(F.sum(F.when(F.col("wrong"), F.col("weight")).otherwise(0.0)), F.sum("weight")).first()
+        if not total or bad / total >= 0.5:
+            break
+        error = max(bad / total, 1e-10)
+        stage = float(np.log((1 - error) / error))
+        trees.append(tree)
+        weights.append(stage)
+        if bad == 0:
+            break
+        last, rows = rows, scratch.cut(judged.select("features", "label", F.when(F.col("wrong"), F.col("weight") * float(np.exp(stage))).otherwise(F.col("weight")).alias("weight")))
+        scratch.drop(last)
+    return BoostedTrees(trees, weights)
+
+
+def random_fourier(df: DataFrame, features: list[str], count: int = 64, gamma: float | None = None, seed: int = 1) -> tuple[DataFrame, list[str]]:
+    """df with cos(w.x + b) columns whose inner products approximate the RBF kernel exp(-gamma |x-y|^2); gamma 1/features by default."""
+    rng = np.random.default_rng(seed)
+    w = rng.normal(0, np.sqrt(2 * (gamma or 1 / len(features))), (count, len(features)))
+    b = rng.uniform(0, 2 * np.pi, count)
+    names = [f"rff{i}" for i in range(count)]
+    columns = []
+    for i, n in enumerate(names):
+        total = F.lit(float(b[i]))
+        for f, x in zip(features, w[i], strict=True):
+            total = total + F.col(f) * float(x)
+        columns.append((F.cos(total) * float(np.sqrt(2 / count))).alias(n))
+    return df.select("*", *columns), names
+
+
+def regression(train: DataFrame, features: list[str], target: str, kind: str, penalty: float = 0.1) -> DataFrame:
+    """feature, coefficient of a linear, lasso or ridge regression."""
+    mixing = {"linear": (0.0, 0.0), "lasso": (penalty, 1.0), "ridge": (penalty, 0.0)}[kind]
+    model = LinearRegression(regParam=mixing[0], elasticNetParam=mixing[1]).fit(assemble(train, features, target))
+    return train.sparkSession.createDataFrame(list(zip(features, model.coefficients.toArray().tolist(), strict=True)), "feature string, coefficient double")
+
+
 def predict(model: Model, df: DataFrame, features: list[str], into: str) -> DataFrame:
     """df with the probability of class 1 (for the linear SVC its margin); rows with missing features are left out."""
     columns = df.columns

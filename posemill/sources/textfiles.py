@@ -106,9 +106,46 @@ def sdf_properties(records: DataFrame, names: list[str], defaults: dict[str, str
 
 
 def conformers(records: DataFrame, energy: str | None = None) -> DataFrame:
-    """molname, n_conformers, energies in order: records of one name are conformers of one molecule."""
+    """molname, n_conformers, energies in order, conf_energy: records of one name are conformers of one molecule.
+
+    conf_energy holds them as ``id:value|id:value``, ids counted from 0 in the order of the energies.
+    """
     value = sdf_properties(records, [energy]).select("molname", F.col("value").try_cast("double").alias("e")) if energy else records.select("molname", F.lit(None).cast("double").alias("e"))
-    return value.groupBy("molname").agg(F.count("*").alias("n_conformers"), F.array_sort(F.collect_list("e")).alias("energies"))
+    found = value.groupBy("molname").agg(F.count("*").alias("n_conformers"), F.array_sort(F.collect_list("e")).alias("energies"))
+    return found.withColumn("conf_energy", F.concat_ws("|", F.transform("energies", lambda e, i: F.concat(i, F.lit(":"), e))))
+
+
+def lowest_variants(parsed: DataFrame) -> DataFrame:
+    """The parsed MOL2 records whose pose has the lowest energy of its variant (ties stay)."""
+    from posemill.functions.names import structvar_of
+    from posemill.operators.reduce import all_minima
+
+    return all_minima(parsed.where("reason is null").withColumn("structvar", structvar_of("molname")), ["structvar"], "energy")
+
+
+def mol2_to_sdf(parsed: DataFrame, into: str = "sdf") -> DataFrame:
+    """id, molname and an SDF record (V2000) of every parsed MOL2 record without a reason; aromatic bonds are type 4, others of no number 1."""
+    order = F.col
+    atoms = F.transform("atoms", lambda a: F.format_string("%10.4f%10.4f%10.4f %-3s 0  0  0  0  0", a["x"], a["y"], a["z"], F.regexp_extract(a["type"], "^([A-Za-z]+)", 1)))
+    kind = lambda t: F.when(t == "ar", 4).when(t.rlike("^[123]$"), t.try_cast("int")).otherwise(1)
+    bonds = F.transform("bonds", lambda b: F.format_string("%3d%3d%3d  0", b["a"], b["b"], kind(b["type"])))
+    head = F.format_string("%3d%3d  0  0  0  0  0  0  0  0999 V2000", F.size("atoms"), F.size("bonds"))
+    lines = F.concat(F.array(order("molname"), F.lit("  posemill"), F.lit(""), head), atoms, bonds, F.array(F.lit("M  END")))
+    energy = F.when(F.col("energy").isNotNull(), F.concat(F.lit("\n> <Energy>\n"), F.col("energy"), F.lit("\n"))).otherwise("")
+    text = F.concat(F.array_join(lines, "\n"), energy, F.lit("\n$$$$\n"))
+    return parsed.where("reason is null").select("id", "molname", text.alias(into))
+
+
+def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """path, length, modified of the files below a folder whose names match a glob."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def attach_conformer_property(conformer_rows: DataFrame, properties: DataFrame, name: str, pose: str) -> DataFrame:
+    """Rows with the columns of properties, whose key ``molname`` is <name>_pose<pose>; rows without one get nulls."""
+    keyed = conformer_rows.withColumn("molname", F.concat(F.col(name), F.lit("_pose"), F.col(pose)))
+    return keyed.join(properties, "molname", "left")
 
 
 def mol2_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:

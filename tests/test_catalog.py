@@ -9,7 +9,7 @@ import pytest
 
 from posemill.plans import catalog
 
-SLOW = {"leave_one_protein_out", "perm_importance", "lasso_stability"}
+SLOW = {"leave_one_protein_out", "leave_one_out_average", "perm_importance", "lasso_stability", "cross_validated_lr"}
 
 
 def plain(v):

@@ -68,3 +68,19 @@ def test_leave_one_out_and_grid(spark, table):
     assert set(out) == {"p1", "p2", "p3"} and min(out.values()) > 0.9
     assert learning.hyper_grid(spark, {"a": [1, 2], "b": ["x", "y", "z"]}).count() == 6
     assert learning.stability_selection(table, ["a", "b"], "y", 0.1, repeats=3).where("feature = 'a'").first()["frequency"] == 1.0
+
+
+def test_boosting_kernel_and_cross_validation(table):
+    model = learning.fit_adaboost(table, ["a", "b"], "y", rounds=4)
+    out = learning.predict(model, table, ["a", "b"], "p").collect()
+    right = sum((r["p"] > 0.5) == (r["y"] == 1) for r in out)
+    assert len(out) == 120 and right > 100 and 1 <= len(model.trees) <= 4
+    mapped, names = learning.random_fourier(table.dropna("any"), ["a", "b"], 400, gamma=0.5)
+    rows = mapped.limit(12).collect()
+    x, z = np.array([[r["a"], r["b"]] for r in rows]), np.array([[r[n] for n in names] for r in rows])
+    kernel = np.exp(-0.5 * ((x[:, None] - x[None]) ** 2).sum(2))
+    assert np.abs(z @ z.T - kernel).max() < 0.25
+    lr = learning.fit_cross_validated(table, ["a", "b"], "y", [0.1, 1.0], 2)
+    assert lr.coefficients[0] > abs(lr.coefficients[1])
+    reg = {r["feature"]: r["coefficient"] for r in learning.regression(table, ["a", "b"], "y", "lasso", 0.05).collect()}
+    assert reg["a"] > 0.1 and abs(reg["b"]) < 0.05

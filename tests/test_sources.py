@@ -87,6 +87,21 @@ def test_structure_descriptors(spark):
     assert chemistry._bridges([(1, 2), (2, 3), (3, 1), (3, 4)]) == {3} and chemistry._component_sizes([(1, 2), (2, 3), (7, 8)]) == [1, 2]
 
 
+def test_conversion_files_and_properties(spark, tmp_path):
+    raw = spark.createDataFrame([(1, mol()), (2, mol(energy="-9")), (3, "broken")], "record_id long, raw string")
+    parsed = parse_mol2(raw, "record_id", "raw")
+    sdf = {r["id"]: r["sdf"] for r in T.mol2_to_sdf(parsed).collect()}
+    assert sorted(sdf) == [1, 2] and "  3  2  0" in sdf[1] and "> <Energy>\n-1.5\n" in sdf[1]
+    (tmp_path / "x.sdf").write_text("".join(sdf.values()))
+    again = T.sdf_records(spark, str(tmp_path / "x.sdf"))
+    assert again.count() == 2 and {r["value"] for r in T.sdf_properties(again, ["Energy"]).collect()} == {"-1.5", "-9.0"}
+    assert [r["id"] for r in T.lowest_variants(parsed).collect()] == [2]
+    assert T.list_files(spark, str(tmp_path), "*.sdf").count() == 1
+    poses = spark.createDataFrame([("m1_stereo1_ion1_tau1", 2), ("q", 1)], "n string, p int")
+    props = spark.createDataFrame([(NAME, 5)], "molname string, v int")
+    assert sorted((r["n"], r["v"]) for r in T.attach_conformer_property(poses, props, "n", "p").collect()) == [("m1_stereo1_ion1_tau1", 5), ("q", None)]
+
+
 def test_sdf(spark, tmp_path):
     p = tmp_path / "a.sdf"
     p.write_text(SDF)
@@ -95,7 +110,7 @@ def test_sdf(spark, tmp_path):
     props = {(r["property"], r["value"]) for r in T.sdf_properties(records, ["energy", "note"], {"note": "none"}).collect()}
     assert props == {("energy", "-3.5"), ("energy", "-4.5"), ("note", "hello"), ("note", "none")}
     c = T.conformers(records, "energy").first()
-    assert c["n_conformers"] == 2 and list(c["energies"]) == [-4.5, -3.5]
+    assert c["n_conformers"] == 2 and list(c["energies"]) == [-4.5, -3.5] and c["conf_energy"] == "0:-4.5|1:-3.5"
 
 
 def test_mol2_smiles_and_dispatch(spark, tmp_path):
