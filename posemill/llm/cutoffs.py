@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from posemill.llm.hot import hot_limit, join_groups
 from posemill.runtime import Scratch
 
 _BIG = 1.7e308
@@ -26,7 +27,8 @@ def _probes(lo: Column, hi: Column, crossing: Column) -> Column:
 
 
 def keep_fraction_cutoffs(
-    records: DataFrame, targets: DataFrame, by: list[str], score: str, share: str, whole: int = 1000
+    records: DataFrame, targets: DataFrame, by: list[str], score: str, share: str, whole: int = 1000,
+    many_sources: int = 50_000,
 ) -> DataFrame:
     """Per source the smallest score at which ``whole`` x (records at or below it) >= share x (its records).
 
@@ -69,6 +71,9 @@ def keep_fraction_cutoffs(
         .withColumn("_cutoff", F.coalesce("_cutoff", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")))),
         1,
     )
+    sources, total, most = state.agg(F.count("*"), F.sum("_n"), F.max("_n")).first()
+    # a few sources are broadcast whole by Spark; only beside very many do the hot ones need a way of their own
+    hot = hot_limit(total) if sources > many_sources and most > hot_limit(total) else None
     while state.where("_cutoff is null").limit(1).count():
         lo = F.greatest(F.lit(-_BIG), F.least(F.lit(_BIG), F.col("_lo")))
         hi = F.greatest(F.lit(-_BIG), F.least(F.lit(_BIG), F.col("_hi")))
@@ -82,7 +87,7 @@ def keep_fraction_cutoffs(
         open_ = state.where("_cutoff is null").withColumn("_crossing", F.try_divide(drop + slope_hi * hi - slope_lo * lo, slope_hi - slope_lo))
         open_ = open_.withColumn("_probes", _probes(lo, hi, F.col("_crossing")))
         bins = (
-            rows.join(open_.select(*by, "_lo", "_hi", "_probes"), by)
+            join_groups(rows, open_.select(*by, "_n", "_lo", "_hi", "_probes"), by, "_n", hot)
             .where((x >= F.col("_lo")) & (x <= F.col("_hi")))
             .select(*by, "_x", F.size(F.filter("_probes", lambda p: p < x)).alias("_bin"))
             .groupBy(*by, "_bin")
@@ -104,7 +109,7 @@ def keep_fraction_cutoffs(
         )
         last, state = state, scratch.cut(state.where("_cutoff is not null").unionByName(moved), 1)
         scratch.drop(last)
-    kept = rows.join(state.select(*by, "_cutoff"), by).where(x <= F.col("_cutoff")).groupBy(*by).agg(F.count("*").alias("n_kept"))
+    kept = join_groups(rows, state.select(*by, "_n", "_cutoff"), by, "_n", hot).where(x <= F.col("_cutoff")).groupBy(*by).agg(F.count("*").alias("n_kept"))
     return state.join(kept, by).select(
         *by, F.col("_n").alias("n_records"), F.col("_share").alias(share), F.col("_cutoff").alias("cutoff"), "n_kept"
     )

@@ -224,7 +224,7 @@ def _scan(held) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
 
 def leaked_items(
     documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, words: int = 15, edits: int = 3,
-    block_chars: int = 8 << 20,
+    block_chars: int = 2 << 20,
 ) -> DataFrame:
     """doc_id, item_id, edits for every document that holds ``words`` consecutive words of an item within ``edits`` character edits.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from posemill.llm.hot import HOT_ROWS, hot_limit, join_groups
 from posemill.runtime import Scratch
 
 _BINS = 32
@@ -33,7 +34,7 @@ def _word(c: Column, skip: Column) -> Column:
     return F.conv(F.rpad(F.hex(F.substr(F.encode(c, "UTF-8"), skip + 1, F.lit(_CHUNK))), 2 * _CHUNK, "0"), 16, 10).cast("long")
 
 
-def top_n_per_group(rows: DataFrame, by: list[str], score: str, ties: list[str], n: int, hot_rows: int = 200_000) -> DataFrame:
+def top_n_per_group(rows: DataFrame, by: list[str], score: str, ties: list[str], n: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The n lowest-scored rows of every group, ties broken by the ``ties`` columns in ascending order.
 
     The order-preserving code of a row is (score, ties..., row number); each group holds a bracket on it. A pass counts
@@ -76,22 +77,16 @@ def top_n_per_group(rows: DataFrame, by: list[str], score: str, ties: list[str],
         work.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_k0").alias("_lo0"), F.max("_k0").alias("_hi0"))
         .withColumn("_need", F.lit(n).cast("long"))
     )
-    total = stats.agg(F.sum("_n")).first()[0] or 0
-    limit = max(hot_rows, total // 1000)
+    total, most = stats.agg(F.sum("_n"), F.max("_n")).first()
+    limit = hot_limit(total or 0, hot_rows)
     accepted: list[DataFrame] = []
     first = True
     while True:
         phases = ["_k0"] if first else words
-        hot = stats.where(F.col("_n") > limit)
-        any_hot = hot.limit(1).count() > 0
+        hot = limit if (most or 0) > limit else None
 
-        def with_cuts(cuts: DataFrame, work: DataFrame = work, any_hot: bool = any_hot) -> DataFrame:
-            if not any_hot:
-                return work.join(cuts, by)
-            big = F.broadcast(cuts.where(F.col("_n") > limit))
-            return work.join(big, by).unionByName(
-                work.join(F.broadcast(cuts.where(F.col("_n") > limit).select(*by)), by, "left_anti").join(cuts.where(F.col("_n") <= limit), by)
-            )
+        def with_cuts(cuts: DataFrame, work: DataFrame = work, hot: int | None = hot) -> DataFrame:
+            return join_groups(work, cuts, by, "_n", hot)
 
         def section() -> Column:
             """Section by the first word that differs inside the group's bracket."""
@@ -135,5 +130,6 @@ def top_n_per_group(rows: DataFrame, by: list[str], score: str, ties: list[str],
         stats = scratch.cut(stats)
         work = work.drop("_rest")
         first = False
-        if not stats.limit(1).count():
+        left, most = stats.agg(F.count("*"), F.max("_n")).first()
+        if not left:
             return reduce(DataFrame.unionByName, accepted)

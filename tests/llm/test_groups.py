@@ -66,6 +66,14 @@ def test_cutoffs_against_sorting(spark):
     for g, xs in groups.items():
         c = brute_cutoff(xs, shares[g])
         assert got[g]["cutoff"] == c and got[g]["n_records"] == len(xs) and got[g]["n_kept"] == sum(x <= c for x in xs), g
+    import posemill.llm.cutoffs as C
+
+    limit, C.hot_limit = C.hot_limit, lambda total: 100  # noqa: ARG005
+    try:
+        split = keep_fraction_cutoffs(records, targets, ["g"], "s", "keep", many_sources=0)
+        assert sorted(map(tuple, split.collect())) == sorted(map(tuple, out.collect()))
+    finally:
+        C.hot_limit = limit
     kept = kept_records(records, out, ["g"], "s")
     assert kept.columns == records.columns and kept.count() == sum(r["n_kept"] for r in got.values())
 

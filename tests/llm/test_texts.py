@@ -70,7 +70,7 @@ def test_leaks_of_odd_tables(spark):
     long = "word " * 300_000 + item
     docs = spark.createDataFrame([(1, item.upper(), "x"), (2, None, "x"), (3, "", "x"), (4, long, "x"), (5, item[:40], "x"), (1, item, "x")], "doc_id long, text string, edits string")
     want = sorted([(1, 1), (1, 5), (1, 1), (1, 5), (4, 1), (4, 5)])
-    for block in (8 << 20, 10):
+    for block in (2 << 20, 10):
         got = leaked_items(docs, "doc_id", "text", items, "item_id", "text", block_chars=block)
         assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == want
     assert leaked_items(docs.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
