@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posemill.operators.joins import beside
-from posemill.runtime import ship
+from posemill.runtime import Scratch, ship
 
 ship(__name__)
 
@@ -159,10 +159,14 @@ def pair_distances(df: DataFrame, queries: DataFrame, key: str, vector: str, met
 
         return run
 
-    done = [rows.mapInPandas(kernel(spark.sparkContext.broadcast(block)), schema) for block in _blocks(asked)]
-    out = spark.createDataFrame([], schema)
-    for d in done:
-        out = out.unionByName(d)
+    out, held, scratch = spark.createDataFrame([], schema), None, Scratch(spark, "distances")
+    for block in _blocks(asked):
+        if held is not None:  # more than one block: write what the last one gave before the next is sent
+            out = out.unionByName(scratch.cut(rows.mapInPandas(kernel(held), schema)))
+            held.unpersist()
+        held = spark.sparkContext.broadcast(block)
+    if held is not None:
+        out = out.unionByName(rows.mapInPandas(kernel(held), schema))
     return out.select("id", "query_id", *[F.nanvl(F.col(f"`{m}`"), F.lit(None)).alias(m) for m in metrics])
 
 

@@ -77,6 +77,12 @@ def test_pair_distances_leave_out_broken_vectors(spark):
     out = vectors.pair_distances(df, df.where("k = 1"), "k", "v", ("cosine", "euclidean"))
     assert sorted((r["id"], round(r["cosine"], 6)) for r in out.collect()) == [(1, 0.0), (5, 0.0)]
     assert vectors.pair_distances(df, df.limit(0), "k", "v", ("cosine",)).count() == 0
+    size, vectors.BLOCK_BYTES = vectors.BLOCK_BYTES, 1
+    try:
+        many = vectors.pair_distances(df, df, "k", "v", ("cosine", "euclidean"))
+        assert sorted((r["id"], r["query_id"]) for r in many.collect()) == [(1, 1), (1, 5), (5, 1), (5, 5)]
+    finally:
+        vectors.BLOCK_BYTES = size
     assert vectors.similarity_weights(out, "euclidean").count() == 2
     z = vectors.max_variance_metric(out, ["cosine", "euclidean"], unique_share=0.4)
     assert {r["metric"] for r in z.collect()} <= {"cosine", "euclidean"}
