@@ -108,16 +108,16 @@ def boolean_distances(x: np.ndarray, q: np.ndarray, metrics: tuple[str, ...]) ->
 
 
 def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The query set in blocks of at most BLOCK_BYTES, one at a time on the driver."""
-    ids, rows, size = [], [], 0
+    """The query set in blocks of at most BLOCK_BYTES and one vector length, one at a time on the driver."""
+    held: dict[int, tuple[list, list]] = {}
     for r in queries.toLocalIterator():
+        ids, rows = held.setdefault(len(r[1]), ([], []))
         ids.append(r[0])
         rows.append(r[1])
-        size += 8 * len(r[1])
-        if size >= BLOCK_BYTES:
+        if 8 * len(rows) * len(r[1]) >= BLOCK_BYTES:
             yield np.array(ids), np.array(rows, np.float64)
-            ids, rows, size = [], [], 0
-    if ids:
+            del held[len(r[1])]
+    for ids, rows in held.values():
         yield np.array(ids), np.array(rows, np.float64)
 
 
@@ -125,11 +125,11 @@ def pair_distances(df: DataFrame, queries: DataFrame, key: str, vector: str, met
     """id, query_id and a column per metric for every row against every row of a stated query set.
 
     Queries are broadcast in blocks of at most 16 MB, each block meeting the table in one pass of numpy kernels; more queries
-    mean more passes. Rows whose vector is null, or has null or NaN components or another length than the queries', are left out; an
+    mean more passes. Vectors that are null, empty or have null or NaN components are left out, as are pairs of different length; an
     undefined distance is null. Ids must not be null. An empty query set gives no rows.
     """
     spark = df.sparkSession
-    ok = F.col(vector).isNotNull() & ~F.exists(vector, lambda v: v.isNull() | F.isnan(v.cast("double")))
+    ok = F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda v: v.isNull() | F.isnan(v.cast("double")))
     def ready(t: DataFrame) -> DataFrame:
         return t.where(ok).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
@@ -149,11 +149,12 @@ def pair_distances(df: DataFrame, queries: DataFrame, key: str, vector: str, met
             ids, q = held.value
             for b in batches:
                 b = b[b["v"].map(len) == q.shape[1]]
+                spread = variance if variance is None else variance[: q.shape[1]]
                 step = max(1, _CELLS // max(1, q.size))
                 for lo in range(0, len(b), step):
                     part = b.iloc[lo : lo + step]
                     x = np.stack(part["v"].to_list()).astype(np.float64)
-                    found = scalar_distances(x, q, scalar, variance) | boolean_distances(x, q, boolean)
+                    found = scalar_distances(x, q, scalar, spread) | boolean_distances(x, q, boolean)
                     out = {"id": np.repeat(part["id"].to_numpy(), len(ids)), "query_id": np.tile(ids, len(part))}
                     yield pd.DataFrame(out | {m: np.where(np.isfinite(found[m]), found[m], np.nan).ravel() for m in metrics})
 

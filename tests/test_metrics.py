@@ -80,7 +80,9 @@ def test_pair_distances_leave_out_broken_vectors(spark):
     size, vectors.BLOCK_BYTES = vectors.BLOCK_BYTES, 1
     try:
         many = vectors.pair_distances(df, df, "k", "v", ("cosine", "euclidean"))
-        assert sorted((r["id"], r["query_id"]) for r in many.collect()) == [(1, 1), (1, 5), (5, 1), (5, 5)]
+        assert sorted((r["id"], r["query_id"]) for r in many.collect()) == [(1, 1), (1, 5), (5, 1), (5, 5), (6, 6)]
+        vectors.BLOCK_BYTES = size
+        assert vectors.pair_distances(df, df, "k", "v", vectors.SCALAR + vectors.BOOLEAN).count() == 5
     finally:
         vectors.BLOCK_BYTES = size
     assert vectors.similarity_weights(out, "euclidean").count() == 2
