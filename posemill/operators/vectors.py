@@ -16,7 +16,7 @@ ship(__name__)
 
 SCALAR = ("braycurtis", "canberra", "cityblock", "correlation", "cosine", "euclidean", "jensenshannon", "minkowski", "seuclidean", "sqeuclidean")
 BOOLEAN = (
-    "yule", "kulsinski", "hamming", "sokalsneath", "Tanimoto", "Dice", "Cosine", "Sokal", "Russel", "RogotGoldberg", "AllBit", "Kulczynski",
+    "yule", "kulsinski", "hamming", "sokalsneath", "Tanimoto", "Dice", "CosineBits", "Sokal", "Russel", "RogotGoldberg", "AllBit", "Kulczynski",
     "McConnaughey", "Asymmetric", "BraunBlanquet", "Tversky",
 )
 BLOCK_BYTES = 16 << 20
@@ -93,7 +93,7 @@ def boolean_distances(x: np.ndarray, q: np.ndarray, metrics: tuple[str, ...]) ->
             "sokalsneath": lambda: 2 * (b + c) / (a + 2 * (b + c)),
             "Tanimoto": lambda: 1 - a / (a + b + c),
             "Dice": lambda: 1 - 2 * a / (nx + nq),
-            "Cosine": lambda: 1 - a / np.sqrt(nx * nq),
+            "CosineBits": lambda: 1 - a / np.sqrt(nx * nq),
             "Sokal": lambda: 1 - a / (a + 2 * (b + c)),
             "Russel": lambda: 1 - a / n,
             "RogotGoldberg": lambda: 1 - (a / (nx + nq) + d / (2 * n - nx - nq)),

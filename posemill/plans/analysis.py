@@ -236,7 +236,7 @@ def inhibition_shapes(spark: SparkSession, folder: str) -> DataFrame:
 # ---- vectors ----------------------------------------------------------------------------------------------------------
 
 _SCALARS = ("braycurtis", "canberra", "cityblock", "correlation", "cosine", "euclidean", "minkowski", "sqeuclidean")
-_BITS = ("yule", "kulsinski", "hamming", "sokalsneath", "Tanimoto", "Dice", "Cosine", "Sokal", "Russel", "RogotGoldberg", "AllBit", "Kulczynski", "McConnaughey", "Asymmetric", "BraunBlanquet", "Tversky")
+_BITS = ("yule", "kulsinski", "hamming", "sokalsneath", "Tanimoto", "Dice", "CosineBits", "Sokal", "Russel", "RogotGoldberg", "AllBit", "Kulczynski", "McConnaughey", "Asymmetric", "BraunBlanquet", "Tversky")
 _PAIRS = """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)"""
 
 
@@ -260,7 +260,7 @@ def scalar_distances(spark: SparkSession, folder: str) -> DataFrame:
 @query(_PAIRS + """, d AS (SELECT a.vec_id AS id, b.vec_id AS query_id, count(*) FILTER (a.v > 0 AND b.v > 0)::DOUBLE AS a, count(*) FILTER (a.v > 0 AND b.v <= 0)::DOUBLE AS b,
  count(*) FILTER (a.v <= 0 AND b.v > 0)::DOUBLE AS c, count(*) FILTER (a.v <= 0 AND b.v <= 0)::DOUBLE AS d, count(*)::DOUBLE AS n FROM e a JOIN e b ON a.i = b.i AND b.vec_id % 100 = 0 GROUP BY 1, 2)
  SELECT id, query_id, round(CASE WHEN b * c = 0 THEN 0 ELSE 2 * b * c / (a * d + b * c) END, 6) AS yule, round((b + c - a + n) / (b + c + n), 6) AS kulsinski, round((b + c) / n, 6) AS hamming,
- round(2 * (b + c) / (a + 2 * (b + c)), 6) AS sokalsneath, round(1 - a / (a + b + c), 6) AS "Tanimoto", round(1 - 2 * a / (2 * a + b + c), 6) AS "Dice", round(1 - a / sqrt((a + b) * (a + c)), 6) AS "Cosine_",
+ round(2 * (b + c) / (a + 2 * (b + c)), 6) AS sokalsneath, round(1 - a / (a + b + c), 6) AS "Tanimoto", round(1 - 2 * a / (2 * a + b + c), 6) AS "Dice", round(1 - a / sqrt((a + b) * (a + c)), 6) AS "CosineBits",
  round(1 - a / (a + 2 * (b + c)), 6) AS "Sokal", round(1 - a / n, 6) AS "Russel", round(1 - (a / (2 * a + b + c) + d / (2 * n - 2 * a - b - c)), 6) AS "RogotGoldberg", round((b + c) / n, 6) AS "AllBit",
  round(1 - (a / (a + b) + a / (a + c)) / 2, 6) AS "Kulczynski", round(1 - (a * (2 * a + b + c) - (a + b) * (a + c)) / ((a + b) * (a + c)), 6) AS "McConnaughey",
  round(1 - a / least(a + b, a + c), 6) AS "Asymmetric", round(1 - a / greatest(a + b, a + c), 6) AS "BraunBlanquet", round(1 - a / (0.5 * b + c + a), 6) AS "Tversky" FROM d""")
@@ -268,7 +268,7 @@ def boolean_distances(spark: SparkSession, folder: str) -> DataFrame:
     rows, asked = _embeddings(spark, folder)
     bits = F.transform("embedding", lambda v: (v > 0).cast("int"))
     pairs = vectors.pair_distances(rows.withColumn("embedding", bits), asked.withColumn("embedding", bits), "vec_id", "embedding", _BITS)
-    return pairs.select("id", "query_id", *[(F.round(m, 6) + F.lit(0.0)).alias("Cosine_" if m == "Cosine" else m) for m in _BITS])
+    return pairs.select("id", "query_id", *[(F.round(m, 6) + F.lit(0.0)).alias(m) for m in _BITS])
 
 
 @query()
