@@ -40,6 +40,7 @@ _SEPARATOR = re.compile(r"[,;|>•·]|::|\s[/–-]\s")
 _MARKS = ".,;:!?()[]{}\"'*#|<>/–-•·"
 
 LIST_FUNCTION_SHARE = 0.15
+LOW_FUNCTION_SHARE = 0.1
 MEASURED_SHARE = 0.25
 PIECES = 5
 PIECE_WORDS = 4
@@ -47,6 +48,9 @@ RUN_LINES = 5
 LAGS = 6
 REGULAR_SHARE = 0.45
 REGULAR_WORDS = 12
+WIDE_LAGS = 30
+WIDE_SHARE = 0.6
+SENTENCE_WORDS = 25
 
 
 def _parts(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,8 +83,8 @@ def list_shares(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Number of words of every text, and how many of them stand in lists or regular repetition instead of sentences.
 
     Works on all texts of a batch at once. A token's terms recur regularly where, within a line, most content words meet
-    themselves again inside the lag window (the autocorrelation of the token sequence at lags 1 to LAGS); a sentence is a
-    list of nouns where hardly any function word occurs; a line is a list where many separators part short pieces; short
+    themselves again inside the lag window (the autocorrelation of the token sequence at lags 1 to LAGS, or to WIDE_LAGS where a
+    line runs on without the ends of sentences); a sentence is a list of nouns where hardly any function word occurs; a line is a list where many separators part short pieces; short
     unclosed lines are a list where several follow one another. Parts in which every fourth token is a
     number are measured values, never lists.
     """
@@ -102,9 +106,9 @@ def list_shares(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         return np.bincount(key, weight, n)
 
     in_sentence, in_line = per(sentence, real, n_sentences), per(line, real, n_lines)
-    bare = (per(sentence, function, n_sentences) < LIST_FUNCTION_SHARE * in_sentence) & (
-        per(sentence, number, n_sentences) < MEASURED_SHARE * in_sentence
-    )
+    linking = per(sentence, function, n_sentences)
+    bare = (linking < LIST_FUNCTION_SHARE * in_sentence) & ((linking < 2) | (linking < LOW_FUNCTION_SHARE * in_sentence))
+    bare &= per(sentence, number, n_sentences) < MEASURED_SHARE * in_sentence
     free = per(line, number, n_lines) < MEASURED_SHARE * in_line
     parted = (separators >= PIECES) & (in_line <= PIECE_WORDS * (separators + 1)) & free
     short = (in_line <= PIECE_WORDS) & ~closed & free
@@ -113,12 +117,17 @@ def list_shares(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     run = np.cumsum(begins) - 1
     runs = short & (np.bincount(run)[run] >= RUN_LINES)
     recurs = np.zeros(len(term), bool)
-    for lag in range(1, LAGS + 1):
+    of_content = per(line, content, n_lines)
+    for lag in range(1, WIDE_LAGS + 1):
         same = (term[lag:] == term[:-lag]) & (line[lag:] == line[:-lag])
         recurs[lag:] |= same
         recurs[:-lag] |= same
-    regular = (per(line, recurs & content, n_lines) >= REGULAR_SHARE * per(line, content, n_lines)) & (in_line >= REGULAR_WORDS) & free
-    flagged = bare[sentence] | (parted | runs | regular)[line]
+        if lag == LAGS:
+            regular = (per(line, recurs & content, n_lines) >= REGULAR_SHARE * of_content) & (in_line >= REGULAR_WORDS) & free
+    ends = np.array([t[-1] in ".!?" for t in seen])[codes]
+    endless = (in_line >= SENTENCE_WORDS) & (in_line >= SENTENCE_WORDS * per(line, ends, n_lines))
+    wide = (per(line, recurs & content, n_lines) >= WIDE_SHARE * of_content) & endless & free
+    flagged = bare[sentence] | (parted | runs | regular | wide)[line]
     doc = of_text[line]
     return np.bincount(doc, words, len(texts)).astype(np.int64), np.bincount(doc, words * flagged, len(texts)).astype(np.int64)
 

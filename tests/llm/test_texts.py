@@ -128,10 +128,12 @@ PROSE = "The score of the pose was measured again because the first run had fail
     ("text", "spam"),
     [
         (PROSE * 4, False),
+        ("Rescoring put olv-33404 at rank 182, docking alone at rank 141 (see batch 17). " * 3, False),
         ("cheap kinase inhibitor. Looking for kinase inhibitor? kinase inhibitor sale. " * 9, True),
         ("We are the fragment set of X, the best fragment set for you. It is the fragment set for fragment set and the fragment set. " * 5, True),
         ("buy\nsale\nhome\nlogin\ncart\nsupplier\n" * 6, True),
         ("biblioteca de compuestos\npedir en línea\noferta\nen existencia\n" * 6, True),
+        ("pedir en línea Quillorn mejor precio en existencia biblioteca de compuestos oferta " * 6, True),
         ("home > cart > login > home > sitemap > login > cart > home > offers", True),
         ("[a](http://x.test/a?id=1)\n[b](http://y.test/b)\n" * 6, True),
         ("https://www.x.example/kapu?id=31\nhttps://y.test/a.html\n" * 6, True),
