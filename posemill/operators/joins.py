@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 def beside(df: DataFrame, one: DataFrame) -> DataFrame:
     """The columns of a one-row table beside every row, as a scalar subquery instead of a join; nulls where it has no row."""
+    name = "_beside"
+    while name in df.columns:
+        name += "_"
     value = one.select(F.struct("*").alias("one")).scalar()
-    return df.select("*", value.alias("_one")).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_one.`{c}`").alias(c) for c in one.columns])
+    return df.select("*", value.alias(name)).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"{name}.`{c}`").alias(c) for c in one.columns])
 
 
 def shared_columns(left: DataFrame, right: DataFrame) -> list[str]:

@@ -1,7 +1,7 @@
 """Early-enrichment evaluation of scores; a lower score is better.
 
-All curves are taken over distinct scores: rows are counted per group and score first (map-side), so windows see each score
-once and tied rows always move together. Rows with a missing score or label do not count. A group with one class only has
+All curves are taken over distinct scores: rows are counted per group and score first (map-side), so running sums see each score
+once, in ranges of scores, and tied rows always move together. Rows with a missing score or label do not count. A group with one class only has
 null metrics.
 """
 
@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from math import exp
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from posemill.operators.joins import null_safe_join
+from posemill.operators.joins import beside, null_safe_join
+from posemill.operators.ranking import running_totals
 
 BEDROC_ALPHA = 20.0
 CROC_ALPHA = 7.0
@@ -23,12 +24,9 @@ def score_blocks(df: DataFrame, score: str, label: str, by: list[str]) -> DataFr
     s = F.col(score).cast("double")
     rows = df.where(s.isNotNull() & ~F.isnan(s) & F.col(label).isNotNull()).withColumn("_s", s)
     blocks = rows.groupBy(*by, "_s").agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    order = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    return (
-        blocks.withColumn("cum_pos", F.sum("pos").over(order)).withColumn("cum_neg", F.sum("neg").over(order))
-        .withColumn("P", F.sum("pos").over(whole)).withColumn("N", F.sum("neg").over(whole))
-    )
+    running = running_totals(blocks, by, "_s", {"pos": "cum_pos", "neg": "cum_neg"})
+    totals = [F.sum("pos").alias("P"), F.sum("neg").alias("N")]
+    return null_safe_join(running, blocks.groupBy(*by).agg(*totals), by) if by else beside(running, blocks.agg(*totals))
 
 
 def _magnified(x: Column, alpha: float) -> Column:
