@@ -12,7 +12,7 @@ from math import exp
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from posemill.operators.joins import beside, null_safe_join
+from posemill.operators.joins import null_safe_join
 from posemill.operators.ranking import running_totals
 
 BEDROC_ALPHA = 20.0
@@ -24,9 +24,7 @@ def score_blocks(df: DataFrame, score: str, label: str, by: list[str]) -> DataFr
     s = F.col(score).cast("double")
     rows = df.where(s.isNotNull() & ~F.isnan(s) & F.col(label).isNotNull()).withColumn("_s", s)
     blocks = rows.groupBy(*by, "_s").agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    running = running_totals(blocks, by, "_s", {"pos": "cum_pos", "neg": "cum_neg"})
-    totals = [F.sum("pos").alias("P"), F.sum("neg").alias("N")]
-    return null_safe_join(running, blocks.groupBy(*by).agg(*totals), by) if by else beside(running, blocks.agg(*totals))
+    return running_totals(blocks, by, "_s", {"pos": ("cum_pos", "P"), "neg": ("cum_neg", "N")})
 
 
 def _magnified(x: Column, alpha: float) -> Column:

@@ -6,30 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posemill.operators.joins import beside, null_safe_join
+from posemill.runtime import Scratch
 
 
 def _present(column: str) -> Column:
     return F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))
 
 
-def running_totals(df: DataFrame, by: list[str], value: str, sums: dict[str, str], descending: bool = False, parts: int = 200) -> DataFrame:
-    """df with running sums (column -> name) in the order of a number, for tables with one row per group and value.
+def running_totals(df: DataFrame, by: list[str], value: str, sums: dict[str, tuple[str, str]], descending: bool = False, parts: int = 200) -> DataFrame:
+    """df with running sums and group totals (column -> their names) in the order of a number, one row per group and value given.
 
     The values are cut into ``parts`` ranges at approximate percentiles; totals of whole ranges are added up per group first,
     and only the rows of one range of one group are ever ordered together. So neither a group with most of the rows nor a
-    table without groups is sorted in one task.
+    table without groups is sorted in one task. The table is written once, being read three times.
     """
+    df = Scratch(df.sparkSession, "totals").cut(df)
     number = F.col(value).cast("double")
     bounds = df.agg(F.percentile_approx(number, [i / parts for i in range(1, parts)], 1000).alias("_bounds"))
     part = F.size(F.filter("_bounds", lambda x: x < number))
     ranged = beside(df, bounds).withColumn("_part", -part if descending else part).drop("_bounds")
-    upto = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*by)
+    upto = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = ranged.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums)])
-    before = whole.select(*by, "_part", *[F.coalesce(F.sum(f"_t{i}").over(upto), F.lit(0)).alias(f"_b{i}") for i in range(len(sums))])
+    known = [x for i in range(len(sums)) for x in (F.coalesce(F.sum(f"_t{i}").over(upto), F.lit(0)).alias(f"_b{i}"), F.sum(f"_t{i}").over(group).alias(f"_a{i}"))]
     order = F.col(value).desc() if descending else F.col(value).asc()
     inside = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = null_safe_join(ranged, before, [*by, "_part"])
-    return joined.select(*df.columns, *[(F.col(f"_b{i}") + F.sum(c).over(inside)).alias(n) for i, (c, n) in enumerate(sums.items())])
+    joined = null_safe_join(ranged, whole.select(*by, "_part", *known), [*by, "_part"])
+    added = [x for i, (c, (n, t)) in enumerate(sums.items()) for x in ((F.col(f"_b{i}") + F.sum(c).over(inside)).alias(n), F.col(f"_a{i}").alias(t))]
+    return joined.select(*df.columns, *added)
 
 
 def distinct_ranks(df: DataFrame, column: str, by: list[str] | None = None, descending: bool = False) -> DataFrame:
@@ -38,11 +42,9 @@ def distinct_ranks(df: DataFrame, column: str, by: list[str] | None = None, desc
     Rows are counted per value before anything is ordered, so the windows see each distinct value once, in ranges.
     """
     by = by or []
-    counts = df.where(_present(column)).groupBy(*by, column).agg(F.count("*").alias("_ties")).withColumn("_one", F.lit(1).cast("long"))
-    ranked = running_totals(counts, by, column, {"_ties": "_upto", "_one": "_dense"}, descending)
-    total = F.sum("_ties").alias("_total")
-    whole = null_safe_join(ranked, counts.groupBy(*by).agg(total), by) if by else beside(ranked, counts.agg(total))
-    return whole.withColumn("_before", F.col("_upto") - F.col("_ties")).drop("_upto", "_one")
+    counts = df.where(_present(column)).groupBy(*by, column).agg(F.count("*").alias("_ties")).withColumn("_each", F.lit(1).cast("long"))
+    ranked = running_totals(counts, by, column, {"_ties": ("_upto", "_total"), "_each": ("_dense", "_values")}, descending)
+    return ranked.withColumn("_before", F.col("_upto") - F.col("_ties")).drop("_upto", "_each", "_values")
 
 
 def add_ranks(df: DataFrame, column: str, method: str, into: str, by: list[str] | None = None, descending: bool = False) -> DataFrame:

@@ -134,8 +134,8 @@ def test_fusion_skips_missing(spark):
 def test_running_totals_over_ranges(spark):
     df = spark.createDataFrame([(g, float(x), x % 3) for g in (None, "a") for x in range(50)], "g string, x double, n int")
     for descending in (False, True):
-        out = ranking.running_totals(df, ["g"], "x", {"n": "s"}, descending, parts=7).collect()
+        out = ranking.running_totals(df, ["g"], "x", {"n": ("s", "t")}, descending, parts=7).collect()
         for g in (None, "a"):
             mine = sorted((r for r in out if r["g"] == g), key=lambda r: -r["x"] if descending else r["x"])
-            assert [r["s"] for r in mine] == [sum(r["n"] for r in mine[: i + 1]) for i in range(50)]
-    assert ranking.running_totals(df.limit(0), ["g"], "x", {"n": "s"}).count() == 0
+            assert [r["s"] for r in mine] == [sum(r["n"] for r in mine[: i + 1]) for i in range(50)] and {r["t"] for r in mine} == {49}
+    assert ranking.running_totals(df.limit(0), ["g"], "x", {"n": ("s", "t")}).count() == 0
