@@ -62,11 +62,11 @@ def _vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _collapse(ids: np.ndarray, groups: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Positions of the rows that stand for all exact copies (same group, same vector): those of smallest id."""
+    """Positions, in the order of ids, of the rows that stand for all exact copies (same group, same vector): those of smallest id."""
     order = np.argsort(ids, kind="stable")
     key = np.concatenate([groups[order, None].view(np.uint8).reshape(len(ids), -1), np.ascontiguousarray(x[order]).view(np.uint8).reshape(len(ids), -1)], 1)
     _, first = np.unique(np.ascontiguousarray(key).view(f"V{key.shape[1]}").ravel(), return_index=True)
-    return np.sort(order[first])
+    return order[np.sort(first)]
 
 
 def _router(trees: list[tuple[np.ndarray, np.ndarray]], route: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -476,7 +476,7 @@ def neighbour_graph(
 ) -> NeighbourGraph:
     """k nearest neighbours by cosine, of another group, of every distinct vector.
 
-    Start: two random projection trees, fitted on at most ``sample`` sampled vectors, cut the collection into blocks of about
+    Start: two random projection trees, fitted on about ``sample`` (at most twice as many) sampled vectors, cut the collection into blocks of about
     ``block_rows``; every row goes to its block of either tree, and inside a block ``trees`` further trees with leaves
     of at most ``leaf`` rows give the first neighbours. NN-descent: in each round every row joins the neighbours that
     list it and those it lists (at most ``members``), their vectors being shuffled once per block that needs them
@@ -493,8 +493,10 @@ def neighbour_graph(
     scratch = Scratch(spark, "neighbours")
     source = _source(rows, record_id, group, vector)
     n = source.count()
-    share = min(1.0, 1.2 * sample / max(n, 1))
-    drawn = source.sample(share, seed).limit(sample).toPandas().iloc[:, 2:].to_numpy(np.float32)
+    share = min(1.0, sample / max(n, 1))
+    # by hash, so the sample and with it the graph is the same on any cluster
+    picked = source.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * sample)
+    drawn = picked.toPandas().sort_values("id").iloc[:, 2:].to_numpy(np.float32)
     norm = np.sqrt((drawn.astype(np.float64) ** 2).sum(1))
     ok = np.isfinite(norm) & (norm > 0)
     drawn = (drawn[ok] / norm[ok, None]).astype(np.float32)
