@@ -69,7 +69,31 @@ def _collapse(ids: np.ndarray, groups: np.ndarray, x: np.ndarray) -> np.ndarray:
     return order[np.sort(first)]
 
 
-def _router(trees: list[tuple[np.ndarray, np.ndarray]], route: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+@dataclass(frozen=True)
+class _Mixed:
+    """Blocks of a tree whose rows are mostly of few groups: how many parts each is cut into, in how many of them a row of
+    another group goes, and which (block, group) are dealt out. ``only`` these blocks are of interest."""
+
+    parts: np.ndarray
+    copies: np.ndarray
+    hot: np.ndarray
+    only: bool = False
+
+    def deal(self, block: np.ndarray, ids: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions, one for each part a row goes to, and the numbers of these parts; parts of all blocks are counted through."""
+        many, times, first = self.parts[block], self.copies[block], (np.cumsum(self.parts) - self.parts)[block]
+        key = np.empty(len(ids), self.hot.dtype)
+        key["block"], key["grp"] = block, groups
+        times = np.where(np.isin(key, self.hot), 1, times)
+        if self.only:
+            times = np.where(np.isin(block, self.hot["block"]), times, 0)
+        row = np.repeat(np.arange(len(ids)), times)
+        turn = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+        at = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+        return row, (first[row] + (at[row] + turn) % many[row]).astype(np.int32)
+
+
+def _router(trees: list[tuple[np.ndarray, np.ndarray]], route: int, mixed: _Mixed | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (block of tree ``route``, home block, id, group, vector); copies inside a batch collapse before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,11 +104,13 @@ def _router(trees: list[tuple[np.ndarray, np.ndarray]], route: int) -> Callable[
             ids, groups = batch.column(0).to_numpy()[ok], batch.column(1).to_numpy()[ok]
             half = x.astype(np.float16)
             first = _collapse(ids, groups, half)
-            x, half = x[first], half[first]
-            at = [_leaf_of(half.astype(np.float32), *t) for t in trees]
+            ids, groups, half = ids[first], groups[first], half[first]
+            home, block = (_leaf_of(half.astype(np.float32), *trees[i]) for i in (0, route))
+            if mixed is not None:
+                row, block = mixed.deal(block, ids, groups)
+                home, ids, groups, half = home[row], ids[row], groups[row], half[row]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(at[route]), pa.array(at[0]), pa.array(ids[first]), pa.array(groups[first]), _packed(half)],
-                names=["block", "home", "id", "grp", "vec"],
+                [pa.array(block), pa.array(home), pa.array(ids), pa.array(groups), _packed(half)], names=["block", "home", "id", "grp", "vec"]
             )
 
     return run
@@ -110,35 +136,84 @@ def _best_of(local: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, n
     return np.where(at < 0, -1, got[0]), np.where(at < 0, _NONE, got[1])
 
 
-def _leaves(x: np.ndarray, idx: np.ndarray, size: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
+def _others(groups: np.ndarray) -> int:
+    """Rows outside the largest group; groups are small numbers."""
+    return len(groups) - int(np.bincount(groups).max()) if len(groups) else 0
+
+
+def _halves(p: np.ndarray, groups: np.ndarray, need: int) -> tuple[float, bool]:
+    """Where to cut projected rows, and whether both sides then have ``need`` rows outside their largest group.
+
+    The cut is the median; where one group has more than a fifth of the rows, all of it weighs as much as a quarter of the rest,
+    so that it stays together with the rows of other groups next to it instead of being cut into pieces of its own.
+    """
+    counts = np.bincount(groups)
+    top = int(counts.argmax())
+    rest = len(p) - int(counts[top])
+    if 4 * counts[top] <= rest:
+        cut = np.median(p)
+    else:
+        order = np.argsort(p, kind="stable")
+        total = np.cumsum(np.where(groups == top, rest / 4 / counts[top], 1.0)[order])
+        cut = p[order[min(np.searchsorted(total, total[-1] / 2), len(p) - 1)]]
+    left = p < cut
+    return float(cut), min(_others(groups[left]), _others(groups[~left])) >= need
+
+
+def _leaves(x: np.ndarray, groups: np.ndarray, idx: np.ndarray, size: int, need: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """Leaves of at most ``size`` rows, of which a group that prevails counts as a quarter of the others; a node that no tried
+    plane cuts into two with ``need`` rows of other groups each is a leaf, whatever its size."""
     todo = [idx]
     while todo:
         idx = todo.pop()
-        if len(idx) <= size:
+        others = _others(groups[idx])
+        if len(idx) <= size or min(len(idx), others + others // 4) <= size and others < 4 * len(idx) // 5:
             yield idx
             continue
-        a, b = rng.choice(len(idx), 2, replace=False)
-        p = x[idx] @ (x[idx[a]] - x[idx[b]])
-        left = p < np.median(p)
-        if not left.any() or left.all():
-            left = rng.random(len(idx)) < 0.5
-        todo += [idx[left], idx[~left]]
+        for _ in range(4):
+            a, b = rng.choice(len(idx), 2, replace=False)
+            p = x[idx] @ (x[idx[a]] - x[idx[b]])
+            cut, fine = _halves(p, groups[idx], need)
+            left = p < cut
+            if not left.any() or left.all():
+                left = rng.random(len(idx)) < 0.5
+                fine = min(_others(groups[idx[left]]), _others(groups[idx[~left]])) >= need
+            if fine:
+                todo += [idx[left], idx[~left]]
+                break
+        else:
+            yield idx
 
 
 def _forest(x: np.ndarray, groups: np.ndarray, k: int, trees: int, leaf: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """k nearest of other groups among the rows that share a leaf with it, over several random projection trees."""
     n = len(x)
+    groups = np.unique(groups, return_inverse=True)[1]
     best, sims = np.full((n, k), -1, np.int32), np.full((n, k), _NONE, np.float32)
     rng = np.random.default_rng(seed)
     for _ in range(trees if n > leaf else 1):
-        for idx in _leaves(x, np.arange(n), leaf, rng):
-            s = x[idx] @ x[idx].T
-            s[groups[idx][:, None] == groups[idx][None, :]] = _NONE
-            m = min(k, len(idx))
-            top = np.argpartition(-s, m - 1, 1)[:, :m]
-            s = np.take_along_axis(s, top, 1)
-            near = np.where(s > _NONE, idx[top], -1).astype(np.int32)
-            best[idx], sims[idx] = _best_of(np.concatenate([best[idx], near], 1), np.concatenate([sims[idx], s], 1), k)
+        whole = False
+        for idx in _leaves(x, groups, np.arange(n), leaf, max(k, leaf // 16), rng):
+            whole = len(idx) == n
+            large = np.flatnonzero(np.bincount(groups[idx]) > leaf) if len(idx) > leaf else []
+            # rows of a group too large for a leaf meet only the rows of the others
+            for own in [*large, None] if len(large) else [None]:
+                rows = idx[~np.isin(groups[idx], large)] if own is None else idx[groups[idx] == own]
+                seen = idx if own is None else idx[groups[idx] != own]
+                m = min(k, len(seen))
+                if not m:
+                    continue
+                step = max(1, max(leaf * leaf, 1 << 20) // len(seen))
+                for lo in range(0, len(rows), step):
+                    at = rows[lo : lo + step]
+                    s = x[at] @ x[seen].T
+                    s[groups[at][:, None] == groups[seen][None, :]] = _NONE
+                    top = np.argpartition(-s, m - 1, 1)[:, :m]
+                    s = np.take_along_axis(s, top, 1)
+                    near = np.where(s > _NONE, seen[top], -1).astype(np.int32)
+                    best[at], sims[at] = _best_of(np.concatenate([best[at], near], 1), np.concatenate([sims[at], s], 1), k)
+        if whole:
+            break  # every other tree would give the same
     return best, sims
 
 
@@ -447,23 +522,55 @@ class NeighbourGraph:
     edges: DataFrame
 
 
-def _fit_tree(x: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Complete tree of median splits along differences of two sampled vectors."""
+def _fit_tree(x: np.ndarray, depth: int, rng: np.random.Generator, groups: np.ndarray | None = None, need: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Complete tree of median splits along differences of two sampled vectors.
+
+    With ``groups``, a node is cut only where both sides keep ``need`` sampled rows outside their largest group.
+    """
+    groups = None if groups is None else np.unique(groups, return_inverse=True)[1]
     planes, cuts = np.zeros((2**depth - 1, x.shape[1] if x.ndim == 2 else 1), np.float32), np.zeros(2**depth - 1, np.float32)
     members = {0: np.arange(len(x))}
     for node in range(2**depth - 1):
         idx = members.pop(node)
+        p = np.zeros(len(idx), np.float32)
         if len(idx) > 1:
-            a, b = rng.choice(idx, 2, replace=False)
-            planes[node] = x[a] - x[b]
-            p = x[idx] @ planes[node]
-            cuts[node] = np.median(p)
-        else:
-            p = np.zeros(len(idx), np.float32)
+            for _ in range(1 if groups is None else 4):
+                a, b = rng.choice(idx, 2, replace=False)
+                planes[node] = x[a] - x[b]
+                p = x[idx] @ planes[node]
+                cuts[node], fine = (np.median(p), True) if groups is None else _halves(p, groups[idx], need)
+                if fine:
+                    break
+            else:
+                planes[node], cuts[node] = 0, np.inf  # all go left
         members[2 * node + 1], members[2 * node + 2] = idx[p < cuts[node]], idx[p >= cuts[node]]
     return planes, cuts
 
 
+def _counted(x: np.ndarray, groups: np.ndarray, tree: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, group) of the sampled rows, how many there are of each, and whether the group prevails: more than half of a block, and 8 rows."""
+    block = _leaf_of(x, *tree)
+    pair, counts = np.unique(np.rec.fromarrays([block, groups], dtype=[("block", "<i4"), ("grp", "<i8")]), return_counts=True)
+    return pair, counts, (2 * counts > np.bincount(block, minlength=len(tree[0]) + 1)[pair["block"]]) & (counts >= 8)
+
+
+def _mix(
+    x: np.ndarray, groups: np.ndarray, home: tuple[np.ndarray, np.ndarray], tree: tuple[np.ndarray, np.ndarray], rows_each: float, block_rows: int, only: bool
+) -> _Mixed:
+    """How to deal out the blocks of a tree, judged by sampled rows that stand for ``rows_each`` rows: groups that prevail in a
+    block of the tree or of the home tree, or have more than half of ``block_rows`` in a block."""
+    at_home, _, first = _counted(x, groups, home)
+    pair, counts, second = _counted(x, groups, tree)
+    blocks, size = len(tree[0]) + 1, counts * rows_each
+    hot = (np.isin(pair["grp"], np.concatenate([at_home["grp"][first], pair["grp"][second]])) & (counts >= 8)) | (size > block_rows / 2)
+    dealt = np.bincount(pair["block"][hot], size[hot], blocks)
+    other = np.bincount(pair["block"], size, blocks) - dealt
+    parts = np.maximum(1, np.ceil(dealt / block_rows)).astype(np.int64)
+    # every part takes all other rows of the block, up to about block_rows of them
+    copies = np.maximum(1, np.minimum(parts, parts * block_rows // np.maximum(other, 1))).astype(np.int64)
+    return _Mixed(parts, copies, np.ascontiguousarray(pair[hot]).view(np.dtype([("block", "<i4"), ("grp", "<i8")])), only)
+
+
 def _source(rows: DataFrame, record_id: str, group: str, vector: list[str]) -> DataFrame:
     return rows.where(F.col(record_id).isNotNull() & F.col(group).isNotNull()).select(
         F.col(record_id).cast("long").alias("id"), F.xxhash64(group).alias("grp"), *[F.col(c).cast("float").alias(f"v{i}") for i, c in enumerate(vector)]
@@ -473,19 +580,23 @@ def _source(rows: DataFrame, record_id: str, group: str, vector: list[str]) -> D
 def neighbour_graph(
     rows: DataFrame, record_id: str, group: str, vector: list[str], k: int = 11, block_rows: int = 25_000, sample: int = 20_000,
     trees: int = 7, leaf: int = 1024, members: int = 20, rounds: int = 4, settled: float = 0.1, seed: int = 7,
+    mixing: int = 6,
 ) -> NeighbourGraph:
     """k nearest neighbours by cosine, of another group, of every distinct vector.
 
     Start: two random projection trees, fitted on about ``sample`` (at most twice as many) sampled vectors, cut the collection into blocks of about
     ``block_rows``; every row goes to its block of either tree, and inside a block ``trees`` further trees with leaves
-    of at most ``leaf`` rows give the first neighbours. NN-descent: in each round every row joins the neighbours that
+    of at most ``leaf`` rows give the first neighbours. A group that prevails somewhere is not cut off from the others: trees
+    inside a block, and the second tree of blocks, cut only where rows of other groups stay on both sides, and a block too large for
+    that is dealt out in parts, each with the rows of other groups. Blocks with such a group are made by ``mixing`` trees instead of one, as
+    its rows fill one another's home blocks. NN-descent: in each round every row joins the neighbours that
     list it and those it lists (at most ``members``), their vectors being shuffled once per block that needs them
     instead of once per pair, and improvements travel back to the block where a row is at home. It ends when fewer than
     ``settled`` of all edges changed, or after ``rounds``. Every row is indexed; only the trees are fitted on a sample.
 
     Exact copies (same group, same vector) collapse to the row of smallest id, within each batch before the shuffle, so a group
     of copies with a third of all rows is no hot block. Defined cases: rows with a null id or group, with a null, NaN or infinite
-    component or a zero vector are left out; rows without any row of another group in reach have fewer than k edges; an
+    component or a zero vector are left out; rows have fewer than k edges only where hardly any rows of other groups exist; an
     empty table gives no rows. Ids must not be negative. Other columns are ignored. Returns the graph table for
     neighbour_list and greedy_search.
     """
@@ -496,18 +607,28 @@ def neighbour_graph(
     share = min(1.0, sample / max(n, 1))
     # by hash, so the sample and with it the graph is the same on any cluster
     picked = source.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * sample)
-    drawn = picked.toPandas().sort_values("id").iloc[:, 2:].to_numpy(np.float32)
+    table = picked.toPandas().sort_values("id")
+    drawn, kinds = table.iloc[:, 2:].to_numpy(np.float32), table["grp"].to_numpy(np.int64)
     norm = np.sqrt((drawn.astype(np.float64) ** 2).sum(1))
     ok = np.isfinite(norm) & (norm > 0)
-    drawn = (drawn[ok] / norm[ok, None]).astype(np.float32)
+    drawn, kinds = (drawn[ok] / norm[ok, None]).astype(np.float32), kinds[ok]
+    distinct = np.sort(_collapse(np.arange(len(drawn)), kinds, drawn.astype(np.float16))) if len(drawn) else np.zeros(0, np.int64)
     depth = 0
     while n > block_rows * 2**depth and 16 * 2 ** (depth + 1) <= max(len(drawn), 1):
         depth += 1
     rng = np.random.default_rng(seed)
-    forest = [_fit_tree(drawn, depth, rng) for _ in range(2)]
+    forest = [_fit_tree(drawn, depth, rng), _fit_tree(drawn[distinct], depth, rng, kinds[distinct])]
     routed = "block int, home int, id long, grp long, vec binary"
     if depth:
-        found = source.mapInArrow(_router(forest, 1), routed).groupBy("block").applyInArrow(_block_forest(k, trees, leaf), _FOUND)
+        found = None
+        for i in range(1, 1 + mixing):
+            if i > 1:
+                forest.append(_fit_tree(drawn[distinct], depth, rng, kinds[distinct]))
+            mixed = _mix(drawn[distinct], kinds[distinct], forest[0], forest[i], n / max(len(drawn), 1), block_rows, i > 1)
+            here = source.mapInArrow(_router(forest, i, mixed), routed).groupBy("block").applyInArrow(_block_forest(k, trees, leaf), _FOUND)
+            found = here if found is None else found.unionByName(here)
+            if not len(mixed.hot):
+                break
     else:
         found = spark.createDataFrame([], _FOUND)
     start = source.mapInArrow(_router(forest, 0), routed).groupBy("home").cogroup(found.groupBy("home"))

@@ -82,3 +82,30 @@ def test_empty_and_single(spark, table):
         assert neighbour_list(graph, 5).count() == 0
         assert similar_pairs(few, "feature_id", "grp", VECTOR, graph, 5, 0.9).count() == 0
         assert greedy_search(graph, few, "feature_id", "grp", VECTOR, 5).count() == 0
+
+
+@pytest.mark.parametrize("block", [12_000, 700])
+def test_tight_group_of_a_third(spark, block):
+    """Distinct rows of one group, close together: every one has neighbours, and its pairs are found."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, D))
+    hot = rng.normal(size=D)
+    x[:1000] = hot + 0.01 * rng.normal(size=(1000, D))
+    x[1000:1004] = hot + 0.3 * rng.normal(size=(4, D))
+    x = x.astype(np.float32)
+    group = np.array(["hot" if i < 1000 else f"s{i}" for i in range(3000)])
+    rows = [(i, str(group[i]), *map(float, x[i])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "feature_id long, grp string, " + ", ".join(f"{v} float" for v in VECTOR))
+    graph = neighbour_graph(df, "feature_id", "grp", VECTOR, k=11, block_rows=block, leaf=100, sample=3000)
+    listed = {}
+    for r in neighbour_list(graph, 10).collect():
+        listed.setdefault(r["id"], []).append(r["neighbour"])
+    assert all(len(listed.get(i, [])) == 10 for i in range(3000))
+    s = cosine(x.astype(np.float64))
+    s[group[:, None] == group[None, :]] = -2
+    recall = [np.mean([s[i, j] >= np.sort(s[i])[-10] - 1e-3 for j in listed[i]]) for i in range(1000)]
+    assert np.mean(recall) >= 0.9
+    least = float(np.quantile(s[:1000].max(1), 0.5))
+    pairs = {(r["id_a"], r["id_b"]) for r in similar_pairs(df, "feature_id", "grp", VECTOR, graph, 11, least).collect()}
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(s >= least, 1)), strict=True) if i < 1000}
+    assert len(want & pairs) >= 0.95 * len(want)
