@@ -52,21 +52,22 @@ def _leaf_of(x: np.ndarray, planes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 
 def _vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors from the third column on, and which rows have one."""
-    x = np.empty((batch.num_rows, batch.num_columns - 2), np.float32)
-    for j in range(2, batch.num_columns):
-        x[:, j - 2] = batch.column(j).to_numpy(zero_copy_only=False)
+    """Unit vectors from the fourth column on, and which rows have one."""
+    x = np.empty((batch.num_rows, batch.num_columns - 3), np.float32)
+    for j in range(3, batch.num_columns):
+        x[:, j - 3] = batch.column(j).to_numpy(zero_copy_only=False)
     norm = np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))
     ok = np.isfinite(norm) & (norm > 0)
     return (x[ok] / norm[ok, None]).astype(np.float32), ok
 
 
-def _collapse(ids: np.ndarray, groups: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Positions, in the order of ids, of the rows that stand for all exact copies (same group, same vector): those of smallest id."""
-    order = np.argsort(ids, kind="stable")
-    key = np.concatenate([groups[order, None].view(np.uint8).reshape(len(ids), -1), np.ascontiguousarray(x[order]).view(np.uint8).reshape(len(ids), -1)], 1)
-    _, first = np.unique(np.ascontiguousarray(key).view(f"V{key.shape[1]}").ravel(), return_index=True)
-    return order[np.sort(first)]
+def _collapse(ids: np.ndarray, groups: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Positions, in the order of ids, of the rows that stand for all exact copies (same group, same key of the raw vector): those of smallest id."""
+    order = np.lexsort((ids, keys, groups))
+    new = np.ones(len(ids), bool)
+    new[1:] = (np.diff(groups[order]) != 0) | (np.diff(keys[order]) != 0)
+    first = order[new]
+    return first[np.argsort(ids[first], kind="stable")]
 
 
 @dataclass(frozen=True)
@@ -94,7 +95,7 @@ class _Mixed:
 
 
 def _router(trees: list[tuple[np.ndarray, np.ndarray]], route: int, mixed: _Mixed | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (block of tree ``route``, home block, id, group, vector); copies inside a batch collapse before the shuffle."""
+    """Rows (block of tree ``route``, home block, id, group, key, vector); copies inside a batch collapse before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,15 +103,16 @@ def _router(trees: list[tuple[np.ndarray, np.ndarray]], route: int, mixed: _Mixe
             if not len(x):
                 continue
             ids, groups = batch.column(0).to_numpy()[ok], batch.column(1).to_numpy()[ok]
-            half = x.astype(np.float16)
-            first = _collapse(ids, groups, half)
-            ids, groups, half = ids[first], groups[first], half[first]
+            keys, half = batch.column(2).to_numpy()[ok], x.astype(np.float16)
+            first = _collapse(ids, groups, keys)
+            ids, groups, keys, half = ids[first], groups[first], keys[first], half[first]
             home, block = (_leaf_of(half.astype(np.float32), *trees[i]) for i in (0, route))
             if mixed is not None:
                 row, block = mixed.deal(block, ids, groups)
-                home, ids, groups, half = home[row], ids[row], groups[row], half[row]
+                home, ids, groups, keys, half = home[row], ids[row], groups[row], keys[row], half[row]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block), pa.array(home), pa.array(ids), pa.array(groups), _packed(half)], names=["block", "home", "id", "grp", "vec"]
+                [pa.array(block), pa.array(home), pa.array(ids), pa.array(groups), pa.array(keys), _packed(half)],
+                names=["block", "home", "id", "grp", "key", "vec"],
             )
 
     return run
@@ -229,7 +231,7 @@ def _block_forest(k: int, trees: int, leaf: int) -> Callable[[pa.Table], pa.Tabl
     def run(t: pa.Table) -> pa.Table:
         ids, groups, home = _longs(t["id"]), _longs(t["grp"]), _longs(t["home"])
         x = _unpacked(t["vec"], np.float16)
-        first = _collapse(ids, groups, x)
+        first = _collapse(ids, groups, _longs(t["key"]))
         ids, groups, home, x = ids[first], groups[first], home[first], x[first].astype(np.float32)
         near, sims = _forest(x, groups, k, trees, leaf, 1 + int(t["block"][0].as_py()))
         return pa.table([pa.array(home), pa.array(ids), _packed(_edges(near, sims, ids, home))], names=["home", "id", "edges"])
@@ -274,7 +276,7 @@ def _home_forest(k: int, trees: int, leaf: int) -> Callable[[pa.Table, pa.Table]
 
     def run(t: pa.Table, found: pa.Table) -> pa.Table:
         ids, groups, half = _longs(t["id"]), _longs(t["grp"]), _unpacked(t["vec"], np.float16)
-        first = _collapse(ids, groups, half)
+        first = _collapse(ids, groups, _longs(t["key"]))
         ids, groups, half = ids[first], groups[first], half[first]
         home = int(t["home"][0].as_py())
         near, sims = _forest(half.astype(np.float32), groups, k, trees, leaf, -1 - home & 0xFFFF)
@@ -573,7 +575,8 @@ def _mix(
 
 def _source(rows: DataFrame, record_id: str, group: str, vector: list[str]) -> DataFrame:
     return rows.where(F.col(record_id).isNotNull() & F.col(group).isNotNull()).select(
-        F.col(record_id).cast("long").alias("id"), F.xxhash64(group).alias("grp"), *[F.col(c).cast("float").alias(f"v{i}") for i, c in enumerate(vector)]
+        F.col(record_id).cast("long").alias("id"), F.xxhash64(group).alias("grp"), F.xxhash64(*vector).alias("key"),
+        *[F.col(c).cast("float").alias(f"v{i}") for i, c in enumerate(vector)]
     )
 
 
@@ -594,7 +597,7 @@ def neighbour_graph(
     instead of once per pair, and improvements travel back to the block where a row is at home. It ends when fewer than
     ``settled`` of all edges changed, or after ``rounds``. Every row is indexed; only the trees are fitted on a sample.
 
-    Exact copies (same group, same vector) collapse to the row of smallest id, within each batch before the shuffle, so a group
+    Exact copies (same group, same vector as given, by the hash that copies_of compares; multiples of a vector are none) collapse to the row of smallest id, within each batch before the shuffle, so a group
     of copies with a third of all rows is no hot block. Defined cases: rows with a null id or group, with a null, NaN or infinite
     component or a zero vector are left out; rows have fewer than k edges only where hardly any rows of other groups exist; an
     empty table gives no rows. Ids must not be negative. Other columns are ignored. Returns the graph table for
@@ -608,17 +611,17 @@ def neighbour_graph(
     # by hash, so the sample and with it the graph is the same on any cluster
     picked = source.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * sample)
     table = picked.toPandas().sort_values("id")
-    drawn, kinds = table.iloc[:, 2:].to_numpy(np.float32), table["grp"].to_numpy(np.int64)
+    drawn, kinds = table.iloc[:, 3:].to_numpy(np.float32), table["grp"].to_numpy(np.int64)
     norm = np.sqrt((drawn.astype(np.float64) ** 2).sum(1))
     ok = np.isfinite(norm) & (norm > 0)
     drawn, kinds = (drawn[ok] / norm[ok, None]).astype(np.float32), kinds[ok]
-    distinct = np.sort(_collapse(np.arange(len(drawn)), kinds, drawn.astype(np.float16))) if len(drawn) else np.zeros(0, np.int64)
+    distinct = np.sort(_collapse(np.arange(len(drawn)), kinds, table["key"].to_numpy(np.int64)[ok]))
     depth = 0
     while n > block_rows * 2**depth and 16 * 2 ** (depth + 1) <= max(len(drawn), 1):
         depth += 1
     rng = np.random.default_rng(seed)
     forest = [_fit_tree(drawn, depth, rng), _fit_tree(drawn[distinct], depth, rng, kinds[distinct])]
-    routed = "block int, home int, id long, grp long, vec binary"
+    routed = "block int, home int, id long, grp long, key long, vec binary"
     if depth:
         found = None
         for i in range(1, 1 + mixing):

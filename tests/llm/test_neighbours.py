@@ -109,3 +109,18 @@ def test_tight_group_of_a_third(spark, block):
     pairs = {(r["id_a"], r["id_b"]) for r in similar_pairs(df, "feature_id", "grp", VECTOR, graph, 11, least).collect()}
     want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(s >= least, 1)), strict=True) if i < 1000}
     assert len(want & pairs) >= 0.95 * len(want)
+
+
+def test_only_exact_copies_collapse(spark):
+    """Multiples of a vector, and vectors that differ below half precision, are rows and have pairs of their own."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, D)).astype(np.float32)
+    x[1], x[2], x[3] = 2 * x[0], x[0] * np.float32(1 + 1e-6), x[0]
+    x[4] = x[0] + np.float32(0.001)
+    group = ["a"] * 4 + [f"s{i}" for i in range(4, 60)]
+    rows = [(i, group[i], *map(float, x[i])) for i in range(60)]
+    df = spark.createDataFrame(rows, "feature_id long, grp string, " + ", ".join(f"{v} float" for v in VECTOR))
+    graph = neighbour_graph(df, "feature_id", "grp", VECTOR, k=11)
+    assert {r["id"] for r in neighbour_list(graph, 10).collect()} == set(range(60)) - {3}
+    pairs = {(r["id_a"], r["id_b"]) for r in similar_pairs(df, "feature_id", "grp", VECTOR, graph, 11, 0.99).collect()}
+    assert {(i, 4) for i in range(4)} <= pairs
