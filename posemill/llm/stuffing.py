@@ -51,6 +51,10 @@ REGULAR_WORDS = 12
 WIDE_LAGS = 30
 WIDE_SHARE = 0.6
 SENTENCE_WORDS = 25
+PHRASE = 4
+PHRASE_TIMES = 10
+PHRASE_TURNS = 3
+PHRASE_SHARE = 0.6
 
 
 def _parts(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,12 +83,45 @@ def _parts(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray,
     return tokens, ints(in_sentence), ints(in_line), ints(of_text), ints(separators), np.array(closed, bool)
 
 
+def _phrases(term: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which tokens stand in a phrase of PHRASE words that its text has at least PHRASE_TIMES times, mostly at equal distances.
+
+    Distances of any length count, to the next occurrence or to one of the PHRASE_TURNS - 1 after it, as a period may hold a phrase more than once.
+    """
+    repeated = np.zeros(len(term), bool)
+    n = len(term) - PHRASE + 1
+    if n <= 2 * PHRASE_TURNS:
+        return repeated
+    code = doc[:n].astype(np.uint64)
+    for i in range(PHRASE):
+        code = (code ^ code >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + term[i : n + i].astype(np.uint64)
+    code = (code ^ code >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    inside = np.flatnonzero(doc[:n] == doc[PHRASE - 1 :])
+    if len(inside) <= 2 * PHRASE_TURNS:
+        return repeated
+    place = inside[np.argsort(code[inside], kind="stable")]
+    begin = np.append(True, code[place[1:]] != code[place[:-1]])
+    of = np.cumsum(begin) - 1
+    times = np.bincount(of)
+    even = np.zeros(len(place), bool)
+    for turn in range(1, PHRASE_TURNS + 1):
+        gap = place[turn:] - place[:-turn]
+        alike = (of[2 * turn :] == of[: -2 * turn]) & (np.abs(gap[turn:] - gap[:-turn]) <= 1 + gap[turn:] // 10)
+        for shift in (0, turn, 2 * turn):
+            even[shift : shift + len(alike)] |= alike
+    often = place[((times >= PHRASE_TIMES) & (np.bincount(of, even) >= PHRASE_SHARE * times))[of]]
+    for i in range(PHRASE):
+        repeated[often + i] = True
+    return repeated
+
+
 def list_shares(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Number of words of every text, and how many of them stand in lists or regular repetition instead of sentences.
 
     Works on all texts of a batch at once. A token's terms recur regularly where, within a line, most content words meet
     themselves again inside the lag window (the autocorrelation of the token sequence at lags 1 to LAGS, or to WIDE_LAGS where a
-    line runs on without the ends of sentences); a sentence is a list of nouns where hardly any function word occurs; a line is a list where many separators part short pieces; short
+    line runs on without the ends of sentences; adjacent lines too short to show it are taken together), or where most of them stand in
+    phrases that the whole text repeats at equal distances, however long; a sentence is a list of nouns where hardly any function word occurs; a line is a list where many separators part short pieces; short
     unclosed lines are a list where several follow one another. Parts in which every fourth token is a
     number are measured values, never lists.
     """
@@ -118,16 +155,33 @@ def list_shares(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     runs = short & (np.bincount(run)[run] >= RUN_LINES)
     recurs = np.zeros(len(term), bool)
     of_content = per(line, content, n_lines)
+    # adjacent lines too short to show a recurrence are one stretch, which measured values end
+    brief = (in_line < REGULAR_WORDS) & free
+    apart = np.ones(n_lines, bool)
+    apart[1:] = (of_text[1:] != of_text[:-1]) | ~brief[1:] | ~brief[:-1]
+    stretch_of = np.cumsum(apart) - 1
+    stretch = stretch_of[line]
+    n_stretches = int(stretch[-1]) + 1
+    across = np.zeros(len(term), bool)
     for lag in range(1, WIDE_LAGS + 1):
         same = (term[lag:] == term[:-lag]) & (line[lag:] == line[:-lag])
         recurs[lag:] |= same
         recurs[:-lag] |= same
+        if lag <= LAGS:
+            same = (term[lag:] == term[:-lag]) & (stretch[lag:] == stretch[:-lag])
+            across[lag:] |= same
+            across[:-lag] |= same
         if lag == LAGS:
-            regular = (per(line, recurs & content, n_lines) >= REGULAR_SHARE * of_content) & (in_line >= REGULAR_WORDS) & free
+            in_stretch = per(stretch, real, n_stretches)
+            regular = (per(stretch, across & content, n_stretches) >= REGULAR_SHARE * per(stretch, content, n_stretches)) & (in_stretch >= REGULAR_WORDS)
+            regular = regular[stretch_of] & free
     ends = np.array([t[-1] in ".!?" for t in seen])[codes]
     endless = (in_line >= SENTENCE_WORDS) & (in_line >= SENTENCE_WORDS * per(line, ends, n_lines))
     wide = (per(line, recurs & content, n_lines) >= WIDE_SHARE * of_content) & endless & free
-    flagged = bare[sentence] | (parted | runs | regular | wide)[line]
+    repeated = per(sentence, _phrases(term, of_text[line]) & content, n_sentences)
+    contents = per(sentence, content, n_sentences)
+    again = (repeated >= PHRASE_SHARE * contents) & (contents > 0) & (per(sentence, number, n_sentences) < MEASURED_SHARE * in_sentence)
+    flagged = (bare | again)[sentence] | (parted | runs | regular | wide)[line]
     doc = of_text[line]
     return np.bincount(doc, words, len(texts)).astype(np.int64), np.bincount(doc, words * flagged, len(texts)).astype(np.int64)
 

@@ -152,6 +152,37 @@ def test_list_shares(text, spam):
     assert (listed[0] * 2 > total[0]) == spam
 
 
+LONG = "We are told that the finest docking software for every laboratory in the whole country is made by the people of Tarsundel who never sleep."
+
+
+@pytest.mark.parametrize("between", ["\n", " ", "\n\n"])
+@pytest.mark.parametrize(
+    ("text", "spam"),
+    [
+        ("The docking software of the docking software in Tarsundel.", True),
+        (LONG, True),
+        (LONG.replace(" docking ", " docking software and docking "), True),
+    ],
+)
+def test_recurrence_across_lines_and_sentences(text, spam, between):
+    total, listed = list_shares([PROSE, between.join([text] * 200), PROSE + LONG])
+    assert [bool(a * 2 > b) for a, b in zip(listed, total, strict=True)] == [False, spam, False]
+
+
+def test_scattered_sentences_are_no_recurrence():
+    rng = random.Random(1)
+    often = [
+        "The grid for the site was too small, so poses are missing.",
+        "We still lack the second measurement, which comes on Monday with the rest of the plates.",
+        "Without water in the pocket the value falls.",
+        "The ring turns when the side chain of the residue changes its place, which the first run had not shown at all.",
+        "Docking alone ranked it low.",
+    ]
+    text = "\n".join(" ".join(rng.choices(often, k=3)) for _ in range(12))
+    total, listed = list_shares([text])
+    assert listed[0] * 2 <= total[0]
+
+
 def test_list_pages_of_odd_tables(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "buy " * 300_000, 1), (3, PROSE, 1), (None, PROSE, 1)], "doc_id long, text string, share int")
     got = sorted(((r["doc_id"], r["share"] > 0.5) for r in list_pages(docs, "doc_id", "text").collect()), key=str)
