@@ -582,7 +582,7 @@ def _source(rows: DataFrame, record_id: str, group: str, vector: list[str]) -> D
 
 def neighbour_graph(
     rows: DataFrame, record_id: str, group: str, vector: list[str], k: int = 11, block_rows: int = 25_000, sample: int = 20_000,
-    trees: int = 7, leaf: int = 1024, members: int = 20, rounds: int = 4, settled: float = 0.1, seed: int = 7,
+    trees: int = 7, leaf: int = 1024, members: int = 20, rounds: int = 4, settled: float = 0.01, seed: int = 7,
     mixing: int = 6,
 ) -> NeighbourGraph:
     """k nearest neighbours by cosine, of another group, of every distinct vector.

@@ -124,3 +124,21 @@ def test_only_exact_copies_collapse(spark):
     assert {r["id"] for r in neighbour_list(graph, 10).collect()} == set(range(60)) - {3}
     pairs = {(r["id_a"], r["id_b"]) for r in similar_pairs(df, "feature_id", "grp", VECTOR, graph, 11, 0.99).collect()}
     assert {(i, 4) for i in range(4)} <= pairs
+
+
+def test_descent_runs_until_few_edges_change(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, D))
+    hot = rng.normal(size=D)
+    x[:1000] = hot + 0.01 * rng.normal(size=(1000, D))
+    x[1000:1004] = hot + 0.3 * rng.normal(size=(4, D))
+    x = x.astype(np.float32)
+    group = np.array(["hot" if i < 1000 else f"s{i}" for i in range(3000)])
+    rows = [(i, str(group[i]), *map(float, x[i])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "feature_id long, grp string, " + ", ".join(f"{v} float" for v in VECTOR))
+    graph = neighbour_graph(df, "feature_id", "grp", VECTOR, k=11, block_rows=700, leaf=100, sample=3000)
+    s = cosine(x.astype(np.float64))
+    s[group[:, None] == group[None, :]] = -2
+    least = np.sort(s, 1)[:, -10] - 1e-3
+    good = [s[r["id"], r["neighbour"]] >= least[r["id"]] for r in neighbour_list(graph, 10).collect() if r["id"] >= 1000]
+    assert np.mean(good) >= 0.97
