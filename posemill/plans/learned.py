@@ -88,8 +88,8 @@ def forest_contributions(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def perm_importance(spark: SparkSession, folder: str) -> DataFrame:
     rows = _rows(spark, folder)
-    model = learning.fit(rows, "logistic_regression", FEATURE_COLUMNS[:4], "is_active")
-    return learning.permutation_importance(model, rows, FEATURE_COLUMNS[:4], "is_active")
+    model = learning.fit(rows, "logistic_regression", FEATURE_COLUMNS, "is_active")
+    return learning.permutation_importance(model, rows, FEATURE_COLUMNS, "is_active")
 
 
 @query()

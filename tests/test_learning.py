@@ -84,3 +84,9 @@ def test_boosting_kernel_and_cross_validation(table):
     assert lr.coefficients[0] > abs(lr.coefficients[1])
     reg = {r["feature"]: r["coefficient"] for r in learning.regression(table, ["a", "b"], "y", "lasso", 0.05).collect()}
     assert reg["a"] > 0.1 and abs(reg["b"]) < 0.05
+
+
+def test_permutation_importance_covers_all_features(spark, data):
+    from posemill.plans.learned import FEATURE_COLUMNS, perm_importance
+
+    assert sorted(r["feature"] for r in perm_importance(spark, data).collect()) == sorted(FEATURE_COLUMNS)
