@@ -14,4 +14,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | parsing.SQL

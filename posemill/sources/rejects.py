@@ -79,19 +79,55 @@ def read_fingerprint_lines(lines: DataFrame, line_id: str, raw: str, counts: int
     return loaded, judged.where("reason is not null").select(F.col("id").alias(line_id), "reason", F.col("line").alias("raw"))
 
 
+ATOM_LINE = "number double, name string, x double, y double, z double, type string, residue_id string, residue string, charge double"
+BOND_LINE = "number double, a double, b double, type string"
+_ANY = "[^ ]+"
+_REAL = _NUMBER[1:-1]
+_STRICT = {ATOM_LINE: f"^{_REAL} {_ANY} {_REAL} {_REAL} {_REAL} {_ANY} {_ANY} {_ANY} {_REAL}$", BOND_LINE: f"^{_REAL} {_REAL} {_REAL} {_ANY}$"}
+
+
 def _finite(c: Column) -> Column:
     """Whether a text is a finite number; null counts as none."""
     value = c.try_cast("double")
     return F.coalesce(c.rlike(_NUMBER) & (F.abs(value) < float("inf")), F.lit(False))
 
 
+def _whole(c: Column) -> Column:
+    """Whether a text is a finite number without a fraction."""
+    return _finite(c) & F.coalesce(c.try_cast("double") == F.rint(c.try_cast("double")), F.lit(False))
+
+
+def _read_lines(lines: Column, schema: str) -> Column:
+    """Every line of a block as a struct of its schema, with ``fault``: null, column_count or bad_value.
+
+    Lines, their fields parted by single blanks, are read permissively; ``_corrupt`` keeps the raw text of those the reader could
+    not fit, and only these and what it took in too leniently are classified again, by the number of fields and then by casts.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "sep": " ", "quote": "", "comment": "", "maxCharsPerColumn": "-1"}
+    fields = [f.split()[0] for f in schema.split(", ")]
+    numbers = [f.split()[0] for f in schema.split(", ") if f.endswith(" double")]
+    read = F.transform(lines, lambda x: F.struct(x.alias("line"), F.from_csv(x, f"{schema}, _corrupt string", options).alias("p")))
+
+    def judged(x: Column) -> Column:
+        finite = F.lit(True)
+        for n in numbers:
+            finite = finite & (F.abs(x["p"][n]) < float("inf"))
+        clean = x["p"]["_corrupt"].isNull() & F.coalesce(finite, F.lit(False)) & x["line"].rlike(_STRICT[schema])
+        fault = F.when(clean, F.lit(None).cast("string")).when(F.size(F.split(x["line"], " ")) != len(fields), "column_count").otherwise("bad_value")
+        return F.struct(*[x["p"][f].alias(f) for f in fields], fault.alias("fault"))
+
+    return F.transform(read, judged)
+
+
 def parse_mol2(records: DataFrame, record_id: str, raw: str) -> DataFrame:
     """Every record with its parts and the first reason why it is broken (null: none).
 
     Columns: id, molname (lower case), energy, atoms ARRAY<STRUCT<number, name, x, y, z, type, charge>>, bonds
     ARRAY<STRUCT<number, a, b, type>>, reason, raw. Reasons in order: missing_section, bad_name, column_count, bad_value,
-    count_mismatch. Lines end in LF or CR LF, fields are parted by blanks or tabs, blank lines and lines starting with
-    ``#`` are skipped inside the blocks; other sections are passed over. A null record misses its sections.
+    count_mismatch. Atom and bond lines are read permissively under ATOM_LINE and BOND_LINE, see _read_lines. Lines end in
+    LF or CR LF, fields are parted by blanks or tabs, blank lines and lines starting with ``#`` are skipped inside the
+    blocks; other sections are passed over. The two counts number lines, so a fraction in one is a bad value. A null record
+    misses its sections.
     """
     lines = F.transform(F.split(F.coalesce(F.col(raw), F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"\r$", ""))
     once = lambda c: F.explode(F.array(c))  # noqa: E731  # keeps a derived column from being computed at every use
@@ -103,43 +139,39 @@ def parse_mol2(records: DataFrame, record_id: str, raw: str) -> DataFrame:
         return F.array_position("heads", F.lit(section)).cast("int")
 
     def block(section: str) -> Column:
-        """Fields of the lines between a section's header and the next one."""
+        """Lines between a section's header and the next one, their fields parted by single blanks."""
         after = F.col(f"at_{section}")
         tail = F.slice("heads", after + 1, F.greatest(F.lit(0), F.size("heads") - after))
         length = F.array_position(F.transform(tail, lambda h: h.isNotNull()), F.lit(True)).cast("int") - 1
         inner = F.slice("lines", after + 1, F.when(length < 0, F.greatest(F.lit(0), F.size("lines") - after)).otherwise(length))
-        useful = F.filter(inner, lambda x: (F.trim(F.translate(x, "\t", " ")) != "") & ~x.startswith("#"))
-        return F.when(after > 0, F.transform(useful, lambda x: F.split(F.trim(F.translate(x, "\t", " ")), " +"))).otherwise(
-            F.array().cast("array<array<string>>")
-        )
+        tidy = F.transform(F.filter(inner, lambda x: ~x.startswith("#")), lambda x: F.trim(F.regexp_replace(x, "[ \t]+", " ")))
+        return F.when(after > 0, F.filter(tidy, lambda x: x != "")).otherwise(F.array().cast("array<string>"))
 
     for s in ("MOLECULE", "ATOM", "BOND"):
         rows = rows.withColumn(f"at_{s}", start(s))
-    rows = rows.withColumn("blocks", once(F.struct(*[block(s).alias(s) for s in ("ATOM", "BOND")])))
-    rows = rows.withColumn("ATOM", F.col("blocks.ATOM")).withColumn("BOND", F.col("blocks.BOND"))
+    rows = rows.withColumn("blocks", once(F.struct(block("ATOM").alias("ATOM"), block("BOND").alias("BOND"))))
+    read = F.struct(_read_lines(F.col("blocks.ATOM"), ATOM_LINE).alias("ATOM"), _read_lines(F.col("blocks.BOND"), BOND_LINE).alias("BOND"))
+    rows = rows.withColumn("read", once(read)).withColumn("ATOM", F.col("read.ATOM")).withColumn("BOND", F.col("read.BOND"))
     name = F.regexp_replace(F.coalesce(F.get("lines", F.col("at_MOLECULE")), F.lit("")), r"^[ \t]+|[ \t]+$", "")
     counts = F.split(F.trim(F.translate(F.coalesce(F.get("lines", F.col("at_MOLECULE") + 1), F.lit("")), "\t", " ")), " +")
     energy = F.get(F.filter("lines", lambda x: x.rlike(r"(?i)^\s*energy:")), F.lit(0))
     energy = F.nullif(F.regexp_replace(energy, r"(?i)^\s*energy:\s*|\s+$", ""), F.lit(""))
     rows = rows.withColumn("name", name).withColumn("n_atoms", F.get(counts, F.lit(0))).withColumn("n_bonds", F.get(counts, F.lit(1))).withColumn("energy_text", energy)
     n_atoms, n_bonds = F.col("n_atoms").try_cast("double"), F.col("n_bonds").try_cast("double")
-    at = lambda f, i: F.get(f, F.lit(i))
-    atoms_fit = F.forall("ATOM", lambda f: F.size(f) == 9)
-    bonds_fit = F.forall("BOND", lambda f: F.size(f) == 4)
-    atom_ok = F.forall("ATOM", lambda f: _finite(at(f, 0)) & _finite(at(f, 2)) & _finite(at(f, 3)) & _finite(at(f, 4)) & _finite(at(f, 8)))
-    ends_ok = lambda c: _finite(c) & F.coalesce((c.try_cast("double") >= 1) & (c.try_cast("double") <= n_atoms), F.lit(False))
-    bond_ok = F.forall("BOND", lambda f: _finite(at(f, 0)) & ends_ok(at(f, 1)) & ends_ok(at(f, 2)))
+    has = lambda fault: F.exists("ATOM", lambda x: x["fault"].eqNullSafe(fault)) | F.exists("BOND", lambda x: x["fault"].eqNullSafe(fault))
+    inside = lambda end: F.coalesce((end >= 1) & (end <= n_atoms), F.lit(False))
+    ends_ok = F.forall("BOND", lambda x: inside(x["a"]) & inside(x["b"]))
     energy_ok = F.col("energy_text").isNull() | (F.lower("energy_text") == "nan") | _finite(F.col("energy_text"))
     reason = (
         F.when((F.col("at_MOLECULE") == 0) | (F.col("at_ATOM") == 0) | (F.col("at_BOND") == 0), "missing_section")
         .when(~F.col("name").rlike(_POSE), "bad_name")
-        .when(~(atoms_fit & bonds_fit), "column_count")
-        .when(~(_finite(F.col("n_atoms")) & _finite(F.col("n_bonds")) & atom_ok & bond_ok & energy_ok), "bad_value")
+        .when(has("column_count"), "column_count")
+        .when(~(_whole(F.col("n_atoms")) & _whole(F.col("n_bonds")) & ~has("bad_value") & ends_ok & energy_ok), "bad_value")
         .when((F.size("ATOM") != n_atoms) | (F.size("BOND") != n_bonds), "count_mismatch")
     )
-    num = lambda c, t="double": c.try_cast(t)
-    atoms = F.transform("ATOM", lambda f: F.struct(num(at(f, 0), "int").alias("number"), at(f, 1).alias("name"), num(at(f, 2)).alias("x"), num(at(f, 3)).alias("y"), num(at(f, 4)).alias("z"), at(f, 5).alias("type"), num(at(f, 8)).alias("charge")))
-    bonds = F.transform("BOND", lambda f: F.struct(num(at(f, 0), "int").alias("number"), num(at(f, 1), "int").alias("a"), num(at(f, 2), "int").alias("b"), at(f, 3).alias("type")))
+    whole = lambda c: c.try_cast("int")
+    atoms = F.transform("ATOM", lambda f: F.struct(whole(f["number"]).alias("number"), f["name"].alias("name"), *[f[c].alias(c) for c in ("x", "y", "z", "type", "charge")]))
+    bonds = F.transform("BOND", lambda f: F.struct(whole(f["number"]).alias("number"), whole(f["a"]).alias("a"), whole(f["b"]).alias("b"), f["type"].alias("type")))
     return rows.select(
         "id", F.lower("name").alias("molname"), F.when(F.lower("energy_text") != "nan", F.col("energy_text").try_cast("double")).alias("energy"),
         atoms.alias("atoms"), bonds.alias("bonds"), reason.alias("reason"), "raw",

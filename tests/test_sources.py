@@ -77,6 +77,18 @@ def test_mol2_reasons(spark):
     assert read_mol2_records(df.limit(0), "record_id", "raw")[0].count() == 0
 
 
+def test_mol2_counts_and_numbers_the_lenient_reader_takes(spark):
+    texts = [
+        mol().replace(" 3 2 1", " 3.5 2 1"), mol().replace(" 3 2 1", " 3.0 2 1"), mol(charge="0.1f"), mol(charge="0x1p3"), mol(charge="Infinity"), mol(charge='"0.1"'),
+        mol().replace("  C1 ", '  "C1 '), mol(charge="1e400"), mol(charge="1.e-3"), mol().replace(" 3 2 1", " 3 1.5 1").replace("C1", "#C1"),
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "record_id long, raw string")
+    loaded, rejected = read_mol2_records(df, "record_id", "raw")
+    assert {r["record_id"]: r["reason"] for r in rejected.collect()} == dict.fromkeys([0, 2, 3, 4, 5, 7, 9], "bad_value")
+    good = {r["record_id"]: r for r in loaded.collect()}
+    assert sorted(good) == [1, 6, 8] and good[6]["atoms"][0]["name"] == '"C1' and good[8]["atoms"][2]["charge"] == 0.001
+
+
 def test_structure_descriptors(spark):
     parsed = parse_mol2(spark.createDataFrame([(1, mol())], "record_id long, raw string"), "record_id", "raw")
     r = parsed.select(chemistry.molecular_weight("atoms").alias("mw"), chemistry.heavy_atoms("atoms").alias("h"), chemistry.heteroatoms("atoms").alias("x"), chemistry.rmsd("atoms", "atoms").alias("d"), *[c.alias(n) for n, c in chemistry.bond_type_counts("bonds").items()]).first()
