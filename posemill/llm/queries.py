@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from posemill.functions.keys import base_of, clean_name, clean_protein
-from posemill.llm.components import linked_groups
+from posemill.llm.components import linked_groups, with_groups
 from posemill.llm.cutoffs import keep_fraction_cutoffs, kept_records
 from posemill.llm.leaks import leaked_items
 from posemill.llm.mixing import mix_sources, mixture_report
@@ -53,14 +53,14 @@ def _groups(spark: SparkSession, folder: str, names: DataFrame) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     names = _names(spark, folder)
-    groups = _groups(spark, folder, names).where("n_records >= 2").drop("n_records")
-    return names.join(groups, "name").select("feature_id", "group_name")
+    return with_groups(names, "name", _groups(spark, folder, names)).where("n_records >= 2").select("feature_id", "group_name")
 
 
 def p3_splits(spark: SparkSession, folder: str) -> DataFrame:
     names = _names(spark, folder)
-    grouped = names.join(_groups(spark, folder, names).select("name", "group_name"), "name", "left")
-    grouped = Scratch(spark, "grouped").cut(grouped.select("feature_id", "group_name", "is_active"))
+    named = with_groups(names.where("name is not null"), "name", _groups(spark, folder, names)).select("feature_id", "group_name", "is_active")
+    nameless = names.where("name is null").select("feature_id", F.lit(None).cast("string").alias("group_name"), "is_active")
+    grouped = Scratch(spark, "grouped").cut(named.unionByName(nameless))
     return grouped.join(assign_splits(grouped, "feature_id", "group_name", "is_active", SHARES), "feature_id")
 
 

@@ -147,6 +147,7 @@ def test_components_path_star_and_random(spark):
     pairs += [("x", "x"), (None, "a"), ("a", None), ("b", "c"), ("c", "b"), ("b", "c")]
     df = spark.createDataFrame([(*p, 1) for p in pairs], "a string, b string, node int")
     assert {r["node"]: r["root"] for r in connected_components(df, "a", "b").collect()} == brute_components(pairs)
+    assert {r["node"]: r["root"] for r in connected_components(df, "a", "b", hot_rows=10).collect()} == brute_components(pairs)
     assert connected_components(df.limit(0), "a", "b").count() == 0
 
 
@@ -173,6 +174,21 @@ def test_closest_subset_is_the_closest(sizes, target):
     assert target <= 0 or abs(total - goal) <= min(abs(t - goal) for t in reach) + 1
 
 
+def test_large_histograms_stay_exact_and_sizes_take_part_in_proportion():
+    sizes = {1: 800_000_000} | dict.fromkeys(range(2, 400), 3)
+    total = sum(s * m for s, m in sizes.items())
+    for memory in (1 << 29, 1 << 16):
+        taken = closest_subset(sizes, total / 10, memory)
+        assert all(c <= sizes[s] for s, c in taken.items())
+        assert abs(sum(s * c for s, c in taken.items()) - total / 10) <= 1
+    taken = closest_subset({1: 800, 2: 50, 10: 10}, 100)
+    assert sum(s * c for s, c in taken.items()) == 100 and taken[10] <= 2 and taken[1] >= 70
+    # one group of each of many sizes, more than the bitsets could hold
+    sizes = dict.fromkeys(range(1, 3000), 1)
+    taken = closest_subset(sizes, sum(sizes) / 10, 1 << 20)
+    assert abs(sum(s * c for s, c in taken.items()) - sum(sizes) / 10) <= 1 and max(taken.values()) == 1
+
+
 def test_split_plan_never_uses_a_group_twice():
     plan = split_plan({"none": {1: (100, 0.0), 7: (3, 0.0)}, "all": {2: (9, 2.0)}, "quarter1": {50: (1, 15.0)}}, {"train": 0.8, "validation": 0.1, "test": 0.1})
     for key in {(p[0], p[1]) for p in plan}:
@@ -197,4 +213,7 @@ def test_splits_keep_groups_shares_and_balance(spark):
         mine = [r for r in rows if out[r[0]] == split]
         assert abs(len(mine) / len(rows) - share) < 0.01
         assert abs(sum(r[2] or 0 for r in mine) / len(mine) - sum(r[2] or 0 for r in rows) / len(rows)) < 0.03
+    shares = {"train": 0.7, "validation": 0.1, "test": 0.2}
+    parts = {r["id"]: r["split"] for r in assign_splits(df, "id", "g", "y", shares, bucket_groups=20).collect()}
+    assert len(parts) == len(rows) and all(abs(sum(v == k for v in parts.values()) / len(rows) - x) < 0.01 for k, x in shares.items())
     assert assign_splits(df.limit(0), "id", "g", "y", {"train": 0.8, "test": 0.2}).count() == 0
