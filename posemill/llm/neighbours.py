@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posemill.runtime import Scratch, ship
@@ -70,6 +70,53 @@ def _collapse(ids: np.ndarray, groups: np.ndarray, keys: np.ndarray) -> np.ndarr
     return first[np.argsort(ids[first], kind="stable")]
 
 
+@dataclass(frozen=True)
+class _Cells:
+    """A tree and, where its leaves would hold too many rows, further cuts of every leaf at the medians along common directions.
+
+    The tree is bounded by the sample it is fitted on; the further cuts take a number per leaf and direction, so
+    cells stay small however many rows there are.
+    """
+
+    planes: np.ndarray
+    cuts: np.ndarray
+    directions: np.ndarray
+    medians: np.ndarray
+
+    def count(self) -> int:
+        return (len(self.planes) + 1) << len(self.directions)
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        return _leaf_of(x, self.planes, self.cuts)
+
+    def inner(self, x: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Which of the parts of its leaf a row is in."""
+        if not len(self.directions):
+            return np.zeros(len(x), np.int64)
+        return ((x @ self.directions.T >= self.medians[leaf]) << np.arange(len(self.directions))).sum(1)
+
+    def cell(self, x: np.ndarray) -> np.ndarray:
+        leaf = self.leaf(x)
+        return (leaf + (len(self.planes) + 1) * self.inner(x, leaf)).astype(np.int32)
+
+    def reached(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) for every cell that may hold a vector within ``radius`` of a row."""
+        row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+        width = radius * np.sqrt((self.planes**2).sum(1))
+        while len(node) and node[0] < len(self.planes):
+            off = np.einsum("ij,ij->i", x[row], self.planes[node]) - self.cuts[node]
+            left, right = off < width[node], off >= -width[node]
+            row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
+        leaf = node - len(self.planes)
+        cell = leaf.copy()
+        for i, d in enumerate(self.directions):
+            off, wide = x[row] @ d - self.medians[leaf, i], radius * float(np.sqrt((d * d).sum()))
+            low, high = off < wide, off >= -wide
+            step = (len(self.planes) + 1) << i
+            row, leaf, cell = np.concatenate([row[low], row[high]]), np.concatenate([leaf[low], leaf[high]]), np.concatenate([cell[low], cell[high] + step])
+        return row, cell.astype(np.int32)
+
+
 @dataclass(frozen=True)
 class _Mixed:
     """Blocks of a tree whose rows are mostly of few groups: how many parts each is cut into, in how many of them a row of
@@ -80,22 +127,23 @@ class _Mixed:
     hot: np.ndarray
     only: bool = False
 
-    def deal(self, block: np.ndarray, ids: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions, one for each part a row goes to, and the numbers of these parts; parts of all blocks are counted through."""
+    def deal(self, block: np.ndarray, groups: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions, one for each part a row goes to, and the numbers of these parts; parts of all blocks are counted through.
+        Exact copies go the same ways."""
         many, times, first = self.parts[block], self.copies[block], (np.cumsum(self.parts) - self.parts)[block]
-        key = np.empty(len(ids), self.hot.dtype)
+        key = np.empty(len(keys), self.hot.dtype)
         key["block"], key["grp"] = block, groups
         times = np.where(np.isin(key, self.hot), 1, times)
         if self.only:
             times = np.where(np.isin(block, self.hot["block"]), times, 0)
-        row = np.repeat(np.arange(len(ids)), times)
+        row = np.repeat(np.arange(len(keys)), times)
         turn = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-        at = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+        at = ((keys ^ groups).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
         return row, (first[row] + (at[row] + turn) % many[row]).astype(np.int32)
 
 
-def _router(trees: list[tuple[np.ndarray, np.ndarray]], route: int, mixed: _Mixed | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (block of tree ``route``, home block, id, group, key, vector); copies inside a batch collapse before the shuffle."""
+def _locator(cells: _Cells) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (home block, id, group, key, unit vector in half precision); copies inside a batch collapse."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,18 +154,31 @@ def _router(trees: list[tuple[np.ndarray, np.ndarray]], route: int, mixed: _Mixe
             keys, half = batch.column(2).to_numpy()[ok], x.astype(np.float16)
             first = _collapse(ids, groups, keys)
             ids, groups, keys, half = ids[first], groups[first], keys[first], half[first]
-            home, block = (_leaf_of(half.astype(np.float32), *trees[i]) for i in (0, route))
-            if mixed is not None:
-                row, block = mixed.deal(block, ids, groups)
-                home, ids, groups, keys, half = home[row], ids[row], groups[row], keys[row], half[row]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block), pa.array(home), pa.array(ids), pa.array(groups), pa.array(keys), _packed(half)],
-                names=["block", "home", "id", "grp", "key", "vec"],
+                [pa.array(cells.cell(half.astype(np.float32))), pa.array(ids), pa.array(groups), pa.array(keys), _packed(half)], names=["home", "id", "grp", "key", "vec"]
             )
 
     return run
 
 
+def _router(cells: _Cells, mixed: _Mixed) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Located rows with their block of another tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            x = _unpacked(t["vec"], np.float16).astype(np.float32)
+            leaf = cells.leaf(x)
+            row, part = mixed.deal(leaf, _longs(t["grp"]), _longs(t["key"]))
+            block = part + int(mixed.parts.sum()) * cells.inner(x, leaf)[row]
+            taken = t.take(pa.array(row)).combine_chunks()
+            yield from pa.table([pa.array((block % (2**31 - 1)).astype(np.int32)), *taken.columns], names=["block", *taken.column_names]).to_batches()
+
+    return run
+
+
 def _merge(ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
     """Positions (rows x k) of the k most similar distinct ids of every row; empty slots have sim -2."""
     order = np.argsort(ids, 1, kind="stable")
@@ -287,17 +348,28 @@ def _home_forest(k: int, trees: int, leaf: int) -> Callable[[pa.Table, pa.Table]
     return run
 
 
-def _spread(t: pa.Table, edges: np.ndarray) -> pa.Table:
-    """Each row to its home block with all its edges, and to every block it has neighbours in with the edges into it."""
+def _spread(t: pa.Table, edges: np.ndarray, members: int) -> pa.Table:
+    """Each row to its home block with all its edges, and to every block it has neighbours in with the edges into it.
+
+    Of the edges that lead from these rows to one and the same row elsewhere, the ``members`` most similar go: the join there
+    looks at no more, and a row that very many rows list does not gather them all.
+    """
     home = _longs(t["home"])
     away = np.where(edges["part"] == home[:, None], -1, edges["part"])
-    away.sort(1)
+    at = np.flatnonzero(away.ravel() >= 0)
+    by = at[np.lexsort((-edges["sim"].ravel()[at].astype(np.float32), edges["id"].ravel()[at]))]
+    listed = edges["id"].ravel()[by]
+    over = by[np.arange(len(by)) - np.searchsorted(listed, listed) >= members]
+    away.ravel()[over] = -1
+    kept = np.ones(edges.shape, bool)
+    kept.ravel()[over] = False
+    away = np.sort(away, 1)
     new = away >= 0
     new[:, 1:] &= away[:, 1:] != away[:, :-1]
     row, col = np.nonzero(new)
     target = away[row, col]
     sent = edges[row]
-    outside = sent["part"] != target[:, None]
+    outside = (sent["part"] != target[:, None]) | ~kept[row]
     sent["id"][outside], sent["sim"][outside] = -1, 0
     weakest = np.where(edges["id"] < 0, _NONE, edges["sim"].astype(np.float32)).min(1)
     rows = np.concatenate([np.arange(len(home)), row])
@@ -312,18 +384,25 @@ def _spread(t: pa.Table, edges: np.ndarray) -> pa.Table:
     )
 
 
-def _spread_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            t = pa.Table.from_batches([batch])
-            yield from _spread(t, _unpacked(t["edges"], _EDGE)).to_batches()
+def _spread_first(members: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                t = pa.Table.from_batches([batch])
+                yield from _spread(t, _unpacked(t["edges"], _EDGE), members).to_batches()
+
+    return run
 
 
-def _spread_again(t: pa.Table, later: pa.Table) -> pa.Table:
+def _spread_again(members: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """As _spread_first, with the edges of a later round beside the first table's vectors."""
-    edges = _unpacked(later["edges"], _EDGE)
-    order = np.argsort(_longs(later["id"]))
-    return _spread(t, edges[order[np.searchsorted(_longs(later["id"]), _longs(t["id"]), sorter=order)]])
+
+    def run(t: pa.Table, later: pa.Table) -> pa.Table:
+        edges = _unpacked(later["edges"], _EDGE)
+        order = np.argsort(_longs(later["id"]))
+        return _spread(t, edges[order[np.searchsorted(_longs(later["id"]), _longs(t["id"]), sorter=order)]], members)
+
+    return run
 
 
 def _local_join(k: int, members: int) -> Callable[[pa.Table], pa.Table]:
@@ -421,6 +500,56 @@ def _listed(k: int, at_least: float) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
+def _dealt(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket by the hash of the id, as ids may have any step."""
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+
+
+def _full(at_least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows all of whose edges are at least so similar: they may have more such neighbours than edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                t = pa.Table.from_batches([batch])
+                edges = _unpacked(t["edges"], _EDGE)
+                whole = ((edges["id"] >= 0) & (edges["sim"] >= at_least)).all(1)
+                yield pa.RecordBatch.from_arrays([pa.array(_longs(t["id"])[whole])], names=["id"])
+
+    return run
+
+
+def _visit(cells: _Cells, radius: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows, once for every cell in which a neighbour within the radius may be at home."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                t = pa.Table.from_batches([batch]).select(["id", "grp", "vec"])
+                row, cell = cells.reached(_unpacked(t["vec"], np.float16).astype(np.float32), radius)
+                yield from pa.table([pa.array(cell), *t.take(pa.array(row)).combine_chunks().columns], names=["cell", "id", "grp", "vec"]).to_batches()
+
+    return run
+
+
+def _meet(at_least: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Every pair of a visitor and a row at home that are of different groups and at least so similar."""
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        if len(asked) and len(rows):
+            q, x = (_unpacked(t["vec"], np.float16).astype(np.float32) for t in (asked, rows))
+            qg, xg, qi, xi = _longs(asked["grp"]), _longs(rows["grp"]), _longs(asked["id"]), _longs(rows["id"])
+            step = max(1, (1 << 23) // len(x))
+            for lo in range(0, len(q), step):
+                i, j = np.nonzero((q[lo : lo + step] @ x.T >= at_least) & (qg[lo : lo + step, None] != xg[None, :]))
+                found.append((qi[lo + i], xi[j]))
+        a, b = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        return pa.table([pa.array(a), pa.array(b)], names=["id", "neighbour"])
+
+    return run
+
+
 def _enter(start_ids: np.ndarray, start_groups: np.ndarray, starts: np.ndarray, beam: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """First beams of queries: the most similar of the entry points."""
 
@@ -436,7 +565,7 @@ def _enter(start_ids: np.ndarray, start_groups: np.ndarray, starts: np.ndarray,
             out = np.zeros(top.shape, _BEAM)
             out["id"], out["sim"] = start_ids[top], np.take_along_axis(sims, top, 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array((ids % buckets).astype(np.int32)), pa.array(ids), pa.array(groups), _packed(x.astype(np.float16)), _packed(out)],
+                [pa.array(_dealt(ids, buckets)), pa.array(ids), pa.array(groups), _packed(x.astype(np.float16)), _packed(out)],
                 names=["bucket", "query", "grp", "vec", "beam"],
             )
 
@@ -510,6 +639,7 @@ def _ranked(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
 
 # ---- driver side ------------------------------------------------------------------------------------------------------
 
+_LOCATED = "home int, id long, grp long, key long, vec binary"
 _GRAPH = "home int, id long, grp long, vec binary, edges binary, fresh int"
 _FOUND = "home int, id long, edges binary"
 _EDGES = "home int, id long, edges binary, fresh int"
@@ -518,10 +648,15 @@ _SPREAD = "block int, home int, id long, grp long, vec binary, ids binary, sims
 
 @dataclass(frozen=True)
 class NeighbourGraph:
-    """vectors: home, id, grp, vec (unit vector in half precision); edges: id, edges (k records of id, block, cosine)."""
+    """vectors: home, id, grp, vec (unit vector in half precision); edges: id, edges (k records of id, block, cosine).
+
+    cells are those of the home blocks, heavy the ones cut into several blocks (cell, parts), None where there are none.
+    """
 
     vectors: DataFrame
     edges: DataFrame
+    cells: _Cells
+    heavy: DataFrame | None
 
 
 def _fit_tree(x: np.ndarray, depth: int, rng: np.random.Generator, groups: np.ndarray | None = None, need: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -549,6 +684,18 @@ def _fit_tree(x: np.ndarray, depth: int, rng: np.random.Generator, groups: np.nd
     return planes, cuts
 
 
+def _cells(x: np.ndarray, tree: tuple[np.ndarray, np.ndarray], extra: int, rng: np.random.Generator) -> _Cells:
+    """The tree with ``extra`` further cuts of every leaf; a leaf of few sampled rows is cut at the medians of all."""
+    planes, cuts = tree
+    directions = rng.normal(size=(extra, planes.shape[1])).astype(np.float32)
+    p = x @ directions.T if extra and len(x) else np.zeros((len(x), extra), np.float32)
+    medians = np.tile(np.median(p, 0) if len(p) and extra else np.zeros(extra), (len(planes) + 1, 1)).astype(np.float32)
+    leaf = _leaf_of(x, planes, cuts) if len(x) else np.zeros(0, np.int32)
+    for i in np.flatnonzero(np.bincount(leaf, minlength=len(medians)) >= 8) if extra else []:
+        medians[i] = np.median(p[leaf == i], 0)
+    return _Cells(planes, cuts, directions, medians)
+
+
 def _counted(x: np.ndarray, groups: np.ndarray, tree: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(block, group) of the sampled rows, how many there are of each, and whether the group prevails: more than half of a block, and 8 rows."""
     block = _leaf_of(x, *tree)
@@ -567,7 +714,7 @@ def _mix(
     hot = (np.isin(pair["grp"], np.concatenate([at_home["grp"][first], pair["grp"][second]])) & (counts >= 8)) | (size > block_rows / 2)
     dealt = np.bincount(pair["block"][hot], size[hot], blocks)
     other = np.bincount(pair["block"], size, blocks) - dealt
-    parts = np.maximum(1, np.ceil(dealt / block_rows)).astype(np.int64)
+    parts = np.maximum(1, np.maximum(np.ceil(dealt / block_rows), np.ceil((dealt + other) / (2 * block_rows)))).astype(np.int64)
     # every part takes all other rows of the block, up to about block_rows of them
     copies = np.maximum(1, np.minimum(parts, parts * block_rows // np.maximum(other, 1))).astype(np.int64)
     return _Mixed(parts, copies, np.ascontiguousarray(pair[hot]).view(np.dtype([("block", "<i4"), ("grp", "<i8")])), only)
@@ -581,27 +728,30 @@ def _source(rows: DataFrame, record_id: str, group: str, vector: list[str]) -> D
 
 
 def neighbour_graph(
-    rows: DataFrame, record_id: str, group: str, vector: list[str], k: int = 11, block_rows: int = 25_000, sample: int = 20_000,
-    trees: int = 7, leaf: int = 1024, members: int = 20, rounds: int = 4, settled: float = 0.01, seed: int = 7,
+    rows: DataFrame, record_id: str, group: str, vector: list[str], k: int = 16, block_rows: int = 8_000, sample: int = 20_000,
+    trees: int = 3, leaf: int = 256, members: int = 60, rounds: int = 6, settled: float = 0.02, seed: int = 7,
     mixing: int = 6,
 ) -> NeighbourGraph:
     """k nearest neighbours by cosine, of another group, of every distinct vector.
 
     Start: two random projection trees, fitted on about ``sample`` (at most twice as many) sampled vectors, cut the collection into blocks of about
-    ``block_rows``; every row goes to its block of either tree, and inside a block ``trees`` further trees with leaves
-    of at most ``leaf`` rows give the first neighbours. A group that prevails somewhere is not cut off from the others: trees
-    inside a block, and the second tree of blocks, cut only where rows of other groups stay on both sides, and a block too large for
-    that is dealt out in parts, each with the rows of other groups. Blocks with such a group are made by ``mixing`` trees instead of one, as
-    its rows fill one another's home blocks. NN-descent: in each round every row joins the neighbours that
-    list it and those it lists (at most ``members``), their vectors being shuffled once per block that needs them
-    instead of once per pair, and improvements travel back to the block where a row is at home. It ends when fewer than
-    ``settled`` of all edges changed, or after ``rounds``. Every row is indexed; only the trees are fitted on a sample.
+    ``block_rows``, with further cuts along common directions where the trees have too few leaves for that (_Cells); every row goes to
+    its block of either tree, and inside a block ``trees`` further trees with leaves of at most ``leaf`` rows give first, rough
+    neighbours. A home block of more than twice ``block_rows`` is dealt out by hash. A group that prevails somewhere is not cut off
+    from the others: trees inside a block, and the second tree of blocks, cut only where rows of other groups stay on both sides, and a
+    block too large for that is dealt out in parts, each with the rows of other groups. Blocks with such a group are made by ``mixing``
+    trees instead of one, as its rows fill one another's home blocks.
+
+    NN-descent then makes the graph: in each round every row joins the neighbours that list it and those it lists (at most
+    ``members``), their vectors being shuffled once per block that needs them instead of once per pair, and improvements
+    travel back to the block where a row is at home. It ends when fewer than ``settled`` of all edges changed, or after
+    ``rounds``. Every row is indexed; only the trees are fitted on a sample.
 
     Exact copies (same group, same vector as given, by the hash that copies_of compares; multiples of a vector are none) collapse to the row of smallest id, within each batch before the shuffle, so a group
     of copies with a third of all rows is no hot block. Defined cases: rows with a null id or group, with a null, NaN or infinite
     component or a zero vector are left out; rows have fewer than k edges only where hardly any rows of other groups exist; an
     empty table gives no rows. Ids must not be negative. Other columns are ignored. Returns the graph table for
-    neighbour_list and greedy_search.
+    neighbour_list, similar_pairs and greedy_search.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "neighbours")
@@ -616,32 +766,45 @@ def neighbour_graph(
     ok = np.isfinite(norm) & (norm > 0)
     drawn, kinds = (drawn[ok] / norm[ok, None]).astype(np.float32), kinds[ok]
     distinct = np.sort(_collapse(np.arange(len(drawn)), kinds, table["key"].to_numpy(np.int64)[ok]))
-    depth = 0
+    depth = extra = 0
     while n > block_rows * 2**depth and 16 * 2 ** (depth + 1) <= max(len(drawn), 1):
         depth += 1
+    while n > block_rows * 2 ** (depth + extra + 1) and len(drawn):
+        extra += 1
     rng = np.random.default_rng(seed)
-    forest = [_fit_tree(drawn, depth, rng), _fit_tree(drawn[distinct], depth, rng, kinds[distinct])]
-    routed = "block int, home int, id long, grp long, key long, vec binary"
+    first = _fit_tree(drawn, depth, rng)
+    second = _fit_tree(drawn[distinct], depth, rng, kinds[distinct])
+    home = _cells(drawn[distinct], first, extra, rng)
+    located = scratch.cut(source.mapInArrow(_locator(home), _LOCATED))
+    heavy = None
+    if n > 2 * block_rows:
+        crowded = scratch.cut(located.groupBy("home").agg(F.count("*").alias("c")).where(F.col("c") > 2 * block_rows).select("home", F.ceil(F.col("c") / block_rows).cast("int").alias("parts")))
+        if crowded.limit(1).count():
+            heavy = crowded.withColumnRenamed("home", "cell")
+            part = F.pmod(F.xxhash64("key", "grp"), F.coalesce("parts", F.lit(1)))
+            last, located = located, scratch.cut(located.join(crowded, "home", "left").select(_home_of("home", part, home).alias("home"), "id", "grp", "key", "vec"))
+            scratch.drop(last)
     if depth:
         found = None
-        for i in range(1, 1 + mixing):
-            if i > 1:
-                forest.append(_fit_tree(drawn[distinct], depth, rng, kinds[distinct]))
-            mixed = _mix(drawn[distinct], kinds[distinct], forest[0], forest[i], n / max(len(drawn), 1), block_rows, i > 1)
-            here = source.mapInArrow(_router(forest, i, mixed), routed).groupBy("block").applyInArrow(_block_forest(k, trees, leaf), _FOUND)
+        for i in range(mixing):
+            tree = second if not i else _fit_tree(drawn[distinct], depth, rng, kinds[distinct])
+            mixed = _mix(drawn[distinct], kinds[distinct], first, tree, n / max(len(drawn), 1), block_rows, i > 0)
+            blocks = _cells(drawn[distinct], tree, extra, rng)
+            here = located.mapInArrow(_router(blocks, mixed), f"block int, {_LOCATED}").groupBy("block").applyInArrow(_block_forest(k, trees, leaf), _FOUND)
             found = here if found is None else found.unionByName(here)
             if not len(mixed.hot):
                 break
     else:
         found = spark.createDataFrame([], _FOUND)
-    start = source.mapInArrow(_router(forest, 0), routed).groupBy("home").cogroup(found.groupBy("home"))
+    start = located.groupBy("home").cogroup(found.groupBy("home"))
     vectors = scratch.cut(start.applyInArrow(_home_forest(k, trees if depth else 2 * trees, leaf), _GRAPH))
+    scratch.drop(located)
     edges = vectors
     for i in range(rounds):
         if i:
-            spread = vectors.drop("edges", "fresh").groupBy("home").cogroup(edges.select("home", "id", "edges").groupBy("home")).applyInArrow(_spread_again, _SPREAD)
+            spread = vectors.drop("edges", "fresh").groupBy("home").cogroup(edges.select("home", "id", "edges").groupBy("home")).applyInArrow(_spread_again(members), _SPREAD)
         else:
-            spread = vectors.drop("fresh").mapInArrow(_spread_first, _SPREAD)
+            spread = vectors.drop("fresh").mapInArrow(_spread_first(members), _SPREAD)
         candidates = spread.groupBy("block").applyInArrow(_local_join(k, members), _FOUND)
         last, edges = edges, scratch.cut(edges.select("home", "id", "edges").groupBy("home").cogroup(candidates.groupBy("home")).applyInArrow(_take_in(k), _EDGES))
         if i:
@@ -649,7 +812,12 @@ def neighbour_graph(
         moved, total = edges.agg(F.sum("fresh"), F.count("*")).first()
         if not total or moved < settled * k * total:
             break
-    return NeighbourGraph(vectors.select("home", "id", "grp", "vec"), edges.select("id", "edges"))
+    return NeighbourGraph(vectors.select("home", "id", "grp", "vec"), edges.select("id", "edges"), home, heavy)
+
+
+def _home_of(cell: str, part: Column, cells: _Cells) -> Column:
+    """Block of a part of a cell; where numbers run out two blocks may share one, which does no harm."""
+    return F.pmod(F.col(cell).cast("long") + part * cells.count(), F.lit(2**31 - 1)).cast("int")
 
 
 def neighbour_list(graph: NeighbourGraph, k: int, at_least: float = -1.0) -> DataFrame:
@@ -668,14 +836,39 @@ def copies_of(rows: DataFrame, record_id: str, group: str, vector: list[str]) ->
     return keyed.join(classes, key).select("representative", "member")
 
 
-def similar_pairs(rows: DataFrame, record_id: str, group: str, vector: list[str], graph: NeighbourGraph, k: int, at_least: float) -> DataFrame:
+def _neighbours_of_full(graph: NeighbourGraph, at_least: float, scratch: Scratch, asked_rows: int = 1000) -> DataFrame | None:
+    """(id, neighbour) of all rows that may have more neighbours of such a similarity than edges; None where there are none.
+
+    Such a row visits every home block whose cell comes within the distance the similarity allows, so no neighbour is missed;
+    a block with many visitors is met by ``asked_rows`` of them at a time.
+    """
+    full = scratch.cut(graph.edges.mapInArrow(_full(at_least), "id long"))
+    if not full.limit(1).count():
+        return None
+    radius = float(np.sqrt(max(0.0, 2 - 2 * at_least))) + 0.003  # unit vectors of half precision
+    asked = graph.vectors.join(full, "id", "left_semi").mapInArrow(_visit(graph.cells, radius), "cell int, id long, grp long, vec binary")
+    part = F.lit(0)
+    if graph.heavy is not None:
+        asked = asked.join(graph.heavy, "cell", "left").select("*", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        part = F.col("part")
+    asked = scratch.cut(asked.select(_home_of("cell", part, graph.cells).alias("home"), "id", "grp", "vec").dropDuplicates(["home", "id"]))
+    turns = asked.groupBy("home").agg(F.ceil(F.count("*") / asked_rows).cast("int").alias("turns"))
+    rows = graph.vectors.join(turns, "home").select("home", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "id", "grp", "vec")
+    asked = asked.join(turns, "home").select("home", F.pmod(F.xxhash64("id"), "turns").cast("int").alias("turn"), "id", "grp", "vec")
+    return asked.groupBy("home", "turn").cogroup(rows.groupBy("home", "turn")).applyInArrow(_meet(at_least), "id long, neighbour long")
+
+
+def similar_pairs(rows: DataFrame, record_id: str, group: str, vector: list[str], graph: NeighbourGraph, at_least: float) -> DataFrame:
     """Pairs (id_a < id_b) of rows of different groups with a cosine of at least ``at_least``, from the graph.
 
-    Candidates within the rounding of half precision are computed again from the stored vectors in double precision;
-    copies are added afterwards.
+    Rows all of whose edges are that similar may have more such neighbours than edges; theirs are looked up exactly in the
+    blocks that can hold them (_neighbours_of_full), so the width of the graph cuts nothing off. Candidates within the
+    rounding of half precision are computed again from the stored vectors in double precision; copies are added afterwards.
     """
     scratch = Scratch(rows.sparkSession, "pairs")
-    near = neighbour_list(graph, k, at_least - 0.004)
+    near = neighbour_list(graph, 1 << 20, at_least - 0.004).select("id", "neighbour")
+    more = _neighbours_of_full(graph, at_least - 0.004, scratch)
+    near = near if more is None else near.unionByName(more)
     pairs = scratch.cut(near.select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b")).distinct())
     x = rows.select(F.col(record_id).cast("long").alias("i"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(vector)])
     packed = x.select("i", F.array(*[f"v{i}" for i in range(len(vector))]).alias("v"))
@@ -697,13 +890,14 @@ def greedy_search(
     """query, rank, neighbour, similarity: the k most similar indexed vectors of other groups for every query vector.
 
     Best-first search on the graph, all queries at once: each keeps a beam of the best vectors seen, and a round joins the neighbours
-    of its best unexpanded members with their vectors. Searches start at the best of at most ``starts`` entry points, a fixed
-    sample of the index (a few hundred kilobytes); they end when no beam has an unexpanded member, or after ``rounds``.
+    of its best unexpanded members with their vectors. Searches start at the best of the entry points, a fixed
+    sample of one in 64 indexed vectors (64 to ``starts`` of them, a few hundred kilobytes); they end when no beam has an unexpanded member, or after ``rounds``.
 
     Defined cases: queries with a null id or group, a missing component or a zero vector get no rows; an empty index or query set
     gives none; ids must not be negative. Other columns are ignored.
     """
     scratch = Scratch(queries.sparkSession, "search")
+    starts = max(64, min(starts, graph.vectors.count() // 64))
     entry = graph.vectors.select("id", "grp", "vec").orderBy(F.xxhash64("id"), "id").limit(starts).toArrow()
     schema = "bucket int, query long, grp long, vec binary, beam binary"
     source = _source(queries, record_id, group, vector)

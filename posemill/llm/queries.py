@@ -94,7 +94,7 @@ def _vectors(spark: SparkSession, folder: str) -> DataFrame:
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = _vectors(spark, folder)
     graph = neighbour_graph(rows, "feature_id", "variant", VECTOR)
-    pairs = similar_pairs(rows, "feature_id", "variant", VECTOR, graph, 11, 0.99)
+    pairs = similar_pairs(rows, "feature_id", "variant", VECTOR, graph, 0.99)
     return pairs.select(F.col("id_a").alias("feature_id_a"), F.col("id_b").alias("feature_id_b"))
 
 

@@ -34,10 +34,10 @@ def cosine(x):
     return x @ x.T
 
 
-@pytest.mark.parametrize("block", [12_000, 300])
-def test_graph_recall_and_pairs(table, block):
+@pytest.mark.parametrize(("block", "sample"), [(12_000, 20_000), (300, 20_000), (60, 300)])
+def test_graph_recall_and_pairs(table, block, sample):
     df, x, group = table
-    graph = neighbour_graph(df, "feature_id", "grp", VECTOR, k=11, block_rows=block, leaf=100, trees=4)
+    graph = neighbour_graph(df, "feature_id", "grp", VECTOR, k=11, block_rows=block, leaf=100, trees=4, sample=sample)
     listed = {}
     for r in neighbour_list(graph, 10).collect():
         listed.setdefault(r["id"], []).append(r["neighbour"])
@@ -51,7 +51,7 @@ def test_graph_recall_and_pairs(table, block):
         best = np.sort(s[i, others])[-10]
         recall.append(np.mean([s[i, j] >= best - 1e-3 for j in listed[i]]))
     assert np.mean(recall) >= 0.9
-    pairs = {(r["id_a"], r["id_b"]) for r in similar_pairs(df, "feature_id", "grp", VECTOR, graph, 11, 0.99).collect()}
+    pairs = {(r["id_a"], r["id_b"]) for r in similar_pairs(df, "feature_id", "grp", VECTOR, graph, 0.99).collect()}
     want = {(i, j) for i, j in zip(*np.nonzero(np.triu(s >= 0.99, 1)), strict=True)}
     assert {(int(i), int(j)) for i, j in want} == pairs
 
@@ -80,7 +80,7 @@ def test_empty_and_single(spark, table):
     for few in (df.limit(0), df.where("feature_id = 3"), df.where("grp = 'hot'")):
         graph = neighbour_graph(few, "feature_id", "grp", VECTOR)
         assert neighbour_list(graph, 5).count() == 0
-        assert similar_pairs(few, "feature_id", "grp", VECTOR, graph, 5, 0.9).count() == 0
+        assert similar_pairs(few, "feature_id", "grp", VECTOR, graph, 0.9).count() == 0
         assert greedy_search(graph, few, "feature_id", "grp", VECTOR, 5).count() == 0
 
 
@@ -106,7 +106,7 @@ def test_tight_group_of_a_third(spark, block):
     recall = [np.mean([s[i, j] >= np.sort(s[i])[-10] - 1e-3 for j in listed[i]]) for i in range(1000)]
     assert np.mean(recall) >= 0.9
     least = float(np.quantile(s[:1000].max(1), 0.5))
-    pairs = {(r["id_a"], r["id_b"]) for r in similar_pairs(df, "feature_id", "grp", VECTOR, graph, 11, least).collect()}
+    pairs = {(r["id_a"], r["id_b"]) for r in similar_pairs(df, "feature_id", "grp", VECTOR, graph, least).collect()}
     want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(s >= least, 1)), strict=True) if i < 1000}
     assert len(want & pairs) >= 0.95 * len(want)
 
@@ -122,7 +122,7 @@ def test_only_exact_copies_collapse(spark):
     df = spark.createDataFrame(rows, "feature_id long, grp string, " + ", ".join(f"{v} float" for v in VECTOR))
     graph = neighbour_graph(df, "feature_id", "grp", VECTOR, k=11)
     assert {r["id"] for r in neighbour_list(graph, 10).collect()} == set(range(60)) - {3}
-    pairs = {(r["id_a"], r["id_b"]) for r in similar_pairs(df, "feature_id", "grp", VECTOR, graph, 11, 0.99).collect()}
+    pairs = {(r["id_a"], r["id_b"]) for r in similar_pairs(df, "feature_id", "grp", VECTOR, graph, 0.99).collect()}
     assert {(i, 4) for i in range(4)} <= pairs
 
 
@@ -142,3 +142,50 @@ def test_descent_runs_until_few_edges_change(spark):
     least = np.sort(s, 1)[:, -10] - 1e-3
     good = [s[r["id"], r["neighbour"]] >= least[r["id"]] for r in neighbour_list(graph, 10).collect() if r["id"] >= 1000]
     assert np.mean(good) >= 0.97
+
+
+@pytest.mark.parametrize("block", [12_000, 100])
+def test_more_neighbours_than_edges(spark, block):
+    """A crowd of variants within the cosine, and one vector under many variants: no pair is cut off by the width of the graph."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, D))
+    x[:60] = x[0] + 0.01 * rng.normal(size=(60, D))
+    x[60:400] = x[60]
+    x = x.astype(np.float32)
+    rows = [(7 * i, f"s{i}", *map(float, x[i])) for i in range(900)]
+    df = spark.createDataFrame(rows, "feature_id long, grp string, " + ", ".join(f"{v} float" for v in VECTOR))
+    graph = neighbour_graph(df, "feature_id", "grp", VECTOR, k=11, block_rows=block, leaf=50, sample=2000)
+    assert (graph.heavy is not None) == (block == 100)
+    pairs = {(r["id_a"], r["id_b"]) for r in similar_pairs(df, "feature_id", "grp", VECTOR, graph, 0.99).collect()}
+    want = {(7 * int(i), 7 * int(j)) for i, j in zip(*np.nonzero(np.triu(cosine(x.astype(np.float64)) >= 0.99, 1)), strict=True)}
+    assert len(want) > 50_000 and pairs == want
+
+
+def test_cells_within_reach_hold_every_near_vector():
+    from posemill.llm.neighbours import _cells, _fit_tree
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, D)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cells = _cells(x, _fit_tree(x, 4, rng), 3, rng)
+    at = cells.cell(x)
+    assert len(np.unique(at)) == cells.count() == 128
+    row, cell = cells.reached(x[:50], 0.5)
+    visited = set(zip(row.tolist(), cell.tolist(), strict=True))
+    near = np.linalg.norm(x[:50, None] - x[None], axis=2) <= 0.5
+    assert all((int(i), int(at[j])) in visited for i, j in zip(*np.nonzero(near), strict=True))
+
+
+def test_descent_is_what_finds_the_neighbours(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(4000, 24)).astype(np.float32)
+    names = [f"v{i}" for i in range(24)]
+    df = spark.createDataFrame([(100 * i, f"s{i}", *map(float, x[i])) for i in range(4000)], "feature_id long, grp string, " + ", ".join(f"{v} float" for v in names))
+    s = cosine(x.astype(np.float64))
+    np.fill_diagonal(s, -2)
+    least = np.sort(s, 1)[:, -10] - 1e-3
+    found = {}
+    for rounds in (0, 6):
+        graph = neighbour_graph(df, "feature_id", "grp", names, block_rows=1000, leaf=64, trees=2, rounds=rounds)
+        found[rounds] = np.mean([s[r["id"] // 100, r["neighbour"] // 100] >= least[r["id"] // 100] for r in neighbour_list(graph, 10).collect()])
+    assert found[0] < 0.6 and found[6] > 0.9
