@@ -13,6 +13,7 @@ from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: str = "8", **conf: str) -> SparkSession:
@@ -63,10 +64,15 @@ class Scratch:
         self.count = 0
 
     def cut(self, df: DataFrame, files: int | None = None) -> DataFrame:
-        """Write df and return a scan of what was written."""
+        """Write df and return a scan of what was written. The shuffle files of the write go with its end: nothing reads them again."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}"
-        (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
         return out
