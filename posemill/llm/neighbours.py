@@ -14,7 +14,8 @@ from posemill.runtime import Scratch, ship
 
 ship(__name__)
 
-_EDGE = np.dtype([("id", "<i8"), ("part", "<i4"), ("sim", "<f2")])
+_EDGE = np.dtype([("id", "<i8"), ("part", "<i4"), ("sim", "<f2"), ("new", "i1")])
+"""A neighbour, its home block, the cosine, and whether no round has joined over it yet."""
 _BEAM = np.dtype([("id", "<i8"), ("sim", "<f4"), ("done", "i1")])
 _NONE = np.float32(-2)
 
@@ -282,7 +283,7 @@ def _forest(x: np.ndarray, groups: np.ndarray, k: int, trees: int, leaf: int, se
 
 def _edges(near: np.ndarray, sims: np.ndarray, ids: np.ndarray, home: np.ndarray) -> np.ndarray:
     out = np.zeros(near.shape, _EDGE)
-    out["id"], out["part"], out["sim"] = np.where(near < 0, -1, ids[near]), np.where(near < 0, -1, home[near]), sims
+    out["id"], out["part"], out["sim"], out["new"] = np.where(near < 0, -1, ids[near]), np.where(near < 0, -1, home[near]), sims, 1
     return out
 
 
@@ -300,23 +301,23 @@ def _block_forest(k: int, trees: int, leaf: int) -> Callable[[pa.Table], pa.Tabl
     return run
 
 
-def _with_incoming(ids: np.ndarray, own: np.ndarray, incoming_ids: np.ndarray, incoming: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Own edges merged with those that arrived (several rows per id); also how many edges changed per id."""
+def _with_incoming(ids: np.ndarray, own: np.ndarray, incoming_ids: np.ndarray, incoming: np.ndarray, k: int, first: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Own edges merged with those that arrived (several rows per id); also how many edges changed per id. Only what arrived is new afterwards, unless ``first``."""
     order = np.argsort(ids)
-    width = own.shape[1]
     at = order[np.searchsorted(ids, incoming_ids, sorter=order)] if len(incoming_ids) else np.zeros(0, np.int64)
     by = np.argsort(at, kind="stable")
     at, incoming = at[by], incoming[by]
     turn = np.arange(len(at)) - np.searchsorted(at, at)
     out = own.copy()
+    if not first:
+        out["new"] = 0
     for r in range(int(turn.max()) + 1 if len(turn) else 0):
         rows = at[turn == r]
         both = np.concatenate([out[rows], incoming[turn == r]], 1)
         pos = _merge(both["id"], np.where(both["id"] < 0, _NONE, both["sim"].astype(np.float32)), k)
         merged = np.take_along_axis(both, np.maximum(pos, 0), 1)
-        merged[pos < 0] = (-1, -1, _NONE)
+        merged[pos < 0] = (-1, -1, _NONE, 0)
         out[rows] = merged
-    del width
     fresh = np.zeros(len(ids), np.int32)
     touched = np.unique(at)
     if len(touched):
@@ -342,26 +343,26 @@ def _home_forest(k: int, trees: int, leaf: int) -> Callable[[pa.Table, pa.Table]
         home = int(t["home"][0].as_py())
         near, sims = _forest(half.astype(np.float32), groups, k, trees, leaf, -1 - home & 0xFFFF)
         own = _edges(near, sims, ids, np.full(len(ids), home, np.int32))
-        edges, fresh = _with_incoming(ids, own, _longs(found["id"]) if len(found) else np.zeros(0, np.int64), _unpacked(found["edges"], _EDGE), k)
+        edges, fresh = _with_incoming(ids, own, _longs(found["id"]) if len(found) else np.zeros(0, np.int64), _unpacked(found["edges"], _EDGE), k, first=True)
         return _graph_table(home, ids, groups, half, edges, fresh)
 
     return run
 
 
 def _spread(t: pa.Table, edges: np.ndarray, members: int) -> pa.Table:
-    """Each row to its home block with all its edges, and to every block it has neighbours in with the edges into it.
+    """Each row to its home block with all its edges, and to every block it has new neighbours in with the new edges into it.
 
     Of the edges that lead from these rows to one and the same row elsewhere, the ``members`` most similar go: the join there
     looks at no more, and a row that very many rows list does not gather them all.
     """
     home = _longs(t["home"])
-    away = np.where(edges["part"] == home[:, None], -1, edges["part"])
+    away = np.where((edges["part"] == home[:, None]) | (edges["new"] == 0), -1, edges["part"])
     at = np.flatnonzero(away.ravel() >= 0)
     by = at[np.lexsort((-edges["sim"].ravel()[at].astype(np.float32), edges["id"].ravel()[at]))]
     listed = edges["id"].ravel()[by]
     over = by[np.arange(len(by)) - np.searchsorted(listed, listed) >= members]
     away.ravel()[over] = -1
-    kept = np.ones(edges.shape, bool)
+    kept = edges["new"] != 0
     kept.ravel()[over] = False
     away = np.sort(away, 1)
     new = away >= 0
@@ -378,13 +379,13 @@ def _spread(t: pa.Table, edges: np.ndarray, members: int) -> pa.Table:
     return pa.table(
         [
             pa.array(np.concatenate([home, target]).astype(np.int32)), *[t[c].combine_chunks().take(take) for c in ("home", "id", "grp", "vec")],
-            _packed(np.ascontiguousarray(both["id"])), _packed(np.ascontiguousarray(both["sim"])), pa.array(weakest[rows]),
+            _packed(np.ascontiguousarray(both["id"])), _packed(np.ascontiguousarray(both["sim"])), _packed(np.ascontiguousarray(both["new"])), pa.array(weakest[rows]),
         ],
-        names=["block", "home", "id", "grp", "vec", "ids", "sims", "weakest"],
+        names=["block", "home", "id", "grp", "vec", "ids", "sims", "news", "weakest"],
     )
 
 
-def _spread_first(members: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _spread_to(members: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -394,19 +395,8 @@ def _spread_first(members: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
-def _spread_again(members: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """As _spread_first, with the edges of a later round beside the first table's vectors."""
-
-    def run(t: pa.Table, later: pa.Table) -> pa.Table:
-        edges = _unpacked(later["edges"], _EDGE)
-        order = np.argsort(_longs(later["id"]))
-        return _spread(t, edges[order[np.searchsorted(_longs(later["id"]), _longs(t["id"]), sorter=order)]], members)
-
-    return run
-
-
 def _local_join(k: int, members: int) -> Callable[[pa.Table], pa.Table]:
-    """Compare the neighbours (both directions) of every row at home in a block with one another.
+    """Compare the neighbours (both directions) of every row at home in a block with one another, unless neither of two is new.
 
     Emits, per row, at most k candidates that beat its weakest neighbour.
     """
@@ -415,43 +405,53 @@ def _local_join(k: int, members: int) -> Callable[[pa.Table], pa.Table]:
         block = int(t["block"][0].as_py())
         ids, groups, home = _longs(t["id"]), _longs(t["grp"]), _longs(t["home"])
         x, weakest = _unpacked(t["vec"], np.float16).astype(np.float32), _longs(t["weakest"])
-        near, sims = _unpacked(t["ids"], np.int64), _unpacked(t["sims"], np.float16)
+        near, sims, news = _unpacked(t["ids"], np.int64), _unpacked(t["sims"], np.float16), _unpacked(t["news"], np.int8)
         order = np.argsort(ids)
         spot = np.searchsorted(ids, near.ravel(), sorter=order)
         spot = order[np.minimum(spot, len(ids) - 1)]
         known = (ids[spot] == near.ravel()) & (near.ravel() >= 0)
         src = np.repeat(np.arange(len(ids)), near.shape[1])[known]
-        dst, sim = spot[known], sims.ravel()[known]
+        dst, sim, recent = spot[known], sims.ravel()[known], news.ravel()[known]
         pairs = np.unique(src * len(ids) + dst)
-        pivot, other, s = np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([sim, sim])
-        mine = home[pivot] == block
-        pivot, other, s = pivot[mine], other[mine], s[mine]
-        by = np.lexsort((other, pivot))
-        pivot, other, s = pivot[by], other[by], s[by]
+        pivot, other, s, recent = np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([sim, sim]), np.concatenate([recent, recent])
+        active = np.zeros(len(ids), bool)
+        active[pivot[recent != 0]] = True
+        mine = (home[pivot] == block) & active[pivot]
+        pivot, other, s, recent = pivot[mine], other[mine], s[mine], recent[mine]
+        by = np.lexsort((-recent, other, pivot))
+        pivot, other, s, recent = pivot[by], other[by], s[by], recent[by]
         new = np.ones(len(pivot), bool)
         new[1:] = (pivot[1:] != pivot[:-1]) | (other[1:] != other[:-1])
-        pivot, other, s = pivot[new], other[new], s[new]
+        pivot, other, s, recent = pivot[new], other[new], s[new], recent[new]
         by = np.lexsort((-s, pivot))
-        pivot, other = pivot[by], other[by]
+        pivot, other, recent = pivot[by], other[by], recent[by] != 0
         turn = np.arange(len(pivot)) - np.searchsorted(pivot, pivot)
-        pivots, row = np.unique(pivot, return_inverse=True)
-        around = np.full((len(pivots), members), -1, np.int64)
         inside = turn < members
-        around[row[inside], turn[inside]] = other[inside]
-        upper = np.triu(np.ones((members, members), bool), 1)
+        pivot, other, turn, recent = pivot[inside], other[inside], turn[inside], recent[inside]
+        begin = np.flatnonzero(turn == 0)
+        size = np.diff(np.append(begin, len(turn)))
+        by = np.argsort(-size, kind="stable")  # pivots of like size together, so that little of a chunk is padding
+        begin, size = begin[by], size[by]
+        bound = np.where(np.arange(len(ids) + 1) < len(ids), np.append(weakest, np.inf), np.inf).astype(np.float32)
+        padded = np.concatenate([x, np.zeros((1, x.shape[1]), np.float32)])
         got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for lo in range(0, len(pivots), 2048):
-            m = around[lo : lo + 2048]
-            v, g, w = x[m], groups[m], weakest[m]
+        lo = 0
+        while lo < len(begin) and size[lo] > 1:
+            width = int(size[lo])
+            hi = min(len(begin), lo + max(1, (1 << 21) // width**2))
+            slot = begin[lo:hi, None] + np.arange(width)
+            m = np.where(np.arange(width) < size[lo:hi, None], other[np.minimum(slot, len(other) - 1)], len(ids))
+            v = padded[m]
             sims = v @ v.transpose(0, 2, 1)
-            ok = upper & (m[:, :, None] >= 0) & (m[:, None, :] >= 0) & (sims > np.minimum(w[:, :, None], w[:, None, :]))
-            ok &= g[:, :, None] != g[:, None, :]
-            q, i, j = np.nonzero(ok)
-            got.append((m[q, i], m[q, j], sims[q, i, j]))
+            r = recent[np.minimum(slot, len(other) - 1)]
+            q, i, j = np.nonzero((sims > bound[m][:, :, None]) & (r[:, :, None] | r[:, None, :]))
+            s, a, b = sims[q, i, j], m[q, i], m[q, j]
+            ok = (a != b) & (b < len(ids))
+            a, b, s = a[ok], b[ok], s[ok]
+            ok = groups[a] != groups[b]
+            got.append((a[ok], b[ok], s[ok]))
+            lo = hi
         a, b, s = (np.concatenate(c) for c in zip(*got, strict=True)) if got else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.float32),)
-        a, b, s = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([s, s])
-        better = s > weakest[a]
-        a, b, s = a[better], b[better], s[better]
         key = a * len(ids) + b
         key, first = np.unique(key, return_index=True)
         a, b, s = a[first], b[first], s[first]
@@ -465,7 +465,7 @@ def _local_join(k: int, members: int) -> Callable[[pa.Table], pa.Table]:
         a, b, s, turn = a[turn < k], b[turn < k], s[turn < k], turn[turn < k]
         rows, at = np.unique(a, return_inverse=True)
         out = np.zeros((len(rows), k), _EDGE)
-        out["id"], out["part"], out["sim"] = -1, -1, _NONE
+        out["id"], out["part"], out["sim"], out["new"] = -1, -1, _NONE, 1
         out["id"][at, turn], out["part"][at, turn], out["sim"][at, turn] = ids[b], home[b], s
         return pa.table([pa.array(home[rows]), pa.array(ids[rows]), _packed(out)], names=["home", "id", "edges"])
 
@@ -478,7 +478,7 @@ def _take_in(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(t: pa.Table, found: pa.Table) -> pa.Table:
         ids, own = _longs(t["id"]), _unpacked(t["edges"], _EDGE)
         edges, fresh = _with_incoming(ids, own, _longs(found["id"]) if len(found) else np.zeros(0, np.int64), _unpacked(found["edges"], _EDGE), k)
-        return pa.table([t["home"], pa.array(ids), _packed(edges), pa.array(fresh)], names=["home", "id", "edges", "fresh"])
+        return pa.table([t["home"], pa.array(ids), t["grp"], t["vec"], _packed(edges), pa.array(fresh)], names=["home", "id", "grp", "vec", "edges", "fresh"])
 
     return run
 
@@ -642,8 +642,7 @@ def _ranked(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
 _LOCATED = "home int, id long, grp long, key long, vec binary"
 _GRAPH = "home int, id long, grp long, vec binary, edges binary, fresh int"
 _FOUND = "home int, id long, edges binary"
-_EDGES = "home int, id long, edges binary, fresh int"
-_SPREAD = "block int, home int, id long, grp long, vec binary, ids binary, sims binary, weakest float"
+_SPREAD = "block int, home int, id long, grp long, vec binary, ids binary, sims binary, news binary, weakest float"
 
 
 @dataclass(frozen=True)
@@ -797,22 +796,16 @@ def neighbour_graph(
     else:
         found = spark.createDataFrame([], _FOUND)
     start = located.groupBy("home").cogroup(found.groupBy("home"))
-    vectors = scratch.cut(start.applyInArrow(_home_forest(k, trees if depth else 2 * trees, leaf), _GRAPH))
+    graph = scratch.cut(start.applyInArrow(_home_forest(k, trees if depth else 2 * trees, leaf), _GRAPH))
     scratch.drop(located)
-    edges = vectors
-    for i in range(rounds):
-        if i:
-            spread = vectors.drop("edges", "fresh").groupBy("home").cogroup(edges.select("home", "id", "edges").groupBy("home")).applyInArrow(_spread_again(members), _SPREAD)
-        else:
-            spread = vectors.drop("fresh").mapInArrow(_spread_first(members), _SPREAD)
-        candidates = spread.groupBy("block").applyInArrow(_local_join(k, members), _FOUND)
-        last, edges = edges, scratch.cut(edges.select("home", "id", "edges").groupBy("home").cogroup(candidates.groupBy("home")).applyInArrow(_take_in(k), _EDGES))
-        if i:
-            scratch.drop(last)
-        moved, total = edges.agg(F.sum("fresh"), F.count("*")).first()
+    for _ in range(rounds):
+        candidates = graph.drop("fresh").mapInArrow(_spread_to(members), _SPREAD).groupBy("block").applyInArrow(_local_join(k, members), _FOUND)
+        last, graph = graph, scratch.cut(graph.groupBy("home").cogroup(candidates.groupBy("home")).applyInArrow(_take_in(k), _GRAPH))
+        scratch.drop(last)
+        moved, total = graph.agg(F.sum("fresh"), F.count("*")).first()
         if not total or moved < settled * k * total:
             break
-    return NeighbourGraph(vectors.select("home", "id", "grp", "vec"), edges.select("id", "edges"), home, heavy)
+    return NeighbourGraph(graph.select("home", "id", "grp", "vec"), graph.select("id", "edges"), home, heavy)
 
 
 def _home_of(cell: str, part: Column, cells: _Cells) -> Column:
