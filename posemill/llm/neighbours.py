@@ -15,7 +15,7 @@ from posemill.runtime import Scratch, ship
 ship(__name__)
 
 _EDGE = np.dtype([("id", "<i8"), ("part", "<i4"), ("sim", "<f2"), ("new", "i1")])
-"""A neighbour, its home block, the cosine, and whether no round has joined over it yet."""
+"""A neighbour, its home block, the cosine, and how new it is: 2 if no round has joined over it yet, 1 after one round, then 0."""
 _BEAM = np.dtype([("id", "<i8"), ("sim", "<f4"), ("done", "i1")])
 _NONE = np.float32(-2)
 
@@ -283,7 +283,7 @@ def _forest(x: np.ndarray, groups: np.ndarray, k: int, trees: int, leaf: int, se
 
 def _edges(near: np.ndarray, sims: np.ndarray, ids: np.ndarray, home: np.ndarray) -> np.ndarray:
     out = np.zeros(near.shape, _EDGE)
-    out["id"], out["part"], out["sim"], out["new"] = np.where(near < 0, -1, ids[near]), np.where(near < 0, -1, home[near]), sims, 1
+    out["id"], out["part"], out["sim"], out["new"] = np.where(near < 0, -1, ids[near]), np.where(near < 0, -1, home[near]), sims, 2
     return out
 
 
@@ -302,7 +302,7 @@ def _block_forest(k: int, trees: int, leaf: int) -> Callable[[pa.Table], pa.Tabl
 
 
 def _with_incoming(ids: np.ndarray, own: np.ndarray, incoming_ids: np.ndarray, incoming: np.ndarray, k: int, first: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Own edges merged with those that arrived (several rows per id); also how many edges changed per id. Only what arrived is new afterwards, unless ``first``."""
+    """Own edges merged with those that arrived (several rows per id); also how many edges changed per id. Own edges age by a round, unless ``first``."""
     order = np.argsort(ids)
     at = order[np.searchsorted(ids, incoming_ids, sorter=order)] if len(incoming_ids) else np.zeros(0, np.int64)
     by = np.argsort(at, kind="stable")
@@ -310,7 +310,7 @@ def _with_incoming(ids: np.ndarray, own: np.ndarray, incoming_ids: np.ndarray, i
     turn = np.arange(len(at)) - np.searchsorted(at, at)
     out = own.copy()
     if not first:
-        out["new"] = 0
+        out["new"] = np.maximum(out["new"] - 1, 0)
     for r in range(int(turn.max()) + 1 if len(turn) else 0):
         rows = at[turn == r]
         both = np.concatenate([out[rows], incoming[turn == r]], 1)
@@ -350,7 +350,7 @@ def _home_forest(k: int, trees: int, leaf: int) -> Callable[[pa.Table, pa.Table]
 
 
 def _spread(t: pa.Table, edges: np.ndarray, members: int) -> pa.Table:
-    """Each row to its home block with all its edges, and to every block it has new neighbours in with the new edges into it.
+    """Each row to its home block with all its edges, and to every block it has neighbours in over edges of the last two rounds with these edges.
 
     Of the edges that lead from these rows to one and the same row elsewhere, the ``members`` most similar go: the join there
     looks at no more, and a row that very many rows list does not gather them all.
@@ -415,7 +415,7 @@ def _local_join(k: int, members: int) -> Callable[[pa.Table], pa.Table]:
         pairs = np.unique(src * len(ids) + dst)
         pivot, other, s, recent = np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([sim, sim]), np.concatenate([recent, recent])
         active = np.zeros(len(ids), bool)
-        active[pivot[recent != 0]] = True
+        active[pivot[recent == 2]] = True
         mine = (home[pivot] == block) & active[pivot]
         pivot, other, s, recent = pivot[mine], other[mine], s[mine], recent[mine]
         by = np.lexsort((-recent, other, pivot))
@@ -424,7 +424,7 @@ def _local_join(k: int, members: int) -> Callable[[pa.Table], pa.Table]:
         new[1:] = (pivot[1:] != pivot[:-1]) | (other[1:] != other[:-1])
         pivot, other, s, recent = pivot[new], other[new], s[new], recent[new]
         by = np.lexsort((-s, pivot))
-        pivot, other, recent = pivot[by], other[by], recent[by] != 0
+        pivot, other, recent = pivot[by], other[by], recent[by] == 2
         turn = np.arange(len(pivot)) - np.searchsorted(pivot, pivot)
         inside = turn < members
         pivot, other, turn, recent = pivot[inside], other[inside], turn[inside], recent[inside]
@@ -465,7 +465,7 @@ def _local_join(k: int, members: int) -> Callable[[pa.Table], pa.Table]:
         a, b, s, turn = a[turn < k], b[turn < k], s[turn < k], turn[turn < k]
         rows, at = np.unique(a, return_inverse=True)
         out = np.zeros((len(rows), k), _EDGE)
-        out["id"], out["part"], out["sim"], out["new"] = -1, -1, _NONE, 1
+        out["id"], out["part"], out["sim"], out["new"] = -1, -1, _NONE, 2
         out["id"][at, turn], out["part"][at, turn], out["sim"][at, turn] = ids[b], home[b], s
         return pa.table([pa.array(home[rows]), pa.array(ids[rows]), _packed(out)], names=["home", "id", "edges"])
 
@@ -727,14 +727,14 @@ def _source(rows: DataFrame, record_id: str, group: str, vector: list[str]) -> D
 
 
 def neighbour_graph(
-    rows: DataFrame, record_id: str, group: str, vector: list[str], k: int = 16, block_rows: int = 8_000, sample: int = 20_000,
-    trees: int = 3, leaf: int = 256, members: int = 60, rounds: int = 6, settled: float = 0.02, seed: int = 7,
-    mixing: int = 6,
+    rows: DataFrame, record_id: str, group: str, vector: list[str], k: int = 14, block_rows: int = 16_000, sample: int = 20_000,
+    trees: int = 4, leaf: int = 512, members: int = 40, rounds: int = 6, settled: float = 0.02, seed: int = 7,
+    mixing: int = 6, least_blocks: int = 16,
 ) -> NeighbourGraph:
     """k nearest neighbours by cosine, of another group, of every distinct vector.
 
     Start: two random projection trees, fitted on about ``sample`` (at most twice as many) sampled vectors, cut the collection into blocks of about
-    ``block_rows``, with further cuts along common directions where the trees have too few leaves for that (_Cells); every row goes to
+    ``block_rows``, at least ``least_blocks`` of them where they keep 1000 rows each so that all executors have work, with further cuts along common directions where the trees have too few leaves for that (_Cells); every row goes to
     its block of either tree, and inside a block ``trees`` further trees with leaves of at most ``leaf`` rows give first, rough
     neighbours. A home block of more than twice ``block_rows`` is dealt out by hash. A group that prevails somewhere is not cut off
     from the others: trees inside a block, and the second tree of blocks, cut only where rows of other groups stay on both sides, and a
@@ -765,6 +765,7 @@ def neighbour_graph(
     ok = np.isfinite(norm) & (norm > 0)
     drawn, kinds = (drawn[ok] / norm[ok, None]).astype(np.float32), kinds[ok]
     distinct = np.sort(_collapse(np.arange(len(drawn)), kinds, table["key"].to_numpy(np.int64)[ok]))
+    block_rows = min(block_rows, max(1000, n // least_blocks))
     depth = extra = 0
     while n > block_rows * 2**depth and 16 * 2 ** (depth + 1) <= max(len(drawn), 1):
         depth += 1
@@ -800,8 +801,9 @@ def neighbour_graph(
     scratch.drop(located)
     for _ in range(rounds):
         candidates = graph.drop("fresh").mapInArrow(_spread_to(members), _SPREAD).groupBy("block").applyInArrow(_local_join(k, members), _FOUND)
+        candidates = scratch.cut(candidates)  # before the graph is shuffled, so that the files of the two shuffles never lie side by side
         last, graph = graph, scratch.cut(graph.groupBy("home").cogroup(candidates.groupBy("home")).applyInArrow(_take_in(k), _GRAPH))
-        scratch.drop(last)
+        scratch.drop(last, candidates)
         moved, total = graph.agg(F.sum("fresh"), F.count("*")).first()
         if not total or moved < settled * k * total:
             break
