@@ -14,6 +14,12 @@ ship(__name__)
 # Standard atomic weights of the elements found in drug-like molecules.
 WEIGHTS = {"H": 1.008, "B": 10.81, "C": 12.011, "N": 14.007, "O": 15.999, "F": 18.998, "Si": 28.085, "P": 30.974, "S": 32.06, "Cl": 35.45, "Br": 79.904, "I": 126.904}
 BOND_TYPES = ("1", "2", "3", "ar", "am")
+# Names of bond types that feature tables have columns of, in order.
+BOND_NAMES = (
+    "UNSPECIFIED", "SINGLE", "DOUBLE", "TRIPLE", "QUADRUPLE", "QUINTUPLE", "HEXTUPLE", "ONEANDAHALF", "TWOANDAHALF", "THREEANDAHALF", "FOURANDAHALF",
+    "FIVEANDAHALF", "AROMATIC", "IONIC", "HYDROGEN", "THREECENTER", "DATIVEONE", "DATIVE", "DATIVEL", "DATIVER", "OTHER", "ZERO",
+)
+_NAMED = {"SINGLE": ("1", "am"), "DOUBLE": ("2",), "TRIPLE": ("3",), "AROMATIC": ("ar",), "UNSPECIFIED": ("un", "nc", "du")}
 SHAPE = ["pmi1", "pmi2", "pmi3", "npr1", "npr2", "rg", "asphericity", "eccentricity", "isf", "spherocity"]
 
 
@@ -48,6 +54,18 @@ def bond_type_counts(bonds: Column | str, types: tuple[str, ...] = BOND_TYPES) -
     return {f"bondType_{t}": count(t) for t in types}
 
 
+def named_bond_counts(bonds: Column | str) -> dict[str, Column]:
+    """A count for every name of BOND_NAMES, 0 for what MOL2 types never say; amide bonds are single."""
+    b = F.col(bonds) if isinstance(bonds, str) else bonds
+    return {f"bondType_{n}": F.size(F.filter(b, lambda x, n=n: x["type"].isin(*_NAMED[n]))) if n in _NAMED else F.lit(0) for n in BOND_NAMES}
+
+
+def ring_count(atoms: Column | str, bonds: Column | str) -> Column:
+    """Independent rings of a connected structure: bonds - atoms + 1, at least 0."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (atoms, bonds))
+    return F.greatest(F.lit(0), F.size(b) - F.size(a) + 1)
+
+
 def shape_of(xyz: np.ndarray, weights: np.ndarray) -> list[float]:
     """The ten shape descriptors from the principal moments of inertia and of the gyration tensor."""
     x = xyz - np.average(xyz, axis=0, weights=weights)
@@ -80,7 +98,8 @@ def shape_descriptors(df: DataFrame, key: str, atoms: str) -> DataFrame:
 
 
 def rotor_groups(df: DataFrame, key: str, atoms: str, bonds: str, longest: int = 50) -> DataFrame:
-    """key, histogram: how many groups of i contiguous rotatable bonds (i = 0..longest, larger ones in the last) a structure has.
+    """key, histogram: how many groups of i contiguous rotatable bonds (i = 1..longest, larger ones in the last) a structure has;
+    entry 0 is 1 where it has none at all.
 
     Rotatable is a single bond outside rings whose ends both have another neighbour; bonds that share an atom are contiguous.
     """
@@ -98,6 +117,7 @@ def rotor_groups(df: DataFrame, key: str, atoms: str, bonds: str, longest: int =
                 hist = [0] * (longest + 1)
                 for size in _component_sizes(turning):
                     hist[min(size, longest)] += 1
+                hist[0] = int(not turning)
                 out.append(hist)
             yield pd.DataFrame({"key": b["key"], "histogram": out})
 

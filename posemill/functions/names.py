@@ -31,11 +31,8 @@ def structvar_of(name: Column | str) -> Column:
 
 
 def basemolname_of(name: Column | str) -> Column:
-    """The name without any level."""
-    c = _col(name)
-    for tag in _TAGS.values():
-        c = F.regexp_replace(c, f"_{tag}[0-9]+", "")
-    return c
+    """The name without its variant, pose and frame, and without marks of isomers and of waters."""
+    return substitute_any(name, ["_stereo[0-9]+_ion[0-9]+_tau[0-9]+", "_pose[0-9]+", "_frm[0-9]+", "_iso[0-9]+", "_noWAT", "_WAT"], "")
 
 
 def level_of(name: Column | str, level: str) -> Column:
@@ -45,8 +42,15 @@ def level_of(name: Column | str, level: str) -> Column:
 
 
 def variant_suffix(name: Column | str) -> Column:
-    """``_stereo<i>_ion<j>_tau<k>`` as text, null without one."""
-    return _found(_col(name), "(_stereo[0-9]+_ion[0-9]+_tau[0-9]+)")
+    """``stereo<i>_ion<j>_tau<k>`` as text, the last one if there are several, null without one."""
+    return _found(_col(name), "^.*_(stereo[0-9]+_ion[0-9]+_tau[0-9]+)")
+
+
+def variant_numbers(name: Column | str) -> Column:
+    """The three numbers of the last variant as an array of texts, leading zeros kept; null without one."""
+    c = _col(name)
+    pattern = "^.*stereo([0-9]+)_ion([0-9]+)_tau([0-9]+)"
+    return F.when(c.rlike(pattern), F.array(*[F.regexp_extract(c, pattern, i) for i in (1, 2, 3)]))
 
 
 def pose_structvar(name: Column | str) -> Column:

@@ -61,6 +61,11 @@ def melting_to_energy(df: DataFrame, column: str, into: str, by: list[str] | Non
     return stats.withColumn(into, -F.pow(F.lit(12.0), part * 0.3 + 0.7)).drop("_lo", "_hi")
 
 
+def melting_to_kd(df: DataFrame, column: str, into: str, by: list[str] | None = None) -> DataFrame:
+    """Dissociation constant of melting_to_energy."""
+    return melting_to_energy(df, column, into, by).withColumn(into, energy_to_kd(into))
+
+
 def active_cutoff(df: DataFrame, energy: str, into: str, by: list[str] | None = None, fold: float = 100.0) -> DataFrame:
     """1 where the energy is below (smallest energy + RT ln fold) of its group, else 0; null stays null."""
     stats = _stats(df, energy, by, F.min(energy).alias("_lo"))
@@ -73,30 +78,45 @@ def relative_to(df: DataFrame, column: str, into: str, name: str, reference: str
     return _beside(df, value).withColumn(into, F.try_divide(F.col(column) * reference_value, F.col("_ref"))).drop("_ref")
 
 
-def inhibition_shape(df: DataFrame, column: str, into: str, mode: str) -> DataFrame:
-    """One of the shapes none, zscore, minmax (0 to 0.8), maxabs, robust (25-75 %), uniform, normal, l2, logit, energy.
+SHAPES = ("none", "zscore", "minmax", "maxabs", "robust", "uniform", "normal", "l2", "odds", "energy", "energy_tenth", "energy_scaled")
+
 
-    Constant columns give 0 where a spread divides. Nulls stay null. ``uniform`` is the average rank as a share, ``normal`` its
-    probit within +-5.2.
+def inhibition_shape(df: DataFrame, column: str, into: str, mode: str | int) -> DataFrame:
+    """An inhibition, the higher the better, as a score, the lower the better, in one of twelve shapes (by name or number in SHAPES).
+
+    none leaves it as it is. zscore, minmax (to 0..0.8), maxabs, robust (median and quartile range), uniform (average rank as a share),
+    normal (its probit within +-5.2) and l2 are negated. odds is 1000 times the negated odds_scale. The energies are
+    ki_to_energy in percent of 1/(y+1), of 0.1/(y+1) and of 1/(y'+1) with y' scaled to 0.001..1000. Constant columns give 0 where a spread
+    divides (y' = 0.001). Nulls and NaN give null.
     """
-    c = F.col(column)
+    mode = SHAPES[mode] if isinstance(mode, int) else mode
     if mode == "none":
-        return df.withColumn(into, c)
-    if mode == "energy":
-        return df.withColumn(into, ki_to_energy(c, original=False) * 3)
-    if mode == "logit":
-        p = c / 100
-        return df.withColumn(into, F.when((p > 0) & (p < 1), F.log(p / (1 - p)) * 1000))
+        return df.withColumn(into, F.col(column))
+    raw = F.col(column).cast("double")
+    c = F.when(~F.isnan(raw), raw)
+    if mode in ("energy", "energy_tenth"):
+        return df.withColumn(into, ki_to_energy((1.0 if mode == "energy" else 0.1) / (c + 1), original=False))
+    if mode == "odds":
+        out = odds_scale(df.withColumn("_odds_of", c), "_odds_of", into, negate=True)
+        return out.withColumn(into, F.col(into) * 1000).drop("_odds_of")
+    if mode == "energy_scaled":
+        part = F.coalesce(F.try_divide(c - F.col("_a"), F.col("_b") - F.col("_a")), c * 0)
+        y = part * (1000.0 - 0.001) + 0.001
+        return _stats(df, column, None, F.min(c).alias("_a"), F.max(c).alias("_b")).withColumn(into, ki_to_energy(1 / (y + 1), original=False)).drop("_a", "_b")
     aggs = {
         "zscore": (F.avg(c).alias("_a"), F.stddev_pop(c).alias("_b")),
         "minmax": (F.min(c).alias("_a"), ((F.max(c) - F.min(c)) / 0.8).alias("_b")),
         "maxabs": (F.lit(0.0).alias("_a"), F.max(F.abs(c)).alias("_b")),
-        "robust": (F.median(c).alias("_a"), (F.percentile(c, 0.75) - F.percentile(c, 0.25)).alias("_b")),
         "l2": (F.lit(0.0).alias("_a"), F.sqrt(F.sum(c * c)).alias("_b")),
     }
+    scaled = -F.coalesce(F.try_divide(c - F.col("_a"), F.col("_b")), c * 0)
     if mode in aggs:
-        scaled = F.coalesce(F.try_divide(c - F.col("_a"), F.col("_b")), c * 0)
         return _stats(df, column, None, *aggs[mode]).withColumn(into, scaled).drop("_a", "_b")
+    if mode == "robust":
+        from posemill.operators.quantiles import group_quantiles
+
+        q = group_quantiles(df, [], column, {"_q1": 0.25, "_a": 0.5, "_q3": 0.75})
+        return _beside(df, q).withColumn("_b", F.col("_q3") - F.col("_q1")).withColumn(into, scaled).drop("_q1", "_a", "_q3", "_b")
     if mode not in ("uniform", "normal"):
         raise ValueError(f"unknown mode {mode}")
     from posemill.operators.ranking import distinct_ranks
@@ -106,7 +126,7 @@ def inhibition_shape(df: DataFrame, column: str, into: str, mode: str) -> DataFr
     share = F.when(n > 1, (F.col("_before") + (F.col("_ties") - 1) / 2) / (n - 1)).otherwise(0.0)
     if mode == "normal":
         share = _probit(F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), share)))
-    return df.join(ranked.select(column, share.alias(into)), column, "left")
+    return df.join(ranked.select(column, (-share).alias(into)), column, "left")
 
 
 def _probit(p: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posemill.operators.joins import beside, null_safe_join
+from posemill.operators.quantiles import group_quantiles
 
 
 def top_window(df: DataFrame, by: list[str], score: str, window: float, most: int | None) -> DataFrame:
@@ -34,16 +37,17 @@ def mad_mask(df: DataFrame, by: list[str], value: str, threshold: float, into: s
 
     Written without division, so with a MAD of 0 whatever deviates is an outlier and the rest is kept. A group of one
     row, and null or NaN values, are no outliers. Without ``by`` the whole table is the group. With ``logarithm`` log10 of
-    the value is judged (null for values <= 0). Medians come from value counts merged map-side.
+    the value is judged (null for values <= 0). Medians of large groups are found by rank, see quantiles.group_quantiles.
     """
     c = F.col(value).cast("double")
     x = F.when(~F.isnan(c), F.when(c > 0, F.log10(c)) if logarithm else c)
 
-    def back(rows: DataFrame, agg: Column) -> DataFrame:
-        return null_safe_join(rows, rows.groupBy(*by).agg(agg), by) if by else beside(rows, rows.agg(agg))
+    def back(rows: DataFrame, of: str, into: str) -> DataFrame:
+        middle = group_quantiles(rows, by, of, {into: 0.5})
+        return null_safe_join(rows, middle, by) if by else beside(rows, middle)
 
-    rows = back(df.withColumn("_x", x), F.median("_x").alias("_m")).withColumn("_d", F.abs(F.col("_x") - F.col("_m")))
-    rows = back(rows, F.median("_d").alias("_mad"))
+    rows = back(df.withColumn("_x", x), "_x", "_m").withColumn("_d", F.abs(F.col("_x") - F.col("_m")))
+    rows = back(rows, "_d", "_mad")
     outlier = F.coalesce(F.col("_d") * 0.6745 > F.col("_mad") * threshold, F.lit(False))
     return rows.withColumn(into, outlier).drop("_x", "_m", "_d", "_mad")
 
@@ -58,6 +62,26 @@ def without_outliers(df: DataFrame, by: list[str], values: list[str], threshold:
     return df.where(~F.greatest(*masks, F.lit(False)) if len(masks) > 0 else F.lit(True)).select(*columns)
 
 
+def outlier_report(df: DataFrame, by: list[str], value: str, threshold: float, shown: list[str], scored: Column | None = None, least: int = 0) -> DataFrame:
+    """The shown columns of the outliers of a value and, unless ``scored`` is None, of the rows of groups with fewer than ``least``
+    rows for which it holds. The report only: such groups are no outliers for without_outliers."""
+    marked = mad_mask(df, by, value, threshold, "_out")
+    if scored is not None:
+        few = df.groupBy(*by).agg(F.count_if(scored).alias("_scored"))
+        marked = (null_safe_join(marked, few, by) if by else beside(marked, few)).withColumn("_out", F.col("_out") | (F.col("_scored") < least)).drop("_scored")
+    return marked.where("_out").select(*shown)
+
+
+def matching_columns(df: DataFrame, pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` and the columns whose name a regular expression finds, in the order of the table."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c in keep or re.search(pattern, c)])
+
+
+def ratio_columns(df: DataFrame, pattern: str, by: str, suffix: str = "_ratio") -> DataFrame:
+    """df with <column><suffix> = column / by for every column whose name matches; null where ``by`` is 0 or null."""
+    return df.select("*", *[F.try_divide(F.col(f"`{c}`"), F.col(by)).alias(f"{c}{suffix}") for c in df.columns if re.search(pattern, c)])
+
+
 def scored_ratio(df: DataFrame, by: list[str], scored: Column) -> DataFrame:
     """Per group the share of rows for which ``scored`` holds: by..., n_total, n_scored, ratio."""
     return df.groupBy(*by).agg(F.count("*").alias("n_total"), F.count_if(scored).alias("n_scored")).withColumn("ratio", F.col("n_scored") / F.col("n_total"))

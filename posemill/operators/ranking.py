@@ -2,34 +2,47 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from posemill.operators.joins import beside, null_safe_join
+from posemill.operators.joins import null_safe_join
 from posemill.runtime import Scratch
 
+HOT_ROWS = 200_000
+
 
 def _present(column: str) -> Column:
     return F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))
 
 
-def running_totals(df: DataFrame, by: list[str], value: str, sums: dict[str, tuple[str, str]], descending: bool = False, parts: int = 200) -> DataFrame:
+def running_totals(
+    df: DataFrame, by: list[str], value: str, sums: dict[str, tuple[str, str]], descending: bool = False, hot_rows: int = HOT_ROWS, parts: int | None = None,
+) -> DataFrame:
     """df with running sums and group totals (column -> their names) in the order of a number, one row per group and value given.
 
-    The values are cut into ``parts`` ranges at approximate percentiles; totals of whole ranges are added up per group first,
-    and only the rows of one range of one group are ever ordered together. So neither a group with most of the rows nor a
-    table without groups is sorted in one task. The table is written once, being read three times.
+    Where no group has more than ``hot_rows`` rows, plain windows over the groups do. Else the values are cut into ranges of
+    about ``hot_rows`` rows (at most 10 000 of them, or ``parts``) at approximate percentiles; totals of whole ranges are added
+    up per group first, and only the rows of one range of one group are ever ordered together. So neither a group with most of the rows
+    nor a table without groups is sorted in one task. The table is written once, being read again.
     """
     df = Scratch(df.sparkSession, "totals").cut(df)
-    number = F.col(value).cast("double")
-    bounds = df.agg(F.percentile_approx(number, [i / parts for i in range(1, parts)], 1000).alias("_bounds"))
-    part = F.size(F.filter("_bounds", lambda x: x < number))
-    ranged = beside(df, bounds).withColumn("_part", -part if descending else part).drop("_bounds")
+    total, most = df.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.sum("_n"), F.max("_n")).first()
+    order = F.col(value).desc() if descending else F.col(value).asc()
     group = Window.partitionBy(*by)
+    if (most or 0) <= hot_rows:
+        upto = group.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[x for c, (n, t) in sums.items() for x in (F.sum(c).over(upto).alias(n), F.sum(c).over(group).alias(t))])
+    number = F.col(value).cast("double")
+    parts = parts or min(10_000, 1 + total // hot_rows * 4)
+    bounds = df.agg(F.percentile_approx(number, [i / parts for i in range(1, parts)], max(1000, 2 * parts))).first()[0] if parts > 1 else []
+    edges = [-float("inf"), *sorted({float(x) for x in bounds if abs(x) < float("inf")}), float("inf")]
+    cut = Bucketizer(splits=edges, inputCol="_number", outputCol="_bucket")
+    part = F.col("_bucket").cast("int")
+    ranged = cut.transform(df.withColumn("_number", number)).withColumn("_part", -part if descending else part).drop("_number", "_bucket")
     upto = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = ranged.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums)])
     known = [x for i in range(len(sums)) for x in (F.coalesce(F.sum(f"_t{i}").over(upto), F.lit(0)).alias(f"_b{i}"), F.sum(f"_t{i}").over(group).alias(f"_a{i}"))]
-    order = F.col(value).desc() if descending else F.col(value).asc()
     inside = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     joined = null_safe_join(ranged, whole.select(*by, "_part", *known), [*by, "_part"])
     added = [x for i, (c, (n, t)) in enumerate(sums.items()) for x in ((F.col(f"_b{i}") + F.sum(c).over(inside)).alias(n), F.col(f"_a{i}").alias(t))]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posemill.operators.joins import beside, null_safe_join
+from posemill.operators.quantiles import group_quantiles
 
 
 def _clean(c: str) -> Column:
@@ -47,7 +48,8 @@ def standardize_composed(df: DataFrame, columns: list[str], protein: str) -> Dat
 def auto_edges(df: DataFrame, column: str) -> list[float]:
     """Equal bins by the smaller width of Sturges' and Freedman-Diaconis' rules; one row of statistics comes back."""
     c = _clean(column)
-    r = df.agg(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"), (F.percentile(c, 0.75) - F.percentile(c, 0.25)).alias("iqr")).first()
+    quarters = group_quantiles(df, [], c, {"q1": 0.25, "q3": 0.75}).select((F.col("q3") - F.col("q1")).alias("iqr"))
+    r = beside(df.agg(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")), quarters).first()
     if not r["n"]:
         return []
     if r["lo"] == r["hi"]:

@@ -29,7 +29,7 @@ def to_bits(vector: Column | str) -> Column:
     return F.transform(c, lambda x: F.when(F.coalesce(x != 0, F.lit(False)), 1).otherwise(0))
 
 
-def scalar_distances(x: np.ndarray, q: np.ndarray, metrics: tuple[str, ...], variance: np.ndarray | None = None, power: float = 3.0) -> dict[str, np.ndarray]:
+def scalar_distances(x: np.ndarray, q: np.ndarray, metrics: tuple[str, ...], variance: np.ndarray | None = None, power: float = 2.0) -> dict[str, np.ndarray]:
     """Every metric between rows of x and q as |x| x |q| arrays; 0/0 counts as 0 in sums and is NaN in ratios."""
     out: dict[str, np.ndarray] = {}
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -182,11 +182,11 @@ def max_variance_metric(pairs: DataFrame, metrics: list[str], unique_share: floa
     """z-scores of the metric of highest variance among those with more than unique_share distinct values.
 
     Returns id, query_id, metric, z; negated (a similarity) unless ``distance``. One aggregate row decides. The distinct
-    counts are exact. No row where no metric qualifies.
+    counts are exact. A metric that is undefined for some pair does not qualify; no row where none does.
     """
     normed = row_normalized(pairs, metrics)
-    facts = normed.agg(*[x for m in metrics for x in (F.var_pop(m).alias(f"v_{m}"), F.count_distinct(m).alias(f"d_{m}"), F.count(m).alias(f"n_{m}"))]).first()
-    good = [m for m in metrics if facts[f"n_{m}"] and facts[f"d_{m}"] > unique_share * facts[f"n_{m}"]]
+    facts = normed.agg(F.count("*").alias("n"), *[x for m in metrics for x in (F.var_pop(m).alias(f"v_{m}"), F.count_distinct(m).alias(f"d_{m}"), F.count(m).alias(f"n_{m}"))]).first()
+    good = [m for m in metrics if facts["n"] and facts[f"n_{m}"] == facts["n"] and facts[f"d_{m}"] > unique_share * facts["n"]]
     if not good:
         return normed.select("id", "query_id", F.lit("").alias("metric"), F.lit(0.0).alias("z")).where(F.lit(False))
     best = max(good, key=lambda m: facts[f"v_{m}"])
@@ -195,6 +195,12 @@ def max_variance_metric(pairs: DataFrame, metrics: list[str], unique_share: floa
     return beside(normed, stats).select("id", "query_id", F.lit(best).alias("metric"), (z if distance else -z).alias("z"))
 
 
+def metrics_for(df: DataFrame, vector: str) -> tuple[str, ...]:
+    """The boolean metrics if all components of all vectors are 0 or 1, else the scalar ones."""
+    other = df.where(F.exists(vector, lambda v: ~F.coalesce((v == 0) | (v == 1), F.lit(True)))).limit(1).count()
+    return SCALAR if other else BOOLEAN
+
+
 def similarity_weights(pairs: DataFrame, metric: str) -> DataFrame:
     """id, weight: 1 - the smallest distance to any query."""
     return pairs.groupBy("id").agg((1 - F.min(metric)).alias("weight"))

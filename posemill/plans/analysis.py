@@ -223,19 +223,21 @@ def active_cutoff(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {FEATURES}, x AS (SELECT *, avg(MW) OVER () AS a, stddev_pop(MW) OVER () AS s, min(MW) OVER () AS lo, max(MW) OVER () AS hi, max(abs(MW)) OVER () AS ma,
  median(MW) OVER () AS md, quantile_cont(MW, 0.75) OVER () - quantile_cont(MW, 0.25) OVER () AS iqr, sqrt(sum(MW * MW) OVER ()) AS l2,
  rank() OVER (ORDER BY MW) AS r, count(*) OVER (PARTITION BY MW) AS t, count(*) OVER () AS n FROM features)
- SELECT feature_id, MW AS "none", round((MW - a) / s, 6) AS zscore, round((MW - lo) / ((hi - lo) / 0.8), 6) AS minmax, round(MW / ma, 6) AS maxabs, round((MW - md) / iqr, 6) AS robust,
- round(MW / l2, 6) AS l2, round((r - 1 + (t - 1) / 2) / (n - 1), 6) AS uniform FROM x""")
+ SELECT feature_id, MW AS "none", round((a - MW) / s, 6) AS zscore, round((lo - MW) / ((hi - lo) / 0.8), 6) AS minmax, round(-MW / ma, 6) AS maxabs, round((md - MW) / iqr, 6) AS robust,
+ round(-MW / l2, 6) AS l2, round((1 - r - (t - 1) / 2) / (n - 1), 6) + 0.0 AS uniform, round(-1000 * MW / (CASE WHEN hi <= 100 THEN 101 ELSE hi + 1 END - MW), 4) AS odds,
+ round(0.5957632602 * ln(1 / (MW + 1) / 100), 6) AS energy, round(0.5957632602 * ln(0.1 / (MW + 1) / 100), 6) AS energy_tenth,
+ round(0.5957632602 * ln(1 / ((MW - lo) / (hi - lo) * 999.999 + 1.001) / 100), 6) AS energy_scaled FROM x""")
 def inhibition_shapes(spark: SparkSession, folder: str) -> DataFrame:
     rows = features(spark, folder).select("feature_id", "MW")
-    modes = ["none", "zscore", "minmax", "maxabs", "robust", "l2", "uniform"]
+    modes = ["none", "zscore", "minmax", "maxabs", "robust", "l2", "uniform", "odds", "energy", "energy_tenth", "energy_scaled"]
     for m in modes:
         rows = units.inhibition_shape(rows, "MW", m, m)
-    return rows.select("feature_id", *[F.col(m) if m == "none" else rounded(m) for m in modes])
+    return rows.select("feature_id", *[F.col(m) if m == "none" else (F.round(m, 4 if m == "odds" else 6) + F.lit(0.0)).alias(m) for m in modes])
 
 
 # ---- vectors ----------------------------------------------------------------------------------------------------------
 
-_SCALARS = ("braycurtis", "canberra", "cityblock", "correlation", "cosine", "euclidean", "minkowski", "sqeuclidean")
+_SCALARS = ("braycurtis", "canberra", "cityblock", "correlation", "cosine", "euclidean", "minkowski", "seuclidean", "sqeuclidean")
 _BITS = ("yule", "kulsinski", "hamming", "sokalsneath", "Tanimoto", "Dice", "CosineBits", "Sokal", "Russel", "RogotGoldberg", "AllBit", "Kulczynski", "McConnaughey", "Asymmetric", "BraunBlanquet", "Tversky")
 _PAIRS = """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)"""
 
@@ -246,12 +248,13 @@ def _embeddings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     return rows, rows.where("vec_id % 100 = 0")
 
 
-@query(_PAIRS + """, d AS (SELECT a.vec_id AS id, b.vec_id AS query_id, sum(abs(a.v - b.v)) AS l1, sum(abs(a.v + b.v)) AS p1, sum(CASE WHEN abs(a.v) + abs(b.v) > 0 THEN abs(a.v - b.v) / (abs(a.v) + abs(b.v)) ELSE 0 END) AS can,
- sum((a.v - b.v) * (a.v - b.v)) AS l2, sum(pow(abs(a.v - b.v), 3)) AS l3, sum(a.v * b.v) AS ab, sum(a.v * a.v) AS aa, sum(b.v * b.v) AS bb, sum(a.v) AS sa, sum(b.v) AS sb, count(*) AS n
- FROM e a JOIN e b ON a.i = b.i AND b.vec_id % 100 = 0 GROUP BY 1, 2)
+@query(_PAIRS + """, spread AS (SELECT i, var_samp(v) AS s FROM (SELECT v, i FROM e UNION ALL SELECT v, i FROM e WHERE vec_id % 100 = 0) GROUP BY 1),
+ d AS (SELECT a.vec_id AS id, b.vec_id AS query_id, sum(abs(a.v - b.v)) AS l1, sum((a.v - b.v) * (a.v - b.v) / s) AS se, sum(abs(a.v + b.v)) AS p1, sum(CASE WHEN abs(a.v) + abs(b.v) > 0 THEN abs(a.v - b.v) / (abs(a.v) + abs(b.v)) ELSE 0 END) AS can,
+ sum((a.v - b.v) * (a.v - b.v)) AS l2, sum(a.v * b.v) AS ab, sum(a.v * a.v) AS aa, sum(b.v * b.v) AS bb, sum(a.v) AS sa, sum(b.v) AS sb, count(*) AS n
+ FROM e a JOIN e b ON a.i = b.i AND b.vec_id % 100 = 0 JOIN spread ON spread.i = a.i GROUP BY 1, 2)
  SELECT id, query_id, round(l1 / p1, 5) AS braycurtis, round(can, 5) AS canberra, round(l1, 5) AS cityblock,
  round(1 - (ab - sa * sb / n) / sqrt((aa - sa * sa / n) * (bb - sb * sb / n)), 5) + 0.0 AS correlation, round(1 - ab / sqrt(aa * bb), 5) + 0.0 AS cosine,
- round(sqrt(l2), 5) AS euclidean, round(pow(l3, 1.0 / 3), 5) AS minkowski, round(l2, 5) AS sqeuclidean FROM d""")
+ round(sqrt(l2), 5) AS euclidean, round(sqrt(l2), 5) AS minkowski, round(sqrt(se), 5) AS seuclidean, round(l2, 5) AS sqeuclidean FROM d""")
 def scalar_distances(spark: SparkSession, folder: str) -> DataFrame:
     pairs = vectors.pair_distances(*_embeddings(spark, folder), "vec_id", "embedding", _SCALARS)
     return pairs.select("id", "query_id", *[(F.round(m, 5) + F.lit(0.0)).alias(m) for m in _SCALARS])
@@ -273,9 +276,9 @@ def boolean_distances(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def max_variance_metric(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = vectors.pair_distances(*_embeddings(spark, folder), "vec_id", "embedding", vectors.SCALAR)
-    used = [m for m in vectors.SCALAR if m != "jensenshannon"]
-    return vectors.max_variance_metric(pairs, used).select("id", "query_id", "metric", rounded("z"))
+    rows, asked = _embeddings(spark, folder)
+    used = vectors.metrics_for(rows, "embedding")
+    return vectors.max_variance_metric(vectors.pair_distances(rows, asked, "vec_id", "embedding", used), list(used)).select("id", "query_id", "metric", rounded("z"))
 
 
 @query(_PAIRS + """, d AS (SELECT a.vec_id AS id, b.vec_id AS q, 1 - sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)) AS c FROM e a JOIN e b ON a.i = b.i AND b.vec_id % 100 = 0 GROUP BY 1, 2)

@@ -10,7 +10,7 @@ from posemill.operators import filters, ranking, reduce
 from posemill.operators.joins import members
 from posemill.plans.registry import query, rounded
 from posemill.plans.views import ENTROPIES, FEATURES, LABELS, POSES, RUNS, entropies, features, labels, poses, runs
-from posemill.functions.keys import clean_name
+from posemill.functions.keys import clean_name, present
 from posemill.runtime import table
 
 
@@ -28,7 +28,7 @@ def name_decompose(spark: SparkSession, folder: str) -> DataFrame:
 @query("""WITH n AS (SELECT row_id, lower(trim(structvar)) || '_pose' || pose || '_frm' || frame AS m FROM scores_df)
 SELECT row_id, m AS complex_name, regexp_replace(regexp_replace(m, '_pose[0-9]+', ''), '_frm[0-9]+', '') AS structvar,
  regexp_extract(m, '^(.*)_stereo', 1) AS basemolname, CAST(regexp_extract(m, '_pose([0-9]+)', 1) AS INT) AS pose,
- CAST(regexp_extract(m, '_frm([0-9]+)$', 1) AS INT) AS frame, regexp_extract(m, '(_stereo[0-9]+_ion[0-9]+_tau[0-9]+)', 1) AS suffix FROM n""")
+ CAST(regexp_extract(m, '_frm([0-9]+)$', 1) AS INT) AS frame, regexp_extract(m, '^.*_(stereo[0-9]+_ion[0-9]+_tau[0-9]+)', 1) AS suffix FROM n""")
 def name_levels(spark: SparkSession, folder: str) -> DataFrame:
     m = F.col("complex_name")
     rows = table(spark, folder, "scores_df").select("row_id", N.make_complex_name(clean_name("structvar"), "pose", "frame").alias("complex_name"))
@@ -102,10 +102,10 @@ def rejected_ratio_report(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("structvar", "n_total", "n_scored", rounded("ratio"))
 
 
-@query("SELECT * EXCLUDE (HYPER_RATIO_SCORED_POSES) FROM (SELECT run_id, HYPER_EXECUTION_DIR_NAME, HYPER_RATIO_SCORED_POSES, HYPER_OUTLIER_MAD_THRESHOLD, HYPER_KEEP_MAX_DeltaG_POSES FROM hyper_opt_df)")
+@query(f"SELECT * EXCLUDE (HYPER_RATIO_SCORED_POSES) REPLACE ({', '.join(f'CASE WHEN isnan({c}) THEN NULL ELSE {c} END AS {c}' for c in ('auc_roc', 'auc_bedroc', 'r_i_docking_score'))}) FROM hyper_opt_df")
 def uniform_columns(spark: SparkSession, folder: str) -> DataFrame:
-    columns = ["run_id", "HYPER_EXECUTION_DIR_NAME", "HYPER_RATIO_SCORED_POSES", "HYPER_OUTLIER_MAD_THRESHOLD", "HYPER_KEEP_MAX_DeltaG_POSES"]
-    return filters.drop_uniform(table(spark, folder, "hyper_opt_df").select(*columns))
+    kept = filters.drop_uniform(table(spark, folder, "hyper_opt_df"))
+    return kept.select(*[present(c).alias(c) if t == "double" and c in ("auc_roc", "auc_bedroc", "r_i_docking_score") else F.col(c) for c, t in kept.dtypes])
 
 
 @query(f"WITH {FEATURES} SELECT feature_id FROM features WHERE protein IS NOT NULL AND is_active IS NOT NULL AND nofusion_Eint IS NOT NULL AND ring_flexibility IS NOT NULL")
@@ -113,9 +113,24 @@ def drop_missing(spark: SparkSession, folder: str) -> DataFrame:
     return filters.drop_missing(features(spark, folder), ["protein", "is_active", "nofusion_Eint", "ring_flexibility"]).select("feature_id")
 
 
-@query("SELECT run_id, auc_roc, auc_bedroc FROM (SELECT run_id, CASE WHEN isnan(auc_roc) THEN NULL ELSE auc_roc END auc_roc, CASE WHEN isnan(auc_bedroc) THEN NULL ELSE auc_bedroc END auc_bedroc FROM hyper_opt_df)")
+@query(f"WITH {FEATURES} SELECT feature_id, COLUMNS('^(A?MW|bondType_[A-Z]+)$') FROM features")
 def regex_columns(spark: SparkSession, folder: str) -> DataFrame:
-    return runs(spark, folder).select("run_id", F.expr("`auc_roc`"), F.expr("`auc_bedroc`")).select("run_id", "auc_roc", "auc_bedroc")
+    return filters.matching_columns(features(spark, folder), "^(A?MW|bondType_[A-Z]+)$", ("feature_id",))
+
+
+@query(f"WITH {POSES}, {_mad_sql('structvar', 'complexE', 3.5)}, few AS (SELECT structvar, count(Eint) AS n FROM poses GROUP BY 1) SELECT row_id, structvar, complexE FROM c JOIN few USING (structvar) WHERE coalesce(d * 0.6745 > mad * 3.5, false) OR n < 2")
+def outlier_report(spark: SparkSession, folder: str) -> DataFrame:
+    return filters.outlier_report(poses(spark, folder), ["structvar"], "complexE", 3.5, ["row_id", "structvar", "complexE"], F.col("Eint").isNotNull(), 2)
+
+
+@query(f"""WITH {POSES}, m AS (SELECT structvar, score - min(score) OVER (PARTITION BY structvar) AS d FROM poses), h AS (SELECT structvar, count(d) AS valid_pose_num,
+ {", ".join(f'count(*) FILTER (d >= {k} AND d < {k + 1}) AS k{k}' for k in range(6))} FROM m GROUP BY 1)
+ SELECT structvar, {", ".join(f'round(k{k} / nullif(valid_pose_num, 0), 9) AS "DeltaG_{k}to{k + 1}_ratio"' for k in range(6))} FROM h""")
+def ratio_columns(spark: SparkSession, folder: str) -> DataFrame:
+    rows = poses(spark, folder)
+    both = reduce.energy_histogram(rows, ["structvar"], "score").join(rows.groupBy("structvar").agg(F.count("score").alias("valid_pose_num")), "structvar")
+    out = filters.ratio_columns(both, "^DeltaG_[0-9]to[0-9]$", "valid_pose_num")
+    return out.select("structvar", *[rounded(c, 9) for c in out.columns if c.endswith("_ratio")])
 
 
 @query(f"WITH {POSES} SELECT DISTINCT protein, basemolname FROM poses")
@@ -128,13 +143,11 @@ def derived_ratio(spark: SparkSession, folder: str) -> DataFrame:
     return features(spark, folder).select("feature_id", F.round(F.try_divide("MW", "AMW"), 6).alias("n_atoms"))
 
 
-@query(f"""WITH {POSES}, p AS (SELECT *, row_number() OVER (PARTITION BY structvar ORDER BY complexE NULLS LAST, Eint NULLS LAST, pose, frame) AS r1 FROM poses),
+@query(f"""WITH {POSES}, p AS (SELECT *, row_number() OVER (PARTITION BY structvar ORDER BY complexE NULLS LAST, structvar, pose, frame) AS r1 FROM poses),
  v AS (SELECT *, row_number() OVER (PARTITION BY basemolname ORDER BY Eint NULLS LAST, structvar, pose, frame) AS r2 FROM p WHERE r1 = 1)
  SELECT basemolname, structvar, pose, frame, complexE, Eint AS nofusion_Eint FROM v WHERE r2 = 1""")
 def best_variant_two_level(spark: SparkSession, folder: str) -> DataFrame:
-    rows = poses(spark, folder)
-    best = ranking.first_in_group(rows, ["structvar"], [F.col("complexE").asc_nulls_last(), F.col("Eint").asc_nulls_last(), F.col("pose"), F.col("frame")])
-    out = reduce.best_in_two_steps(best, ["structvar"], ["basemolname"], "complexE", "Eint", ["structvar", "pose", "frame"], "nofusion_Eint")
+    out = reduce.best_in_two_steps(poses(spark, folder), ["structvar"], ["basemolname"], "complexE", "Eint", ["structvar", "pose", "frame"], "nofusion_Eint")
     return out.select("basemolname", "structvar", "pose", "frame", "complexE", "nofusion_Eint")
 
 

@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
-from pyspark import StorageLevel, cloudpickle
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -90,8 +90,3 @@ class Scratch:
 def ship(module: str) -> None:
     """Send the functions of a module to Python workers by value, so executors need no copy of this package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Persist where memory allows, spill to disk otherwise."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from posemill.operators import filters, joins, ranking, reduce, scaling
+from posemill.operators import filters, joins, quantiles, ranking, reduce, scaling, vectors
 
 NAN = float("nan")
 
@@ -134,8 +136,36 @@ def test_fusion_skips_missing(spark):
 def test_running_totals_over_ranges(spark):
     df = spark.createDataFrame([(g, float(x), x % 3) for g in (None, "a") for x in range(50)], "g string, x double, n int")
     for descending in (False, True):
-        out = ranking.running_totals(df, ["g"], "x", {"n": ("s", "t")}, descending, parts=7).collect()
+        out = ranking.running_totals(df, ["g"], "x", {"n": ("s", "t")}, descending, hot_rows=3, parts=7).collect()
         for g in (None, "a"):
             mine = sorted((r for r in out if r["g"] == g), key=lambda r: -r["x"] if descending else r["x"])
             assert [r["s"] for r in mine] == [sum(r["n"] for r in mine[: i + 1]) for i in range(50)] and {r["t"] for r in mine} == {49}
     assert ranking.running_totals(df.limit(0), ["g"], "x", {"n": ("s", "t")}).count() == 0
+
+
+def test_quantiles_of_large_and_small_groups(spark):
+    rng = random.Random(5)
+    rows = [("big", round(rng.gauss(0, 3), 1)) for _ in range(301)] + [("two", 1.0), ("two", 4.0), ("none", None), (None, 2.0), ("big", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    want = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.999, "e": 1.0}
+    for by in (["g"], []):
+        plain = sorted(map(str, quantiles.group_quantiles(df, by, "x", want).collect()))
+        assert sorted(map(str, [r for r in quantiles.group_quantiles(df, by, "x", want, hot_rows=50).collect()])) == plain
+    assert quantiles.group_quantiles(df.limit(0), ["g"], "x", want).count() == 0
+
+
+def test_reports_and_columns(spark):
+    df = spark.createDataFrame([("a", float(i % 3), 1) for i in range(9)] + [("a", 99.0, 1), ("b", 5.0, None), ("c", None, None)], "g string, x double, s int")
+    assert [tuple(r) for r in filters.outlier_report(df, ["g"], "x", 3.5, ["g", "x"]).collect()] == [("a", 99.0)]
+    shown = filters.outlier_report(df, ["g"], "x", 3.5, ["g", "x"], F.col("s").isNotNull(), 1).collect()
+    assert sorted(map(str, shown)) == sorted(["Row(g='a', x=99.0)", "Row(g='b', x=5.0)", "Row(g='c', x=None)"])
+    wide = spark.createDataFrame([(1, 2, 4, 0)], "id int, DeltaG_0to1 int, DeltaG_1to2 int, n int")
+    assert filters.matching_columns(wide, "^DeltaG_[0-9]to", ("id",)).columns == ["id", "DeltaG_0to1", "DeltaG_1to2"]
+    assert filters.ratio_columns(wide, "^DeltaG_", "n").first()["DeltaG_0to1_ratio"] is None
+    assert filters.ratio_columns(wide, "^DeltaG_", "DeltaG_0to1").first()["DeltaG_1to2_ratio"] == 2
+
+
+def test_metric_set_follows_the_data(spark):
+    bits = spark.createDataFrame([([1.0, 0.0],), ([0.0, None],)], "v array<double>")
+    assert vectors.metrics_for(bits, "v") == vectors.BOOLEAN
+    assert vectors.metrics_for(bits.union(spark.createDataFrame([([0.5, 1.0],)], "v array<double>")), "v") == vectors.SCALAR
