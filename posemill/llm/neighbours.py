@@ -434,7 +434,7 @@ def _local_join(k: int, members: int) -> Callable[[pa.Table], pa.Table]:
         begin, size = begin[by], size[by]
         bound = np.where(np.arange(len(ids) + 1) < len(ids), np.append(weakest, np.inf), np.inf).astype(np.float32)
         padded = np.concatenate([x, np.zeros((1, x.shape[1]), np.float32)])
-        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        got: list[tuple[np.ndarray, np.ndarray]] = []
         lo = 0
         while lo < len(begin) and size[lo] > 1:
             width = int(size[lo])
@@ -449,12 +449,12 @@ def _local_join(k: int, members: int) -> Callable[[pa.Table], pa.Table]:
             ok = (a != b) & (b < len(ids))
             a, b, s = a[ok], b[ok], s[ok]
             ok = groups[a] != groups[b]
-            got.append((a[ok], b[ok], s[ok]))
+            got.append((a[ok] * len(ids) + b[ok], s[ok]))
             lo = hi
-        a, b, s = (np.concatenate(c) for c in zip(*got, strict=True)) if got else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.float32),)
-        key = a * len(ids) + b
+        key, s = (np.concatenate(c) for c in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0, np.float32))
+        got.clear()
         key, first = np.unique(key, return_index=True)
-        a, b, s = a[first], b[first], s[first]
+        a, b, s = key // len(ids), key % len(ids), s[first]
         if len(pairs):
             spot = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
             fresh = pairs[spot] != key
@@ -728,7 +728,7 @@ def _source(rows: DataFrame, record_id: str, group: str, vector: list[str]) -> D
 
 def neighbour_graph(
     rows: DataFrame, record_id: str, group: str, vector: list[str], k: int = 14, block_rows: int = 16_000, sample: int = 20_000,
-    trees: int = 4, leaf: int = 512, members: int = 40, rounds: int = 6, settled: float = 0.02, seed: int = 7,
+    trees: int = 4, leaf: int = 512, members: int = 32, rounds: int = 6, settled: float = 0.02, seed: int = 7,
     mixing: int = 6, least_blocks: int = 16,
 ) -> NeighbourGraph:
     """k nearest neighbours by cosine, of another group, of every distinct vector.
