@@ -35,7 +35,10 @@ FUNCTION_WORDS = frozenset(
 _LINK = re.compile(r"://|^www\.|^[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?:/\S*)?$")
 _NUMBER = re.compile(r"^[-+]?\d+(?:[.,]\d+)?%?$|^[^\s=/]+=[-+]?\d+(?:\.\d+)?$")
 _WORD = re.compile(r"[^\W_]+")
-_SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+_ENDS = ".!?。！？…।"
+_SENTENCE_END = re.compile(rf"(?<=[{_ENDS}])\s+")
+# Scripts that put no blanks between words: each character is a word.
+_UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 _SEPARATOR = re.compile(r"[,;|>•·]|::|\s[/–-]\s")
 _MARKS = ".,;:!?()[]{}\"'*#|<>/–-•·"
 
@@ -55,6 +58,10 @@ PHRASE = 4
 PHRASE_TIMES = 10
 PHRASE_TURNS = 3
 PHRASE_SHARE = 0.6
+FORM_WORDS = 6
+FORM_MARKS = 6
+FORM_LETTERS = 3
+FORM_DISTINCT = 0.9
 
 
 def _parts(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,10 +73,12 @@ def _parts(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray,
     sentence = -1
     for i, text in enumerate(texts):
         for line in (text or "").splitlines():
+            if not line.isascii():
+                line = _UNSPACED.sub(r" \g<0> ", line)
             if not (words := line.split()):
                 continue
             parts = [words]
-            if any(w[-1] in ".!?" for w in words[:-1]):
+            if any(w[-1] in _ENDS for w in words[:-1]):
                 parts = [p.split() for p in _SENTENCE_END.split(line.strip())]
             for p in parts:
                 sentence += 1
@@ -78,7 +87,7 @@ def _parts(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray,
                 in_line += [len(of_text)] * len(p)
             of_text.append(i)
             separators.append(len(_SEPARATOR.findall(line)))
-            closed.append(words[-1][-1] in ".!?")
+            closed.append(words[-1][-1] in _ENDS)
     ints = lambda x: np.array(x, np.int64)
     return tokens, ints(in_sentence), ints(in_line), ints(of_text), ints(separators), np.array(closed, bool)
 
@@ -115,13 +124,31 @@ def _phrases(term: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return repeated
 
 
+def _formed(tokens: list[str], seen: np.ndarray, codes: np.ndarray, core: list[str], term: np.ndarray, sentence: np.ndarray, real: np.ndarray, in_sentence: np.ndarray) -> np.ndarray:
+    """Which sentences have the form of one in any language: a capital (or a letter without case) at the start, a full stop, question or
+    exclamation mark at the end, at least FORM_WORDS words, at most one mark or separator in FORM_MARKS of them, and longer words
+    that hardly repeat."""
+    n = len(in_sentence)
+    first = np.searchsorted(sentence, np.arange(n))
+    last = np.searchsorted(sentence, np.arange(n), side="right") - 1
+    opens = np.array([(c := t.lstrip("\"'([{¿¡«„“")[:1]).isalpha() and not c.islower() for t in seen])
+    stops = np.array([t.rstrip("\"')]}»”")[-1:] in _ENDS and t[-1] != "," for t in seen])
+    mark = np.array([t[-1] in ",;|>，；、" or not _WORD.search(t) for t in seen])[codes]
+    long = np.array([len(c) > FORM_LETTERS for c in core])[codes] & real
+    pairs = np.unique(sentence[long] * (int(term.max()) + 1) + term[long]) // (int(term.max()) + 1)
+    distinct = np.bincount(pairs, minlength=n) >= FORM_DISTINCT * np.bincount(sentence, long, n)
+    few = FORM_MARKS * np.bincount(sentence, mark, n) <= in_sentence + FORM_MARKS
+    return opens[codes[first]] & stops[codes[last]] & (in_sentence >= FORM_WORDS) & few & distinct
+
+
 def list_shares(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Number of words of every text, and how many of them stand in lists or regular repetition instead of sentences.
 
     Works on all texts of a batch at once. A token's terms recur regularly where, within a line, most content words meet
     themselves again inside the lag window (the autocorrelation of the token sequence at lags 1 to LAGS, or to WIDE_LAGS where a
     line runs on without the ends of sentences; adjacent lines too short to show it are taken together), or where most of them stand in
-    phrases that the whole text repeats at equal distances, however long; a sentence is a list of nouns where hardly any function word occurs; a line is a list where many separators part short pieces; short
+    phrases that the whole text repeats at equal distances, however long; a sentence is a list of nouns where hardly any function word occurs
+    and it has not the form of a sentence either (_formed, which needs no word list, so that prose of any language is none); a line is a list where many separators part short pieces; short
     unclosed lines are a list where several follow one another. Parts in which every fourth token is a
     number are measured values, never lists.
     """
@@ -146,6 +173,7 @@ def list_shares(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     linking = per(sentence, function, n_sentences)
     bare = (linking < LIST_FUNCTION_SHARE * in_sentence) & ((linking < 2) | (linking < LOW_FUNCTION_SHARE * in_sentence))
     bare &= per(sentence, number, n_sentences) < MEASURED_SHARE * in_sentence
+    bare &= ~_formed(tokens, seen, codes, core, term, sentence, real, in_sentence)
     free = per(line, number, n_lines) < MEASURED_SHARE * in_line
     parted = (separators >= PIECES) & (in_line <= PIECE_WORDS * (separators + 1)) & free
     short = (in_line <= PIECE_WORDS) & ~closed & free
@@ -175,7 +203,7 @@ def list_shares(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             in_stretch = per(stretch, real, n_stretches)
             regular = (per(stretch, across & content, n_stretches) >= REGULAR_SHARE * per(stretch, content, n_stretches)) & (in_stretch >= REGULAR_WORDS)
             regular = regular[stretch_of] & free
-    ends = np.array([t[-1] in ".!?" for t in seen])[codes]
+    ends = np.array([t[-1] in _ENDS for t in seen])[codes]
     endless = (in_line >= SENTENCE_WORDS) & (in_line >= SENTENCE_WORDS * per(line, ends, n_lines))
     wide = (per(line, recurs & content, n_lines) >= WIDE_SHARE * of_content) & endless & free
     repeated = per(sentence, _phrases(term, of_text[line]) & content, n_sentences)
@@ -196,7 +224,7 @@ def list_pages(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, n_words, n_listed, share for every document; a page is spam where share > 1/2.
 
     One pass over the texts without a shuffle; the texts of an Arrow batch are measured together as numpy arrays, so the
-    cost is linear in characters, also for very long texts. Words are runs of letters and digits.
+    cost is linear in characters, also for very long texts. Words are runs of letters and digits, or single characters in scripts without blanks.
 
     Defined cases: null, blank and wordless texts have n_words = 0 and share 0; null ids are kept; repeated texts each
     give a row; an empty table gives no rows. Other columns are ignored.

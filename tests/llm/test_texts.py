@@ -188,3 +188,21 @@ def test_list_pages_of_odd_tables(spark):
     got = sorted(((r["doc_id"], r["share"] > 0.5) for r in list_pages(docs, "doc_id", "text").collect()), key=str)
     assert got == [(1, False), (2, False), (3, False), (3, True), (None, False)]
     assert list_pages(docs.limit(0), "doc_id", "text").count() == 0
+
+
+def test_prose_of_any_language_is_no_list():
+    prose = [
+        "Program dokujący sprawdza każdą pozę cząsteczki w kieszeni białka i zapisuje jej energię. Po tym kroku wybieramy tylko najlepsze warianty, a resztę odkładamy na później. "
+        "Wyniki z poniedziałku różnią się nieco od wcześniejszych, bo zmieniliśmy ładunek jednego atomu.",
+        "Программа проверяет каждую позу молекулы в кармане белка и записывает её энергию. После этого шага мы выбираем только лучшие варианты, остальные откладываем на потом. "
+        "Результаты понедельника немного отличаются от прежних, потому что изменился заряд одного атома.",
+        "Le logiciel vérifie chaque pose de la molécule dans la poche et note son énergie. Après cette étape nous gardons seulement les meilleures variantes, les autres attendent. "
+        "Les résultats de lundi diffèrent un peu des précédents, parce que la charge d'un atome avait changé.",
+        "Ohjelma tarkistaa molekyylin jokaisen asennon proteiinin taskussa ja kirjaa sen energian. Tämän vaiheen jälkeen valitsemme vain parhaat muunnelmat, muut jäävät odottamaan.",
+        "软件检查分子在蛋白质口袋中的每个姿势并记录其能量。完成这一步之后，我们只保留最好的变体，其余的以后再看。星期一的结果与以前略有不同，因为一个原子的电荷改变了。",
+    ]
+    total, listed = list_shares(prose)
+    assert (total >= 12).all() and (listed <= 0.1 * total).all()
+    stuffed = ["szybka dostawa tanio zestaw testowy oprogramowanie sklep " * 12, "对接软件 试剂盒 便宜 购买 " * 30]
+    total, listed = list_shares(stuffed)
+    assert (listed > 0.5 * total).all()
