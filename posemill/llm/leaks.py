@@ -22,6 +22,7 @@ BAND = 16
 _WORD = re.compile("[a-z0-9]+")
 _SLOTS = 22
 _CHUNK = 4 << 20
+_HITS = 1 << 24
 
 
 def _plain(text: str | None) -> bytes:
@@ -94,10 +95,11 @@ def build_index(items: list[tuple[object, str | None]], words: int, edits: int)
     )
 
 
-def _aligned(windows: list[np.ndarray], starts: np.ndarray, data: np.ndarray, begin: np.ndarray, length: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
+def _aligned(windows: list[np.ndarray], starts: np.ndarray, data: np.ndarray, begin: np.ndarray, length: np.ndarray, low: np.ndarray, width: int, most: int) -> np.ndarray:
     """Edits between every window, at ``starts`` of its item, and its best place in its text on ``width`` diagonals from low.
 
-    One banded dynamic programme for all windows at once: a row of costs per window, a column per diagonal.
+    One banded dynamic programme for all windows at once: a row of costs per window, a column per diagonal. Windows that need more than
+    ``most`` edits get some larger number.
     """
     sizes = np.array([len(w) for w in windows])
     order = np.argsort(-sizes, kind="stable")
@@ -108,25 +110,67 @@ def _aligned(windows: list[np.ndarray], starts: np.ndarray, data: np.ndarray, be
     slope = np.arange(width, dtype=np.int16)
     cost = np.zeros((len(windows), width), np.int16)
     j = (low + starts)[:, None] + slope
-    alive = len(windows)
+    out = np.full(len(windows), 1 << 14, np.int64)
     for i in range(padded.shape[1]):
         alive = int(np.searchsorted(-sizes, -i, side="left"))  # windows longer than i
-        at = j[:alive] + i
-        inside = (at >= 0) & (at < length[:alive, None])
-        miss = data[begin[:alive, None] + np.where(inside, at, 0)] != padded[:alive, i : i + 1]
-        step = cost[:alive] + (miss | ~inside)
-        np.minimum(step[:, :-1], cost[:alive, 1:] + np.int16(1), out=step[:, :-1])
+        if i % 12 == 0 or alive < len(sizes):
+            # those at their end, and those beyond the budget, which never come back, are done with
+            least = cost.min(1)
+            out[order[alive:]] = least[alive:]
+            going = np.flatnonzero(least[:alive] <= most)
+            order, sizes, padded, begin, length, cost, j = (x[going] for x in (order, sizes, padded, begin, length, cost, j))
+            alive = len(going)
+            if not alive:
+                return out
+        at = j + i
+        inside = (at >= 0) & (at < length[:, None])
+        miss = data[begin[:, None] + np.where(inside, at, 0)] != padded[:, i : i + 1]
+        step = cost + (miss | ~inside)
+        np.minimum(step[:, :-1], cost[:, 1:] + np.int16(1), out=step[:, :-1])
         step -= slope
         np.minimum.accumulate(step, axis=1, out=step)
-        cost[:alive] = step + slope
-    out = np.empty(len(windows), np.int64)
+        cost = step + slope
     out[order] = cost.min(1)
     return out
 
 
-def find_leaks(index: ItemIndex, texts: list[str | None]) -> list[tuple[int, int, int]]:
-    """(text, item, edits) for every text that holds a window of an item within the edit budget; fewest edits first tried."""
-    plain = [_plain(t) for t in texts]
+def _stands(index: ItemIndex, item: int, windows: np.ndarray, hits: np.ndarray, on: np.ndarray, text: np.ndarray) -> bool:
+    """Whether one of the windows, whose q-grams all occur in the band, stands in the text as it is: the alignment without an edit."""
+    own = index.texts[item]
+    for w in windows.tolist():
+        s, e = int(index.starts[item][w]), int(index.ends[item][w])
+        for d in on[np.searchsorted(hits, s) : np.searchsorted(hits, s, side="right")].tolist():
+            if s + d >= 0 and np.array_equal(text[s + d : e + d], own[s:e]):
+                return True
+    return False
+
+
+def find_leaks(index: ItemIndex, texts: list[str | None], most_hits: int = _HITS) -> list[tuple[int, int, int]]:
+    """(text, item, edits) for every text that holds a window of an item within the edit budget; fewest edits first tried.
+
+    Texts that share more than ``most_hits`` q-grams with the items are looked at in parts: fewer texts at a time, then stretches of one
+    text that overlap by more than the longest window, so that memory stays bounded whatever repeats.
+    """
+    reach = 2 * (max((int((e - s).max()) for s, e in zip(index.starts, index.ends, strict=True)), default=0) + index.edits + Q + 2 * BAND)
+    best: dict[tuple[int, int], int] = {}
+    todo = [(np.arange(len(texts)), [_plain(t) for t in texts])]
+    while todo:
+        of, plain = todo.pop()
+        found = _leaks(index, plain, most_hits if len(plain) > 1 or len(plain[0]) > 4 * reach else None) if plain else []
+        if found is not None:
+            for t, i, n in found:
+                best[int(of[t]), i] = min(n, best.get((int(of[t]), i), n))
+        elif len(plain) > 1:
+            half = len(plain) // 2
+            todo += [(of[:half], plain[:half]), (of[half:], plain[half:])]
+        else:
+            half = len(plain[0]) // 2
+            todo += [(of, [plain[0][: half + reach]]), (of, [plain[0][half:]])]
+    return [(t, i, n) for (t, i), n in best.items()]
+
+
+def _leaks(index: ItemIndex, plain: list[bytes], most_hits: int | None) -> list[tuple[int, int, int]] | None:
+    """find_leaks of texts as plain bytes; None where they share more q-grams with the items than ``most_hits``."""
     lengths = np.array([len(p) + 1 for p in plain])
     begins = np.cumsum(lengths) - lengths
     data = np.frombuffer(b"\0".join(plain) + b"\0", np.uint8)
@@ -142,6 +186,8 @@ def find_leaks(index: ItemIndex, texts: list[str | None]) -> list[tuple[int, int
         return []
     many = index.first[slot + 1] - index.first[slot]
     total = int(many.sum())
+    if most_hits is not None and total > most_hits:
+        return None
     source = np.repeat(index.first[slot] - (np.cumsum(many) - many), many) + np.arange(total)
     place = np.repeat(place, many)
     item, at = index.item[source], index.at[source]
@@ -149,39 +195,52 @@ def find_leaks(index: ItemIndex, texts: list[str | None]) -> list[tuple[int, int
     diagonal = place - begins[text] - at
     band = np.floor_divide(diagonal, BAND)
     band = np.concatenate([band, band - 1])
-    text, item, at = np.tile(text, 2), np.tile(item, 2), np.tile(at, 2)
+    text, item, at, diagonal = (np.tile(x, 2) for x in (text, item, at, diagonal))
     order = np.lexsort((at, band, item, text))
-    text, item, band, at = text[order], item[order], band[order], at[order]
-    same = (text[1:] == text[:-1]) & (item[1:] == item[:-1]) & (band[1:] == band[:-1])
-    keep = np.append(True, ~(same & (at[1:] == at[:-1])))
-    text, item, band, at = text[keep], item[keep], band[keep], at[keep]
+    text, item, band, at, diagonal = text[order], item[order], band[order], at[order], diagonal[order]
     begin = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])))
     size = np.diff(np.append(begin, len(text)))
-    begin, size = begin[size >= index.least[item[begin]]], size[size >= index.least[item[begin]]]
-    tries: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    last: tuple[int, int, np.ndarray] | None = None
-    for b, n in zip(begin.tolist(), size.tolist(), strict=True):
-        t, i, hits = int(text[b]), int(item[b]), at[b : b + n]
-        if last and last[:2] == (t, i) and np.array_equal(last[2], hits):
-            continue  # all of it lies in the half this band shares with the one before
-        last = (t, i, hits)
-        seen = np.zeros(len(index.texts[i]) + 1, np.int32)
-        seen[hits + 1] = 1
-        s, e = index.starts[i], index.ends[i] - Q + 1
-        count = np.cumsum(seen)
-        shared = count[e] - count[s]
-        enough = np.flatnonzero(shared >= index.need[i])
-        if not len(enough):
-            continue
-        # an edit breaks only q-grams that start within Q places of each other: cover the missing ones greedily
-        gaps = np.append(np.flatnonzero(seen[1:] == 0), [1 << 30])
-        jump = np.append(np.searchsorted(gaps, gaps[:-1] + Q), len(gaps) - 1)
-        k = np.searchsorted(gaps, s[enough])
-        for _ in range(index.edits):
-            k = np.where(gaps[k] < e[enough], jump[k], k)
-        for w in enough[gaps[k] >= e[enough]].tolist():
-            tries.setdefault((t, i), []).append((int(e[w] - s[w] - shared[w]), w, int(band[b])))
+    # a band whose hits, like those of the band before it, all lie on the diagonals the two share, holds nothing else
+    low, high, t, i, b = np.minimum.reduceat(diagonal, begin), np.maximum.reduceat(diagonal, begin), text[begin], item[begin], band[begin]
+    again = np.zeros(len(begin), bool)
+    again[1:] = (t[1:] == t[:-1]) & (i[1:] == i[:-1]) & (b[1:] == b[:-1] + 1) & (low[:-1] >= BAND * b[1:]) & (high[1:] < BAND * (b[1:] + 1))
+    keep = ~again & (size >= index.least[i])
+    begin, size, t, i, b = begin[keep], size[keep], t[keep], i[keep], b[keep]
     best: dict[tuple[int, int], int] = {}
+    tries: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for one in np.unique(i).tolist():
+        groups = np.flatnonzero(i == one)
+        s, e, size_of = index.starts[one], index.ends[one] - Q + 1, len(index.texts[one]) + 1
+        step = max(1, (1 << 22) // size_of)
+        for lo in range(0, len(groups), step):
+            part = groups[lo : lo + step]
+            spot = np.repeat(begin[part] - (np.cumsum(size[part]) - size[part]), size[part]) + np.arange(int(size[part].sum()))
+            seen = np.zeros((len(part), size_of), np.int32)
+            seen[np.repeat(np.arange(len(part)), size[part]), at[spot] + 1] = 1
+            count = np.cumsum(seen, axis=1)
+            shared = count[:, e] - count[:, s]
+            enough = shared >= index.need[one]
+            # an edit breaks only q-grams that start within Q places of each other: cover the missing ones greedily
+            some = np.flatnonzero(enough.any(1))
+            missing = np.where(seen[some, 1:] == 0, np.arange(size_of - 1, dtype=np.int32), np.int32(1 << 30))
+            after = np.full((len(some), size_of + Q), 1 << 30, np.int32)
+            after[:, : size_of - 1] = np.minimum.accumulate(missing[:, ::-1], axis=1)[:, ::-1]
+            gap = after[:, s]
+            for _ in range(index.edits):
+                gap = np.where(gap < e, np.take_along_axis(after, np.minimum(gap, size_of - 1) + Q, 1), gap)
+            enough[some] &= gap >= e
+            for row in np.flatnonzero(enough.any(1)).tolist():
+                g = part[row]
+                pair = (int(t[g]), one)
+                if best.get(pair) == 0:
+                    continue
+                windows = np.flatnonzero(enough[row])
+                hits, on = at[begin[g] : begin[g] + size[g]], diagonal[begin[g] : begin[g] + size[g]]
+                if _stands(index, one, windows[(e - s)[windows] == shared[row, windows]], hits, on, data[begins[t[g]] : begins[t[g]] + lengths[t[g]]]):
+                    best[pair] = 0
+                    tries.pop(pair, None)
+                    continue
+                tries.setdefault(pair, []).extend((int(n), w, int(b[g])) for n, w in zip((e - s - shared[row])[windows], windows.tolist(), strict=True))
     for windows in tries.values():
         windows.sort()
     turn, open_ = 0, list(tries)
@@ -196,7 +255,7 @@ def find_leaks(index: ItemIndex, texts: list[str | None]) -> list[tuple[int, int
             e = np.array([index.ends[x][p[2]] for x, p in zip(i, part, strict=True)])
             own = [index.texts[x][y:z] for x, y, z in zip(i, s, e, strict=True)]
             low = np.array([p[3] for p in part]) * BAND - index.edits
-            got = _aligned(own, s, data, begins[t], lengths[t] - 1, low, 2 * BAND + 2 * index.edits + 1)
+            got = _aligned(own, s, data, begins[t], lengths[t] - 1, low, 2 * BAND + 2 * index.edits + 1, index.edits)
             for k in np.flatnonzero(got <= np.minimum(index.edits, np.maximum(0, (e - s - Q) // Q))).tolist():
                 pair = part[k][0]
                 best[pair] = min(int(got[k]), best.get(pair, 1 << 20))

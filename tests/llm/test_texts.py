@@ -206,3 +206,14 @@ def test_prose_of_any_language_is_no_list():
     stuffed = ["szybka dostawa tanio zestaw testowy oprogramowanie sklep " * 12, "对接软件 试剂盒 便宜 购买 " * 30]
     total, listed = list_shares(stuffed)
     assert (listed > 0.5 * total).all()
+
+
+def test_leaks_with_a_broken_and_an_intact_place_and_in_parts():
+    words = "alpha bravo charlie delta echo foxtrot golf hotel india juliett kilo lima mike november oscar".split()
+    item = " ".join(words)
+    doubled = " ".join([*words[:7], "hotelhotelhotel", *words[8:]])
+    texts = [f"{doubled} and then {item} end", doubled, item, "nothing", None, " ".join([item] * 400), "x " * 5000 + item]
+    index = build_index([(0, item), (1, "short")], 15, 3)
+    for most in (1 << 24, 200, 20):
+        exact = {(t, i) for t, i, n in find_leaks(index, texts, most) if n == 0}
+        assert exact == {(0, 0), (2, 0), (5, 0), (6, 0)}, most
