@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from posemill.plans import analysis, learned, parsing, pipeline, selection  # noqa: F401
+from posemill.plans import analysis, learned, parsing, pipeline, readers, selection, twins  # noqa: F401
 from posemill.plans.registry import QUERIES, SQL
 
 

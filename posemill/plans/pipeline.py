@@ -14,7 +14,7 @@ from posemill.operators.joins import beside, join_all, natural_join, null_safe_j
 from posemill.plans.learned import FEATURE_COLUMNS
 from posemill.plans.registry import query, rounded
 from posemill.plans.views import ENTROPIES, FEATURES, LABELS, POSES, RUNS, VECTOR, entropies, features, labels, poses, runs
-from posemill.runtime import Scratch, table
+from posemill.runtime import Scratch, shared_root, table
 from posemill.sources.rejects import parse_mol2, read_fingerprint_lines
 from posemill.sources.textfiles import lowest_variants, mol2_to_sdf
 from posemill.streaming.deliveries import delivery_counts
@@ -194,10 +194,17 @@ def stream_delivery_counts(spark: SparkSession, folder: str) -> DataFrame:
     stream = spark.readStream.schema(source.schema).parquet(f"{folder}/scores_df.parquet" if len(source.inputFiles()) > 1 else f"{folder}/scores_df*.parquet")
     score = F.when(~F.isnan("r_i_docking_score"), F.col("r_i_docking_score"))
     rows = stream.where("protein is not null").select(F.col("loaded_at").cast("timestamp").alias("at"), F.upper(F.trim("protein")).alias("protein"), score.alias("score"))
-    name = f"deliveries_{uuid4().hex}"
-    q = delivery_counts(rows, "at", ["protein"], late="1000 days").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    out = f"{shared_root(spark)}/deliveries-{uuid4().hex}"
+    counts = delivery_counts(rows, "at", ["protein"], late="30 days")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(f"{out}/counts")
+
+    q = counts.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).withColumn("from", F.col("from").cast("timestamp_ntz"))
+    kept = spark.read.schema(counts.schema.add("batch", "long")).parquet(f"{out}/counts")
+    last = reduce.latest(kept, ["from", "protein"], ["batch"]).drop("batch")
+    return last.withColumn("from", F.col("from").cast("timestamp_ntz"))
 
 
 @query(f"WITH {POSES}, {LABELS} SELECT row_id, score - (SELECT avg(score) FROM poses WHERE frame = 1) < 0 AS better FROM poses")

@@ -160,12 +160,19 @@ def lowest_energies(parsed: DataFrame) -> DataFrame:
 
 
 def smiles(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """smiles, molname of .smi files; unnamed rows are called unk<i> by their place in the file order of names and structures."""
+    """smiles, molname of .smi files; unnamed rows are called unk<i>, counted through from 1 in the order of files and lines.
+
+    Rows are numbered by their place in a partition and the counts of the partitions before it, which come to the driver.
+    """
     f = _fields(spark, paths).select(F.col("f")[0].alias("smiles"), F.get("f", F.lit(1)).alias("molname"))
     named = f.where("molname is not null")
-    order = Window.orderBy("smiles")
-    unnamed = f.where("molname is null").withColumn("molname", F.concat(F.lit("unk"), F.row_number().over(order)))
-    return named.unionByName(unnamed)
+    unnamed = f.where("molname is null").select("smiles", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"))
+    before, offsets = 0, {-1: 0}
+    for r in sorted(unnamed.groupBy("_p").agg(F.count("*").alias("n")).collect()):
+        offsets[r["_p"]], before = before, before + r["n"]
+    start = F.try_element_at(F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]), "_p")
+    number = start + F.col("_i").bitwiseAND((1 << 33) - 1) + 1
+    return named.unionByName(unnamed.select("smiles", F.concat(F.lit("unk"), number.cast("string")).alias("molname")))
 
 
 def read_structures(spark: SparkSession, path: str) -> DataFrame:
@@ -180,6 +187,38 @@ def read_structures(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"unknown structure format {ending}")
 
 
+def collect_runs(spark: SparkSession, folder: str, pattern: str = "comb*") -> DataFrame:
+    """The rows of all <run>/<protein>_evaluation.csv[.gz] beside the parameters of <run>/hyper_parameters.list, with HYPER_PROTEIN.
+
+    A list has one header line and then ``name<tab>value`` lines; its names, few, become text columns. Runs without either file give no rows.
+    """
+    run = F.regexp_extract("file", "([^/]+)/[^/]+$", 1)
+    lists = spark.read.text(f"{folder}/{pattern}/hyper_parameters.list", wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\r?\n").alias("l"))
+    lines = lists.select(run.alias("_run"), F.explode(F.expr("slice(l, 2, size(l))")).alias("x")).select("_run", F.split("x", "\t").alias("x")).where("size(x) > 1")
+    params = lines.select("_run", F.col("x")[0].alias("param"), F.trim(F.col("x")[1]).alias("value")).groupBy("_run").pivot("param").agg(F.first("value"))
+    found = spark.read.option("header", True).option("inferSchema", True).csv(f"{folder}/{pattern}/*_evaluation.csv*").select("*", F.input_file_name().alias("file"))
+    protein = F.regexp_extract("file", "([^/_]+)_[^/]*$", 1)
+    return found.select("*", run.alias("_run"), protein.alias("HYPER_PROTEIN")).drop("file").join(params, "_run").drop("_run")
+
+
+def gather_csv(spark: SparkSession, paths: str | list[str], schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, failed): all rows of CSV files with a header but for files that have a null anywhere, which are listed (file)."""
+    rows = spark.read.schema(schema).option("header", True).csv(paths).select("*", F.input_file_name().alias("file"))
+    names = [c for c in rows.columns if c != "file"]
+    hole = reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in names])
+    failed = rows.where(hole).select("file").distinct()
+    return rows.join(failed, "file", "left_anti").select(*names), failed
+
+
+def missing_paths(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths at which there is nothing."""
+    def there(p: str) -> bool:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    return [p for p in paths if not there(p)]
+
+
 def missing_names(wanted: DataFrame, loaded: DataFrame, name: str) -> DataFrame:
     """Names that were asked for but not loaded."""
     return wanted.select(name).distinct().join(loaded.select(name).distinct(), name, "left_anti")
@@ -191,7 +230,7 @@ def read_decomposition(spark: SparkSession, paths: str | list[str], ligand: str
     Section headers are lines without commas that end in a colon; rows have 20 comma fields. Only the second partner may be
     the ligand. Fields that are no numbers are null.
     """
-    whole = spark.read.option("wholetext", True).text(paths).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("i", "line"))
+    whole = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("i", "line"))
     up = Window.partitionBy("file").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     head = F.when(F.col("line").rlike(r"^[^,]+:\s*$"), F.trim(F.regexp_replace("line", r":\s*$", "")))
     rows = whole.withColumn("section", F.last(head, ignorenulls=True).over(up)).withColumn("f", F.split("line", ","))
@@ -202,7 +241,7 @@ def read_decomposition(spark: SparkSession, paths: str | list[str], ligand: str
 
 def read_frame_decomposition(spark: SparkSession, paths: str | list[str], ligand: str = "LIG") -> DataFrame:
     """Per-frame decompositions: file, section, frame, residue, term, value of rows whose first residue is not the ligand."""
-    whole = spark.read.option("wholetext", True).text(paths).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("i", "line"))
+    whole = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("i", "line"))
     up = Window.partitionBy("file").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     head = F.when(F.col("line").rlike(r"^[^,]+:\s*$"), F.trim(F.regexp_replace("line", r":\s*$", "")))
     rows = whole.withColumn("section", F.last(head, ignorenulls=True).over(up)).withColumn("f", F.split("line", ","))
