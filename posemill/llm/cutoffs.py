@@ -28,7 +28,7 @@ def _probes(lo: Column, hi: Column, crossing: Column) -> Column:
 
 def keep_fraction_cutoffs(
     records: DataFrame, targets: DataFrame, by: list[str], score: str, share: str, whole: int = 1000,
-    many_sources: int = 50_000,
+    many_sources: int = 50_000, shrink_rows: int = 1_000_000,
 ) -> DataFrame:
     """Per source the smallest score at which ``whole`` x (records at or below it) >= share x (its records).
 
@@ -36,7 +36,8 @@ def keep_fraction_cutoffs(
     sources advance together: a pass evaluates loss and subgradient at a few thresholds per source from counts and
     sums (pre-aggregated map-side, so a source with a third of all rows costs no more than another), the supporting
     lines at the bracket's ends cross at the next threshold, and the bracket snaps to scores that occur. A source is
-    finished when its rank is an end of the bracket, which makes the cutoff exact.
+    finished when its rank is an end of the bracket, which makes the cutoff exact. Once fewer than half of more than ``shrink_rows``
+    rows lie in open brackets, only those are kept for the next passes.
 
     Defined cases: records with null/NaN score or a null key do not count; sources without a target, and targets
     without records or with a null share, give no row; a share of 0 keeps the smallest score, a share above ``whole``
@@ -68,13 +69,23 @@ def keep_fraction_cutoffs(
             F.col("_n").alias("_upto"), F.lit(0.0).alias("_sum_under"), F.col("_sum").alias("_sum_upto"),
             F.when(k == 1, F.col("_lo")).when(k == n, F.col("_hi")).alias("_cutoff"),
         )
-        .withColumn("_cutoff", F.coalesce("_cutoff", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")))),
-        1,
+        .withColumn("_cutoff", F.coalesce("_cutoff", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo"))))
     )
     sources, total, most = state.agg(F.count("*"), F.sum("_n"), F.max("_n")).first()
     # a few sources are broadcast whole by Spark; only beside very many do the hot ones need a way of their own
     hot = hot_limit(total) if sources > many_sources and most > hot_limit(total) else None
-    while state.where("_cutoff is null").limit(1).count():
+    seen, held = rows, total or 0  # the rows a pass looks at: all, later only those inside brackets that are open
+    inside = F.count_if(F.col("_cutoff").isNull()), F.sum(F.when(F.col("_cutoff").isNull(), F.col("_upto") - F.col("_under")))
+    while True:
+        unsettled, needed = state.agg(*inside).first()
+        if not unsettled:
+            break
+        if held > shrink_rows and needed < held / 2:
+            brackets = state.where("_cutoff is null").select(*by, "_n", "_lo", "_hi")
+            fewer = join_groups(seen, brackets, by, "_n", hot).where((x >= F.col("_lo")) & (x <= F.col("_hi"))).select(*by, "_x")
+            last, seen, held = seen, scratch.cut(fewer), needed
+            if last is not rows:
+                scratch.drop(last)
         lo = F.greatest(F.lit(-_BIG), F.least(F.lit(_BIG), F.col("_lo")))
         hi = F.greatest(F.lit(-_BIG), F.least(F.lit(_BIG), F.col("_hi")))
         tau = (k - 0.5) / n
@@ -87,7 +98,7 @@ def keep_fraction_cutoffs(
         open_ = state.where("_cutoff is null").withColumn("_crossing", F.try_divide(drop + slope_hi * hi - slope_lo * lo, slope_hi - slope_lo))
         open_ = open_.withColumn("_probes", _probes(lo, hi, F.col("_crossing")))
         bins = (
-            join_groups(rows, open_.select(*by, "_n", "_lo", "_hi", "_probes"), by, "_n", hot)
+            join_groups(seen, open_.select(*by, "_n", "_lo", "_hi", "_probes"), by, "_n", hot)
             .where((x >= F.col("_lo")) & (x <= F.col("_hi")))
             .select(*by, "_x", F.size(F.filter("_probes", lambda p: p < x)).alias("_bin"))
             .groupBy(*by, "_bin")
@@ -107,7 +118,7 @@ def keep_fraction_cutoffs(
             (F.col("_sum_under") + F.col("_cs")).alias("_sum_upto"),
             F.when((k == under + 1) | (F.col("_mn") == F.col("_mx")), F.col("_mn")).when(k == end, F.col("_mx")).alias("_cutoff"),
         )
-        last, state = state, scratch.cut(state.where("_cutoff is not null").unionByName(moved), 1)
+        last, state = state, scratch.cut(state.where("_cutoff is not null").unionByName(moved))
         scratch.drop(last)
     kept = join_groups(rows, state.select(*by, "_n", "_cutoff"), by, "_n", hot).where(x <= F.col("_cutoff")).groupBy(*by).agg(F.count("*").alias("n_kept"))
     return state.join(kept, by).select(

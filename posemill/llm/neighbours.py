@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -821,8 +822,9 @@ def neighbour_list(graph: NeighbourGraph, k: int, at_least: float = -1.0) -> Dat
 
 
 def copies_of(rows: DataFrame, record_id: str, group: str, vector: list[str]) -> DataFrame:
-    """(representative, member) for every row whose exact vector occurs again in its group."""
-    keyed = rows.where(F.col(record_id).isNotNull() & F.col(group).isNotNull()).select(
+    """(representative, member) for every row whose exact vector occurs again in its group; rows with a missing component have no copies."""
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in vector])
+    keyed = rows.where(F.col(record_id).isNotNull() & F.col(group).isNotNull() & whole).select(
         F.col(record_id).cast("long").alias("member"), F.xxhash64(group).alias("g"), F.xxhash64(*vector).alias("h1"), F.xxhash64(F.lit(1), *vector).alias("h2")
     )
     key = ["g", "h1", "h2"]

@@ -214,6 +214,9 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": f"""WITH v AS (SELECT feature_id, lower(trim(structvar)) AS s, CAST([{vector}] AS DOUBLE[40]) AS x FROM features_df WHERE NOT isnan({sums})),
  w AS (SELECT * FROM v WHERE array_inner_product(x, x) > 0)
  SELECT a.feature_id AS feature_id_a, b.feature_id AS feature_id_b FROM w a JOIN w b ON a.feature_id < b.feature_id AND a.s <> b.s WHERE array_cosine_similarity(a.x, b.x) >= 0.99""",
+        "p5_copies": f"""WITH v AS (SELECT feature_id, lower(trim(structvar)) AS s, {", ".join(f"CAST({v} AS DOUBLE) + 0.0 AS {v}" for v in VECTOR)} FROM features_df WHERE NOT isnan({sums})),
+ w AS (SELECT feature_id AS member, min(feature_id) OVER (PARTITION BY s, {", ".join(VECTOR)}) AS representative, count(*) OVER (PARTITION BY s, {", ".join(VECTOR)}) AS n FROM v)
+ SELECT representative, member FROM w WHERE n > 1""",
         "p6_found": f"""WITH {_CURRENT}, c AS (SELECT *, nullif(regexp_extract(structvar, '^(.+)_stereo[0-9]+_ion[0-9]+_tau[0-9]+$', 1), '') AS base FROM current WHERE score IS NOT NULL),
  l AS (SELECT 'structvar' AS group_level, structvar AS group_key, * FROM c UNION ALL SELECT 'basemolname', base, * FROM c WHERE base IS NOT NULL)
  SELECT group_level, group_key, structvar, pose, frame FROM (SELECT *, row_number() OVER (PARTITION BY group_level, group_key ORDER BY score, structvar, pose, frame) AS k FROM l) WHERE k <= {TOP}""",

@@ -111,7 +111,9 @@ def top_n_per_group(rows: DataFrame, by: list[str], score: str, ties: list[str],
             .select(*by, F.col("_bin").alias("_edge"), (F.col("_cc") == F.col("_want")).alias("_whole"),
                     (F.col("_want") - F.col("_cc") + F.col("_c")).alias("_rest"))
         )
-        cuts = scratch.cut(stats.join(edge, by, "left"))
+        cuts = stats.join(edge, by, "left")
+        if hot is not None:  # then it is read twice
+            cuts = scratch.cut(cuts)
         judged = with_cuts(cuts).withColumn("_bin", section()).where("_n <= _need or _bin <= _edge").withColumn(
             "_open", (F.col("_n") > F.col("_need")) & (F.col("_bin") == F.col("_edge")) & ~F.col("_whole")
         )

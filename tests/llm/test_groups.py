@@ -70,7 +70,7 @@ def test_cutoffs_against_sorting(spark):
 
     limit, C.hot_limit = C.hot_limit, lambda total: 100  # noqa: ARG005
     try:
-        split = keep_fraction_cutoffs(records, targets, ["g"], "s", "keep", many_sources=0)
+        split = keep_fraction_cutoffs(records, targets, ["g"], "s", "keep", many_sources=0, shrink_rows=10)
         assert sorted(map(tuple, split.collect())) == sorted(map(tuple, out.collect()))
     finally:
         C.hot_limit = limit
