@@ -57,7 +57,11 @@ def bond_type_counts(bonds: Column | str, types: tuple[str, ...] = BOND_TYPES) -
 def named_bond_counts(bonds: Column | str) -> dict[str, Column]:
     """A count for every name of BOND_NAMES, 0 for what MOL2 types never say; amide bonds are single."""
     b = F.col(bonds) if isinstance(bonds, str) else bonds
-    return {f"bondType_{n}": F.size(F.filter(b, lambda x, n=n: x["type"].isin(*_NAMED[n]))) if n in _NAMED else F.lit(0) for n in BOND_NAMES}
+
+    def count(kinds: tuple[str, ...]) -> Column:
+        return F.size(F.filter(b, lambda x: x["type"].isin(*kinds)))
+
+    return {f"bondType_{n}": count(_NAMED[n]) if n in _NAMED else F.lit(0) for n in BOND_NAMES}
 
 
 def ring_count(atoms: Column | str, bonds: Column | str) -> Column:
@@ -178,6 +182,12 @@ def _component_sizes(edges: list[tuple[int, int]]) -> list[int]:
     return sorted(sizes.values())
 
 
+def symmetric_rmsd(a: Column | str, b: Column | str, maps: Column | str) -> Column:
+    """The lowest rmsd over maps, arrays that give for every atom of a the position (from 0) of its partner in b; null without a map."""
+    y, m = (F.col(c) if isinstance(c, str) else c for c in (b, maps))
+    return F.array_min(F.transform(m, lambda one: rmsd(a, F.transform(one, lambda i: F.get(y, i)))))
+
+
 def rmsd(a: Column | str, b: Column | str) -> Column:
     """Root mean square distance of two arrays of atoms matched by position; null where their lengths differ or are 0."""
     x, y = (F.col(c) if isinstance(c, str) else c for c in (a, b))

@@ -62,6 +62,19 @@ def without_outliers(df: DataFrame, by: list[str], values: list[str], threshold:
     return df.where(~F.greatest(*masks, F.lit(False)) if len(masks) > 0 else F.lit(True)).select(*columns)
 
 
+def weighted_chunks(df: DataFrame, key: str, weights: list[float], into: str) -> DataFrame:
+    """df with a chunk number 0.. for every row, by the hash of its key, chunks having about their share of the weights."""
+    total, upto, number = sum(weights), 0.0, F.lit(len(weights) - 1)
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
+    cuts = []
+    for w in weights[:-1]:
+        upto += w / total
+        cuts.append(upto)
+    for i, c in reversed(list(enumerate(cuts))):
+        number = F.when(place < c, F.lit(i)).otherwise(number)
+    return df.withColumn(into, number)
+
+
 def outlier_report(df: DataFrame, by: list[str], value: str, threshold: float, shown: list[str], scored: Column | None = None, least: int = 0) -> DataFrame:
     """The shown columns of the outliers of a value and, unless ``scored`` is None, of the rows of groups with fewer than ``least``
     rows for which it holds. The report only: such groups are no outliers for without_outliers."""

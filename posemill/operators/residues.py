@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The six terms of an energy decomposition, in file order.
@@ -25,6 +25,42 @@ def residue_fingerprint(df: DataFrame, compound: str, residue: str, values: list
     return table.select(compound, F.flatten(parts).alias("fingerprint"))
 
 
+STATISTICS = ("mean", "stdev", "stderr", "skewness")
+
+
+def residue_statistics(df: DataFrame, compound: str, residue: str, term: str, value: str) -> DataFrame:
+    """compound, residue, term, n and the STATISTICS of the values over all frames; a single frame has no error, a constant no skewness."""
+    from posemill.operators.reduce import moments
+
+    return moments(df.where(F.col(residue).isNotNull()), [compound, residue, term], value)
+
+
+def statistics_fingerprint(
+    stats: DataFrame, compound: str, residue: str, term: str, terms: tuple[str, ...] = TERMS, statistics: tuple[str, ...] = ("mean", "stdev"), vocabulary: list | None = None,
+) -> DataFrame:
+    """compound, fingerprint of residue_statistics: per residue of the vocabulary the chosen statistics of the chosen terms, term by term.
+
+    Which terms and statistics are taken makes the variants: the mean of all six terms, mean and stdev of four or five of them
+    with or without skewness, mean and stderr, the total alone, or everything. What is missing is 0.
+    """
+    names = [(t, s, f"{t}_{s}") for t in terms for s in statistics]
+    wide = stats.groupBy(compound, residue).agg(*[F.coalesce(F.max(F.when(F.col(term) == t, F.col(s))), F.lit(0.0)).alias(n) for t, s, n in names])
+    return residue_fingerprint(wide, compound, residue, [n for _, _, n in names], vocabulary)
+
+
+def minmax_by_position(df: DataFrame, fingerprint: str, width: int) -> DataFrame:
+    """Fingerprints whose entries repeat with a period of ``width``, each place of the period scaled by its own minimum and maximum over
+    all fingerprints to 0..1; places of one value give 0."""
+    from posemill.operators.joins import beside
+
+    def of(j: int) -> Column:
+        return F.filter(fingerprint, lambda x, i: i % width == j)  # noqa: ARG005
+
+    lows = df.agg(F.array(*[F.min(F.array_min(of(j))) for j in range(width)]).alias("_lo"), F.array(*[F.max(F.array_max(of(j))) for j in range(width)]).alias("_hi"))
+    part = lambda x, i: F.try_divide(x - F.get("_lo", i % width), F.get("_hi", i % width) - F.get("_lo", i % width))
+    return beside(df, lows).withColumn(fingerprint, F.transform(fingerprint, lambda x, i: F.coalesce(part(x, i), F.lit(0.0)))).drop("_lo", "_hi")
+
+
 def joint_minmax(df: DataFrame, fingerprint: str) -> DataFrame:
     """All fingerprints scaled by their joint minimum and maximum, then moved so that an original 0 stays 0."""
     from posemill.operators.joins import beside

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from posemill.functions import chemistry, units
 from posemill.operators import joins, metrics, ranking, residues, scaling, vectors
+from posemill.functions.names import structvar_of
 from posemill.operators.ranking import first_in_group
+from posemill.plans.parsing import _MOL2
 from posemill.plans.registry import query, rounded
 from posemill.plans.views import ENTROPIES, FEATURES, LABELS, POSES, RUNS, entropies, features, labels, poses, runs
 from posemill.runtime import table
@@ -306,6 +308,22 @@ def residue_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fp.select("structvar", F.concat_ws(",", F.transform("fingerprint", lambda x: F.round(x * 1e8).cast("long").cast("string"))).alias("fingerprint"))
 
 
+@query(f"""WITH {POSES}, t AS (SELECT basemolname, frame, 'vdw' AS term, Eint AS v FROM poses UNION ALL SELECT basemolname, frame, 'total', proteinE_bound FROM poses),
+ s AS (SELECT basemolname, frame, coalesce(avg(v) FILTER (term = 'vdw'), 0) AS a, coalesce(stddev_pop(v) FILTER (term = 'vdw'), 0) AS b, coalesce(avg(v) FILTER (term = 'total'), 0) AS c,
+ coalesce(stddev_pop(v) FILTER (term = 'total'), 0) AS d FROM t GROUP BY 1, 2),
+ r AS (SELECT m.basemolname, f.frame, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(c, 0) AS c, coalesce(d, 0) AS d FROM (SELECT DISTINCT basemolname FROM poses) m CROSS JOIN (SELECT DISTINCT frame FROM poses) f
+ LEFT JOIN s ON s.basemolname IS NOT DISTINCT FROM m.basemolname AND s.frame = f.frame), x AS (SELECT min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1, min(c) AS c0, max(c) AS c1, min(d) AS d0, max(d) AS d1 FROM r)
+ SELECT basemolname, {", ".join(f"round(sum(({k} - {k}0) / ({k}1 - {k}0)), 5) AS sum_{k}" for k in "abcd")}, count(*)::INTEGER * 4 AS width FROM r, x GROUP BY 1""")
+def residue_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean and deviation of two terms per frame as fingerprints, each statistic scaled on its own, and their sums."""
+    rows = poses(spark, folder).select("basemolname", "frame", F.explode(F.array(F.struct(F.lit("vdw").alias("term"), F.col("Eint").alias("v")), F.struct(F.lit("total").alias("term"), F.col("proteinE_bound").alias("v")))).alias("t"))
+    stats = residues.residue_statistics(rows.select("basemolname", "frame", "t.*"), "basemolname", "frame", "term", "v")
+    fp = residues.statistics_fingerprint(stats, "basemolname", "frame", "term", ("vdw", "total"))
+    scaled = residues.minmax_by_position(fp, "fingerprint", 4)
+    total = lambda j: F.aggregate(F.filter("fingerprint", lambda x, i: i % 4 == j), F.lit(0.0), lambda s, x: s + x)  # noqa: E731, ARG005
+    return scaled.select("basemolname", *[F.round(total(j), 5).alias(f"sum_{k}") for j, k in enumerate("abcd")], F.size("fingerprint").alias("width"))
+
+
 # ---- metrics ----------------------------------------------------------------------------------------------------------
 
 _BLOCKS = f"""WITH {FEATURES}, r AS (SELECT protein, nofusion_Eint AS s, is_active FROM features WHERE nofusion_Eint IS NOT NULL AND is_active IS NOT NULL),
@@ -375,10 +393,10 @@ def mol2_lowest_energy(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def atom_descriptors(spark: SparkSession, folder: str) -> DataFrame:
     good = _structures(spark, folder).where("reason is null")
-    counts = [c.alias(n) for n, c in chemistry.bond_type_counts("bonds").items()]
+    counts = [c.alias(n) for n, c in (chemistry.bond_type_counts("bonds") | chemistry.named_bond_counts("bonds")).items()]
     return good.select(
         F.col("id").alias("record_id"), F.size("atoms").alias("n_atoms"), chemistry.heavy_atoms("atoms").alias("n_heavy"), chemistry.heteroatoms("atoms").alias("n_hetero"),
-        F.round(chemistry.molecular_weight("atoms"), 3).alias("mw"), *counts,
+        F.round(chemistry.molecular_weight("atoms"), 3).alias("mw"), chemistry.ring_count("atoms", "bonds").alias("n_rings"), *counts,
     )
 
 
@@ -396,6 +414,16 @@ def rotor_groups(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("id").alias("record_id"), F.concat_ws(",", F.transform("histogram", lambda x: x.cast("string"))).alias("histogram"))
 
 
+@query(f"""WITH {_MOL2}, s AS (SELECT record_id, regexp_replace(lower(name), '_pose[0-9]+', '') AS structvar, list_transform(atoms, lambda x: [CAST(string_split(x, ' ')[3] AS DOUBLE), CAST(string_split(x, ' ')[4] AS DOUBLE), CAST(string_split(x, ' ')[5] AS DOUBLE)]) AS p
+ FROM mol2 WHERE reason IS NULL), f AS (SELECT structvar, min_by(p, record_id) AS q FROM s GROUP BY 1)
+ SELECT record_id, CASE WHEN len(p) = len(q) AND len(p) > 0 THEN round(sqrt(list_sum(list_transform(range(1, len(p) + 1), lambda i: pow(p[i][1] - q[i][1], 2) + pow(p[i][2] - q[i][2], 2) + pow(p[i][3] - q[i][3], 2))) / len(p)), 5) END AS rmsd FROM s JOIN f USING (structvar)""")
+def pose_rmsd(spark: SparkSession, folder: str) -> DataFrame:
+    """Distance of every structure from the first one of its variant, in place."""
+    good = _structures(spark, folder).where("reason is null").select("id", structvar_of("molname").alias("structvar"), "atoms")
+    first = good.groupBy("structvar").agg(F.min_by("atoms", "id").alias("reference"))
+    return good.join(first, "structvar").select(F.col("id").alias("record_id"), F.round(chemistry.rmsd("atoms", "reference"), 5).alias("rmsd"))
+
+
 # ---- the pipeline -----------------------------------------------------------------------------------------------------
 
 

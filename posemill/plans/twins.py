@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from posemill.functions.chemistry import BOND_TYPES, WEIGHTS
+from posemill.functions.chemistry import _NAMED, BOND_NAMES, BOND_TYPES, WEIGHTS
 from posemill.plans.parsing import _MOL2, _PLEC
 from posemill.plans.readers import _LOWEST
 from posemill.plans.registry import SQL
@@ -39,7 +39,9 @@ SQL.update(
         "mol2_lowest_energy": _LOWEST,
         "atom_descriptors": f"""WITH {_MOL2} SELECT record_id, CAST(len(atoms) AS INTEGER) AS n_atoms, CAST(len(list_filter(atoms, lambda x: {_ELEMENT} <> 'H')) AS INTEGER) AS n_heavy,
  CAST(len(list_filter(atoms, lambda x: {_ELEMENT} NOT IN ('H', 'C'))) AS INTEGER) AS n_hetero, round(coalesce(list_sum(list_transform(atoms, lambda x: CAST({_WEIGHT} AS DOUBLE))), 0), 3) AS mw,
- {", ".join(f"CAST(len(list_filter(bonds, lambda x: string_split(x, ' ')[4] = '{t}')) AS INTEGER) AS bondType_{t}" for t in BOND_TYPES)} FROM mol2 WHERE reason IS NULL""",
+ {", ".join(f"CAST(len(list_filter(bonds, lambda x: string_split(x, ' ')[4] = '{t}')) AS INTEGER) AS bondType_{t}" for t in BOND_TYPES)},
+ {", ".join(f"CAST(len(list_filter(bonds, lambda x: string_split(x, ' ')[4] IN ({', '.join(repr(t) for t in _NAMED.get(n, ('none',)))}))) AS INTEGER) AS bondType_{n}" for n in BOND_NAMES)},
+ CAST(greatest(0, len(bonds) - len(atoms) + 1) AS INTEGER) AS n_rings FROM mol2 WHERE reason IS NULL""",
         "fingerprint_features": f"""WITH {FEATURES}, {_PLEC} SELECT feature_id, line_id, complex_name, CAST(list_sum(list_transform(c, lambda v: CAST(v AS INTEGER))) AS BIGINT) AS contacts,
  CAST(len(list_filter(c, lambda v: CAST(v AS INTEGER) > 0)) AS INTEGER) AS n_bits FROM features JOIN plec ON complex_name = structvar || '_pose' || pose || '_frm' || frame WHERE reason IS NULL""",
     }

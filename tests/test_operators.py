@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from posemill.operators import filters, joins, quantiles, ranking, reduce, scaling, vectors
+from posemill.functions import chemistry
+from posemill.operators import filters, joins, quantiles, ranking, reduce, residues, scaling, vectors
 
 NAN = float("nan")
 
@@ -169,3 +170,15 @@ def test_metric_set_follows_the_data(spark):
     bits = spark.createDataFrame([([1.0, 0.0],), ([0.0, None],)], "v array<double>")
     assert vectors.metrics_for(bits, "v") == vectors.BOOLEAN
     assert vectors.metrics_for(bits.union(spark.createDataFrame([([0.5, 1.0],)], "v array<double>")), "v") == vectors.SCALAR
+
+
+def test_chunks_maps_and_positions(spark):
+    df = spark.range(4000).withColumn("k", F.col("id").cast("string"))
+    sizes = {r["c"]: r["count"] for r in filters.weighted_chunks(df, "k", [1, 2, 1], "c").groupBy("c").count().collect()}
+    assert abs(sizes[0] - 1000) < 120 and abs(sizes[1] - 2000) < 150 and sum(sizes.values()) == 4000
+    atom = "array<struct<x: double, y: double, z: double>>"
+    two = spark.createDataFrame([([(0.0, 0.0, 0.0), (1.0, 0.0, 0.0)], [(1.0, 0.0, 0.0), (0.0, 0.0, 2.0)], [[0, 1], [1, 0]])], f"a {atom}, b {atom}, m array<array<int>>")
+    row = two.select(chemistry.rmsd("a", "b").alias("p"), chemistry.symmetric_rmsd("a", "b", "m").alias("q")).first()
+    assert row["p"] == pytest.approx((6 / 2) ** 0.5) and row["q"] == pytest.approx((4 / 2) ** 0.5)
+    fp = spark.createDataFrame([([0.0, 5.0, 4.0, 5.0],), ([2.0, 5.0, 1.0, 5.0],)], "f array<double>")
+    assert [list(r["f"]) for r in residues.minmax_by_position(fp, "f", 2).collect()] == [[0.0, 0.0, 1.0, 0.0], [0.5, 0.0, 0.25, 0.0]]
