@@ -254,9 +254,10 @@ def _forest(x: np.ndarray, groups: np.ndarray, k: int, trees: int, leaf: int, se
     """k nearest of other groups among the rows that share a leaf with it, over several random projection trees."""
     n = len(x)
     groups = np.unique(groups, return_inverse=True)[1]
-    best, sims = np.full((n, k), -1, np.int32), np.full((n, k), _NONE, np.float32)
+    count = trees if n > leaf else 1
+    best, sims = np.full((n, count * k), -1, np.int32), np.full((n, count * k), _NONE, np.float32)
     rng = np.random.default_rng(seed)
-    for _ in range(trees if n > leaf else 1):
+    for tree in range(count):
         whole = False
         for idx in _leaves(x, groups, np.arange(n), leaf, max(k, leaf // 16), rng):
             whole = len(idx) == n
@@ -272,14 +273,32 @@ def _forest(x: np.ndarray, groups: np.ndarray, k: int, trees: int, leaf: int, se
                 for lo in range(0, len(rows), step):
                     at = rows[lo : lo + step]
                     s = x[at] @ x[seen].T
-                    s[groups[at][:, None] == groups[seen][None, :]] = _NONE
-                    top = np.argpartition(-s, m - 1, 1)[:, :m]
-                    s = np.take_along_axis(s, top, 1)
-                    near = np.where(s > _NONE, seen[top], -1).astype(np.int32)
-                    best[at], sims[at] = _best_of(np.concatenate([best[at], near], 1), np.concatenate([sims[at], s], 1), k)
+                    if own is None:
+                        _mask_groups(s, groups[at], groups[seen])
+                    np.negative(s, out=s)
+                    top = np.argpartition(s, m - 1, 1)[:, :m]
+                    s = -np.take_along_axis(s, top, 1)
+                    best[at, tree * k : tree * k + m] = np.where(s > _NONE, seen[top], -1)
+                    sims[at, tree * k : tree * k + m] = s
         if whole:
             break  # every other tree would give the same
-    return best, sims
+    step = 1 << 14
+    for lo in range(0, n, step):
+        best[lo : lo + step, :k], sims[lo : lo + step, :k] = _best_of(best[lo : lo + step], sims[lo : lo + step], k)
+    return best[:, :k], sims[:, :k]
+
+
+def _mask_groups(s: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> None:
+    """Takes the similarities of rows and columns of one group out, group by group where few are repeated."""
+    order = np.argsort(columns, kind="stable")
+    sorted_ = columns[order]
+    low, high = np.searchsorted(sorted_, rows), np.searchsorted(sorted_, rows, side="right")
+    if int((high - low).sum()) > s.size // 8:
+        s[rows[:, None] == columns[None, :]] = _NONE
+        return
+    many = high - low
+    at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    s[np.repeat(np.arange(len(rows)), many), order[at]] = _NONE
 
 
 def _edges(near: np.ndarray, sims: np.ndarray, ids: np.ndarray, home: np.ndarray) -> np.ndarray:
