@@ -748,7 +748,7 @@ def _source(rows: DataFrame, record_id: str, group: str, vector: list[str]) -> D
 
 def neighbour_graph(
     rows: DataFrame, record_id: str, group: str, vector: list[str], k: int = 14, block_rows: int = 16_000, sample: int = 20_000,
-    trees: int = 4, leaf: int = 512, members: int = 32, rounds: int = 6, settled: float = 0.02, seed: int = 7,
+    trees: int = 4, leaf: int = 512, members: int = 40, rounds: int = 6, settled: float = 0.02, seed: int = 7,
     mixing: int = 6, least_blocks: int = 16,
 ) -> NeighbourGraph:
     """k nearest neighbours by cosine, of another group, of every distinct vector.
@@ -907,13 +907,13 @@ def greedy_search(
 
     Best-first search on the graph, all queries at once: each keeps a beam of the best vectors seen, and a round joins the neighbours
     of its best unexpanded members with their vectors. Searches start at the best of the entry points, a fixed
-    sample of one in 64 indexed vectors (64 to ``starts`` of them, a few hundred kilobytes); they end when no beam has an unexpanded member, or after ``rounds``.
+    sample of one in 16 indexed vectors (256 to ``starts`` of them, a few hundred kilobytes); they end when no beam has an unexpanded member, or after ``rounds``.
 
     Defined cases: queries with a null id or group, a missing component or a zero vector get no rows; an empty index or query set
     gives none; ids must not be negative. Other columns are ignored.
     """
     scratch = Scratch(queries.sparkSession, "search")
-    starts = max(64, min(starts, graph.vectors.count() // 64))
+    starts = max(256, min(starts, graph.vectors.count() // 16))
     entry = graph.vectors.select("id", "grp", "vec").orderBy(F.xxhash64("id"), "id").limit(starts).toArrow()
     schema = "bucket int, query long, grp long, vec binary, beam binary"
     source = _source(queries, record_id, group, vector)
