@@ -266,7 +266,7 @@ def _leaks(index: ItemIndex, plain: list[bytes], most_hits: int | None) -> list[
 
 def _scan(held) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:  # noqa: ANN001
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = held.value
+        index = ItemIndex(**held.value)
         for b in batches:
             texts, ids, lo = b["text"].tolist(), b["id"].tolist(), 0
             while lo < len(texts):
@@ -305,7 +305,7 @@ def leaked_items(
     size = 0
 
     def scan() -> DataFrame:
-        return docs.mapInPandas(_scan(spark.sparkContext.broadcast(build_index(block, words, edits))), schema)
+        return docs.mapInPandas(_scan(spark.sparkContext.broadcast(vars(build_index(block, words, edits)))), schema)  # plain arrays, which need no package on the worker
 
     for row in ids.toLocalIterator():
         if block and size + len(row["text"] or "") > block_chars:
