@@ -791,6 +791,12 @@ def neighbour_graph(
         depth += 1
     while n > block_rows * 2 ** (depth + extra + 1) and len(drawn):
         extra += 1
+    parts = n // (2 * block_rows)
+
+    def dealt(rows: DataFrame, key: str) -> DataFrame:
+        """Rows in as many partitions as hold about two blocks each, where that is more than a shuffle has anyway."""
+        return rows.repartition(parts, key) if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows
+
     rng = np.random.default_rng(seed)
     first = _fit_tree(drawn, depth, rng)
     second = _fit_tree(drawn[distinct], depth, rng, kinds[distinct])
@@ -810,19 +816,19 @@ def neighbour_graph(
             tree = second if not i else _fit_tree(drawn[distinct], depth, rng, kinds[distinct])
             mixed = _mix(drawn[distinct], kinds[distinct], first, tree, n / max(len(drawn), 1), block_rows, i > 0)
             blocks = _cells(drawn[distinct], tree, extra, rng)
-            here = located.mapInArrow(_router(blocks, mixed), f"block int, {_LOCATED}").groupBy("block").applyInArrow(_block_forest(k, trees, leaf), _FOUND)
+            here = dealt(located.mapInArrow(_router(blocks, mixed), f"block int, {_LOCATED}"), "block").groupBy("block").applyInArrow(_block_forest(k, trees, leaf), _FOUND)
             found = here if found is None else found.unionByName(here)
             if not len(mixed.hot):
                 break
     else:
         found = spark.createDataFrame([], _FOUND)
-    start = located.groupBy("home").cogroup(found.groupBy("home"))
+    start = dealt(located, "home").groupBy("home").cogroup(dealt(found, "home").groupBy("home"))
     graph = scratch.cut(start.applyInArrow(_home_forest(k, trees if depth else 2 * trees, leaf), _GRAPH))
     scratch.drop(located)
     for _ in range(rounds):
-        candidates = graph.drop("fresh").mapInArrow(_spread_to(members), _SPREAD).groupBy("block").applyInArrow(_local_join(k, members), _FOUND)
+        candidates = dealt(graph.drop("fresh").mapInArrow(_spread_to(members), _SPREAD), "block").groupBy("block").applyInArrow(_local_join(k, members), _FOUND)
         candidates = scratch.cut(candidates)  # before the graph is shuffled, so that the files of the two shuffles never lie side by side
-        last, graph = graph, scratch.cut(graph.groupBy("home").cogroup(candidates.groupBy("home")).applyInArrow(_take_in(k), _GRAPH))
+        last, graph = graph, scratch.cut(dealt(graph, "home").groupBy("home").cogroup(dealt(candidates, "home").groupBy("home")).applyInArrow(_take_in(k), _GRAPH))
         scratch.drop(last, candidates)
         moved, total = graph.agg(F.sum("fresh"), F.count("*")).first()
         if not total or moved < settled * k * total:
