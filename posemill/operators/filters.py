@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from posemill.operators.joins import beside, null_safe_join
 from posemill.operators.quantiles import group_quantiles
+from posemill.runtime import Scratch
 
 
 def top_window(df: DataFrame, by: list[str], score: str, window: float, most: int | None) -> DataFrame:
@@ -53,8 +54,9 @@ def mad_mask(df: DataFrame, by: list[str], value: str, threshold: float, into: s
 
 
 def without_outliers(df: DataFrame, by: list[str], values: list[str], threshold: float, logarithm: bool = False) -> DataFrame:
-    """Rows that are no outlier in any of the value columns, each judged on all rows."""
+    """Rows that are no outlier in any of the value columns, each judged on all rows. The rows are written once, being read several times."""
     columns = df.columns
+    df = Scratch(df.sparkSession, "outliers").cut(df)
     masks = []
     for i, v in enumerate(values):
         df = mad_mask(df, by, v, threshold, f"_out{i}", logarithm)
@@ -78,6 +80,7 @@ def weighted_chunks(df: DataFrame, key: str, weights: list[float], into: str) ->
 def outlier_report(df: DataFrame, by: list[str], value: str, threshold: float, shown: list[str], scored: Column | None = None, least: int = 0) -> DataFrame:
     """The shown columns of the outliers of a value and, unless ``scored`` is None, of the rows of groups with fewer than ``least``
     rows for which it holds. The report only: such groups are no outliers for without_outliers."""
+    df = Scratch(df.sparkSession, "outliers").cut(df)
     marked = mad_mask(df, by, value, threshold, "_out")
     if scored is not None:
         few = df.groupBy(*by).agg(F.count_if(scored).alias("_scored"))
