@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import log2
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,18 +45,27 @@ def standardize_composed(df: DataFrame, columns: list[str], protein: str) -> Dat
     return (standardize(whole, special, [protein]) if special else whole).dropna("any", subset=columns)
 
 
-def auto_edges(df: DataFrame, column: str) -> list[float]:
-    """Equal bins by the smaller width of Sturges' and Freedman-Diaconis' rules; one row of statistics comes back."""
+def auto_bins(df: DataFrame, column: str) -> tuple[float, float, int] | None:
+    """Lowest and highest edge and number of equal bins, by the smaller width of Sturges' and Freedman-Diaconis' rules; one row of statistics
+    comes back. None without values."""
     c = _clean(column)
     quarters = group_quantiles(df, [], c, {"q1": 0.25, "q3": 0.75}).select((F.col("q3") - F.col("q1")).alias("iqr"))
     r = beside(df.agg(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")), quarters).first()
     if not r["n"]:
-        return []
+        return None
     if r["lo"] == r["hi"]:
-        return [r["lo"] - 0.5, r["hi"] + 0.5]
+        return r["lo"] - 0.5, r["hi"] + 0.5, 1
     width = min(x for x in ((r["hi"] - r["lo"]) / (log2(r["n"]) + 1), 2 * r["iqr"] / r["n"] ** (1 / 3)) if x > 0)
-    bins = max(1, int(-(-(r["hi"] - r["lo"]) // width)))
-    return [r["lo"] + (r["hi"] - r["lo"]) * i / bins for i in range(bins + 1)]
+    return r["lo"], r["hi"], max(1, ceil((r["hi"] - r["lo"]) / width))
+
+
+def auto_edges(df: DataFrame, column: str) -> list[float]:
+    """The edges of auto_bins as a list. A few far values make as many of them as there are rows, so rows are better put in bins by discretize_auto."""
+    found = auto_bins(df, column)
+    if not found:
+        return []
+    low, high, bins = found
+    return [low + (high - low) * i / bins for i in range(bins + 1)]
 
 
 def fixed_edges(low: float, high: float, width: float, centred: bool = False) -> list[float]:
@@ -72,6 +81,24 @@ def discretize(df: DataFrame, column: str, edges: list[float], into: str) -> Dat
     return df.withColumn(into, F.when(c.isNotNull(), bin_))
 
 
+def discretize_equal(df: DataFrame, column: str, low: float, high: float, bins: int, into: str) -> DataFrame:
+    """discretize for the edges low + (high - low) i / bins, i = 0 to bins, which are never listed.
+
+    They grow with i as rounded, too, so each row halves its way to the last edge at or below the value; steps grow with the logarithm of bins.
+    """
+    c = _clean(column)
+    steps = F.array(*[F.lit(1 << i).cast("long") for i in reversed(range((bins + 1).bit_length()))])
+    edge = lambda i: F.lit(float(low)) + F.lit(float(high) - float(low)) * i / F.lit(float(bins))
+    further = lambda n, step: F.when((n + step <= bins + 1) & (edge((n + step - 1).cast("double")) <= c), n + step).otherwise(n)
+    return df.withColumn(into, F.when(c.isNotNull(), F.aggregate(steps, F.lit(0).cast("long"), further).cast("int")))
+
+
+def discretize_auto(df: DataFrame, column: str, into: str) -> DataFrame:
+    """discretize for the edges of auto_bins, however many they are."""
+    found = auto_bins(df, column)
+    return discretize_equal(df, column, *found, into) if found else discretize(df, column, [], into)
+
+
 def fuse(columns: list[str], how: str) -> Column:
     """Row-wise fusion of scores: min, sum (the "mean rank"), geo, harm; missing values are skipped, null if all are.
 

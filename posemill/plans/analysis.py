@@ -173,8 +173,7 @@ def discretize_fixed(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def discretize_auto(spark: SparkSession, folder: str) -> DataFrame:
-    rows = features(spark, folder)
-    return scaling.discretize(rows, "nofusion_Eint", scaling.auto_edges(rows, "nofusion_Eint"), "bin").select("feature_id", "bin")
+    return scaling.discretize_auto(features(spark, folder), "nofusion_Eint", "bin").select("feature_id", "bin")
 
 
 @query(f"""WITH {FEATURES} SELECT feature_id, least(nofusion_Eint, MW, AMW) AS fused_min,

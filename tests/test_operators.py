@@ -1,4 +1,6 @@
+import bisect
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,6 +129,28 @@ def test_discretize(spark):
     assert scaling.fixed_edges(0.0, 1.0, 0.5, centred=True) == [-0.25, 0.25, 0.75, 1.25]
 
 
+def test_discretize_auto_with_far_values(spark):
+    values = [0.0, -0.0, 0.125, 1e6, None, NAN, *[i / 7 for i in range(500)]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "id int, x double")
+    edges = scaling.auto_edges(df, "x")
+    assert len(edges) > 50_000  # listed for every row, these would take minutes
+    began = time.monotonic()
+    out = scaling.discretize_auto(df, "x", "b")
+    assert dict(out.dtypes)["b"] == "int"
+    got = {r["id"]: r["b"] for r in out.collect()}
+    assert time.monotonic() - began < 60
+    assert got == {i: None if x is None or x != x else bisect.bisect_right(edges, x) for i, x in enumerate(values)}
+    for few in ([1.5], [1.5, 1.5, None], [0.1 * i for i in range(100)], [2.0**52 + i for i in range(5)]):
+        small = spark.createDataFrame([(x,) for x in few], "x double")
+        own = scaling.auto_edges(small, "x")
+        pairs = [(r["x"], r["b"]) for r in scaling.discretize_auto(small, "x", "b").collect()]
+        assert all(b == (None if x is None else bisect.bisect_right(own, x)) for x, b in pairs) and len(pairs) == len(few)
+    assert scaling.discretize_auto(df.limit(0), "x", "b").count() == 0
+    close = scaling.discretize_equal(spark.createDataFrame([(1.0,), (1 + 2**-52,), (2.0,), (0.0,)], "x double"), "x", 1.0, 1 + 2**-52, 10, "b")
+    same = [1.0 + 2**-52 * i / 10 for i in range(11)]
+    assert [r["b"] for r in close.collect()] == [bisect.bisect_right(same, x) for x in (1.0, 1 + 2**-52, 2.0, 0.0)]
+
+
 def test_fusion_skips_missing(spark):
     df = spark.createDataFrame([(2.0, 8.0), (None, 4.0), (NAN, None)], "a double, b double")
     out = df.select(*[scaling.fuse(["a", "b"], h).alias(h) for h in ("min", "sum", "geo", "harm")]).collect()
