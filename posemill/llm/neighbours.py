@@ -181,6 +181,33 @@ def _router(cells: _Cells, mixed: _Mixed) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
+def _top(s: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and values of the m largest of every row, in any order. A column's number rides in the bits that a single leaves free in a
+    double: numbers are partitioned several times faster than positions."""
+    free = np.int64((1 << 29) - 1)
+    wide = s.astype(np.float64)
+    np.negative(wide, out=wide)
+    bits = wide.view(np.int64)
+    bits |= np.arange(s.shape[1])
+    wide.partition(m - 1, axis=1)
+    bits = bits[:, :m]
+    return bits & free, -(bits & ~free).view(np.float64).astype(np.float32)
+
+
+def _falling(half: np.ndarray) -> np.ndarray:
+    """Numbers of 16 bits that fall as the half precision values rise; the same again gives their bits back."""
+    bits = half.view(np.uint16)
+    return (bits ^ np.where(bits >> 15, 0, 0x7FFF).astype(np.uint16)).astype(np.uint64)
+
+
+def _turns(x: np.ndarray) -> np.ndarray:
+    """The how-manieth of its run every element of a sorted array is, from 0."""
+    at = np.arange(len(x))
+    begin = np.zeros(len(x), np.int64)
+    begin[1:] = np.where(x[1:] != x[:-1], at[1:], 0)
+    return at - np.maximum.accumulate(begin)
+
+
 def _merge(ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
     """Positions (rows x k) of the k most similar distinct ids of every row; empty slots have sim -2."""
     order = np.argsort(ids, 1, kind="stable")
@@ -275,9 +302,7 @@ def _forest(x: np.ndarray, groups: np.ndarray, k: int, trees: int, leaf: int, se
                     s = x[at] @ x[seen].T
                     if own is None:
                         _mask_groups(s, groups[at], groups[seen])
-                    np.negative(s, out=s)
-                    top = np.argpartition(s, m - 1, 1)[:, :m]
-                    s = -np.take_along_axis(s, top, 1)
+                    top, s = _top(s, m)
                     best[at, tree * k : tree * k + m] = np.where(s > _NONE, seen[top], -1)
                     sims[at, tree * k : tree * k + m] = s
         if whole:
@@ -327,7 +352,7 @@ def _with_incoming(ids: np.ndarray, own: np.ndarray, incoming_ids: np.ndarray, i
     at = order[np.searchsorted(ids, incoming_ids, sorter=order)] if len(incoming_ids) else np.zeros(0, np.int64)
     by = np.argsort(at, kind="stable")
     at, incoming = at[by], incoming[by]
-    turn = np.arange(len(at)) - np.searchsorted(at, at)
+    turn = _turns(at)
     out = own.copy()
     if not first:
         out["new"] = np.maximum(out["new"] - 1, 0)
@@ -339,9 +364,9 @@ def _with_incoming(ids: np.ndarray, own: np.ndarray, incoming_ids: np.ndarray, i
         merged[pos < 0] = (-1, -1, _NONE, 0)
         out[rows] = merged
     fresh = np.zeros(len(ids), np.int32)
-    touched = np.unique(at)
+    touched = at[turn == 0]
     if len(touched):
-        same = (out[touched]["id"][:, :, None] == own[touched]["id"][:, None, :]).any(2)
+        same = (out["id"][touched][:, :, None] == own["id"][touched][:, None, :]).any(2)
         fresh[touched] = (~same).sum(1)
     return out, fresh
 
@@ -426,26 +451,30 @@ def _local_join(k: int, members: int) -> Callable[[pa.Table], pa.Table]:
         ids, groups, home = _longs(t["id"]), _longs(t["grp"]), _longs(t["home"])
         x, weakest = _unpacked(t["vec"], np.float16).astype(np.float32), _longs(t["weakest"])
         near, sims, news = _unpacked(t["ids"], np.int64), _unpacked(t["sims"], np.float16), _unpacked(t["news"], np.int8)
+        # what is sorted below is packed into numbers of 64 bits, as these are sorted many times faster than positions: rows of a block
+        # (memory ends long before they have more than 23 bits), the cosine and how new an edge is
+        n, bit = len(ids), np.uint64(1)
         order = np.argsort(ids)
-        spot = np.searchsorted(ids, near.ravel(), sorter=order)
-        spot = order[np.minimum(spot, len(ids) - 1)]
-        known = (ids[spot] == near.ravel()) & (near.ravel() >= 0)
-        src = np.repeat(np.arange(len(ids)), near.shape[1])[known]
-        dst, sim, recent = spot[known], sims.ravel()[known], news.ravel()[known]
-        pairs = np.unique(src * len(ids) + dst)
-        pivot, other, s, recent = np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([sim, sim]), np.concatenate([recent, recent])
-        active = np.zeros(len(ids), bool)
-        active[pivot[recent == 2]] = True
-        mine = (home[pivot] == block) & active[pivot]
-        pivot, other, s, recent = pivot[mine], other[mine], s[mine], recent[mine]
-        by = np.lexsort((-recent, other, pivot))
-        pivot, other, s, recent = pivot[by], other[by], s[by], recent[by]
-        new = np.ones(len(pivot), bool)
-        new[1:] = (pivot[1:] != pivot[:-1]) | (other[1:] != other[:-1])
-        pivot, other, s, recent = pivot[new], other[new], s[new], recent[new]
-        by = np.lexsort((-s, pivot))
-        pivot, other, recent = pivot[by], other[by], recent[by] == 2
-        turn = np.arange(len(pivot)) - np.searchsorted(pivot, pivot)
+        listed = np.flatnonzero(near.ravel() >= 0)
+        spot = order[np.minimum(np.searchsorted(ids, near.ravel()[listed], sorter=order), n - 1)]
+        known = ids[spot] == near.ravel()[listed]
+        listed, dst = listed[known], spot[known]
+        src = listed // near.shape[1]
+        sim, recent = sims.ravel()[listed], news.ravel()[listed]
+        pairs = np.sort(src * n + dst)
+        active = np.zeros(n, bool)
+        active[src[recent == 2]] = active[dst[recent == 2]] = True
+        mine = (home == block) & active
+        low = ((2 - recent).astype(np.uint64) << np.uint64(16)) | _falling(sim)
+        both = np.concatenate([((p[ok] * n + o[ok]).astype(np.uint64) << np.uint64(18)) | low[ok] for p, o in ((src, dst), (dst, src)) for ok in [mine[p]]])
+        both.sort()
+        both = both[np.append(True, np.diff(both >> np.uint64(18)) != 0)] if len(both) else both
+        pivot, other = np.divmod((both >> np.uint64(18)).astype(np.int64), n)
+        both = ((pivot.astype(np.uint64) << np.uint64(16) | both & np.uint64(0xFFFF)) * np.uint64(n) + other.astype(np.uint64)) * np.uint64(2) + ((both >> np.uint64(16) & np.uint64(3)) == 0)
+        both.sort()
+        recent, both = both & bit == bit, both >> bit
+        pivot, other = (both // np.uint64(n) >> np.uint64(16)).astype(np.int64), (both % np.uint64(n)).astype(np.int64)
+        turn = _turns(pivot)
         inside = turn < members
         pivot, other, turn, recent = pivot[inside], other[inside], turn[inside], recent[inside]
         begin = np.flatnonzero(turn == 0)
@@ -454,7 +483,7 @@ def _local_join(k: int, members: int) -> Callable[[pa.Table], pa.Table]:
         begin, size = begin[by], size[by]
         bound = np.where(np.arange(len(ids) + 1) < len(ids), np.append(weakest, np.inf), np.inf).astype(np.float32)
         padded = np.concatenate([x, np.zeros((1, x.shape[1]), np.float32)])
-        got: list[tuple[np.ndarray, np.ndarray]] = []
+        got: list[np.ndarray] = []
         lo = 0
         while lo < len(begin) and size[lo] > 1:
             width = int(size[lo])
@@ -462,28 +491,37 @@ def _local_join(k: int, members: int) -> Callable[[pa.Table], pa.Table]:
             slot = begin[lo:hi, None] + np.arange(width)
             m = np.where(np.arange(width) < size[lo:hi, None], other[np.minimum(slot, len(other) - 1)], len(ids))
             v = padded[m]
-            sims = v @ v.transpose(0, 2, 1)
+            met = v @ v.transpose(0, 2, 1)
+            better = met > bound[m][:, :, None]
             r = recent[np.minimum(slot, len(other) - 1)]
-            q, i, j = np.nonzero((sims > bound[m][:, :, None]) & (r[:, :, None] | r[:, None, :]))
-            s, a, b = sims[q, i, j], m[q, i], m[q, j]
-            ok = (a != b) & (b < len(ids))
+            if not r.all():
+                better &= r[:, :, None] | r[:, None, :]
+            at = np.flatnonzero(better)
+            row = at // width
+            a, b, s = m.ravel()[row], m.ravel()[row // width * width + at - row * width], met.ravel()[at]
+            ok = (a != b) & (b < n)
             a, b, s = a[ok], b[ok], s[ok]
             ok = groups[a] != groups[b]
-            got.append((a[ok] * len(ids) + b[ok], s[ok]))
+            got.append(((a[ok] * n + b[ok]).astype(np.uint64) << np.uint64(16)) | _falling(s[ok].astype(np.float16)))
             lo = hi
-        key, s = (np.concatenate(c) for c in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0, np.float32))
+        found = np.concatenate(got) if got else np.zeros(0, np.uint64)
         got.clear()
-        key, first = np.unique(key, return_index=True)
-        a, b, s = key // len(ids), key % len(ids), s[first]
+        found.sort()
+        key = (found >> np.uint64(16)).astype(np.int64)
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = key[1:] != key[:-1]
+        key, found = key[fresh], found[fresh]
         if len(pairs):
-            spot = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-            fresh = pairs[spot] != key
-            a, b, s = a[fresh], b[fresh], s[fresh]
-        by = np.lexsort((-s, a))
-        a, b, s = a[by], b[by], s[by]
-        turn = np.arange(len(a)) - np.searchsorted(a, a)
+            fresh = pairs[np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)] != key
+            key, found = key[fresh], found[fresh]
+        a, b = np.divmod(key, n)
+        found = (a.astype(np.uint64) << np.uint64(16) | found & np.uint64(0xFFFF)) * np.uint64(n) + b.astype(np.uint64)
+        found.sort()
+        a, b = found // np.uint64(n), (found % np.uint64(n)).astype(np.int64)
+        s, a = _falling((a & np.uint64(0xFFFF)).astype(np.uint16)).astype(np.uint16).view(np.float16), (a >> np.uint64(16)).astype(np.int64)
+        turn = _turns(a)
         a, b, s, turn = a[turn < k], b[turn < k], s[turn < k], turn[turn < k]
-        rows, at = np.unique(a, return_inverse=True)
+        rows, at = a[turn == 0], np.cumsum(turn == 0) - 1
         out = np.zeros((len(rows), k), _EDGE)
         out["id"], out["part"], out["sim"], out["new"] = -1, -1, _NONE, 2
         out["id"][at, turn], out["part"][at, turn], out["sim"][at, turn] = ids[b], home[b], s
@@ -509,7 +547,8 @@ def _listed(k: int, at_least: float) -> Callable[[Iterator[pa.RecordBatch]], Ite
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch])
-            edges = np.sort(_unpacked(t["edges"], _EDGE), 1, order=["sim"])[:, ::-1][:, :k]
+            edges = _unpacked(t["edges"], _EDGE)
+            edges = np.take_along_axis(edges, np.lexsort((-edges["id"], _falling(edges["sim"])))[:, :k], 1)
             row, rank = np.nonzero((edges["id"] >= 0) & (edges["sim"] >= at_least))
             e = edges[row, rank]
             yield pa.RecordBatch.from_arrays(
@@ -801,7 +840,7 @@ def neighbour_graph(
     first = _fit_tree(drawn, depth, rng)
     second = _fit_tree(drawn[distinct], depth, rng, kinds[distinct])
     home = _cells(drawn[distinct], first, extra, rng)
-    located = scratch.cut(source.mapInArrow(_locator(home), _LOCATED))
+    located = scratch.cut(source.mapInArrow(_locator(home), _LOCATED), wide=True)
     heavy = None
     if n > 2 * block_rows:
         crowded = scratch.cut(located.groupBy("home").agg(F.count("*").alias("c")).where(F.col("c") > 2 * block_rows).select("home", F.ceil(F.col("c") / block_rows).cast("int").alias("parts")))
@@ -852,9 +891,10 @@ def copies_of(rows: DataFrame, record_id: str, group: str, vector: list[str]) ->
     keyed = rows.where(F.col(record_id).isNotNull() & F.col(group).isNotNull() & whole).select(
         F.col(record_id).cast("long").alias("member"), F.xxhash64(group).alias("g"), F.xxhash64(*vector).alias("h1"), F.xxhash64(F.lit(1), *vector).alias("h2")
     )
-    key = ["g", "h1", "h2"]
+    key, scratch = ["g", "h1", "h2"], Scratch(rows.sparkSession, "copies")
+    keyed = scratch.cut(keyed, wide=True)
     classes = keyed.groupBy(*key).agg(F.min("member").alias("representative"), F.count("*").alias("n")).where("n > 1")
-    classes = Scratch(rows.sparkSession, "copies").cut(classes)
+    classes = scratch.cut(classes)
     return keyed.join(classes, key).select("representative", "member")
 
 
@@ -897,7 +937,7 @@ def similar_pairs(rows: DataFrame, record_id: str, group: str, vector: list[str]
     both = pairs.join(packed.select(F.col("i").alias("a"), F.col("v").alias("va")), "a").join(packed.select(F.col("i").alias("b"), F.col("v").alias("vb")), "b")
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s * t), F.lit(0.0), lambda acc, s: acc + s)
     exact = both.where(dot("va", "vb") >= F.lit(at_least) * F.sqrt(dot("va", "va") * dot("vb", "vb"))).select("a", "b")
-    exact = scratch.cut(exact)
+    exact = scratch.cut(exact, wide=True)
     copies = scratch.cut(copies_of(rows, record_id, group, vector))
     left = exact.join(copies.withColumnRenamed("representative", "a").withColumnRenamed("member", "ma"), "a", "left")
     full = left.join(copies.withColumnRenamed("representative", "b").withColumnRenamed("member", "mb"), "b", "left")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WHOLE_STAGE = "spark.sql.codegen.wholeStage"
 
 
 def local_session(cores: str = "8", **conf: str) -> SparkSession:
@@ -63,16 +64,23 @@ class Scratch:
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:8]}"
         self.count = 0
 
-    def cut(self, df: DataFrame, files: int | None = None) -> DataFrame:
-        """Write df and return a scan of what was written. The shuffle files of the write go with its end: nothing reads them again."""
+    def cut(self, df: DataFrame, files: int | None = None, wide: bool = False) -> DataFrame:
+        """Write df and return a scan of what was written. The shuffle files of the write go with its end: nothing reads them again.
+
+        ``wide``: the plan computes on dozens of columns at once. Whole-stage code for these is one method too large for the JVM's compilers, so
+        it is planned without.
+        """
         self.count += 1
         path = f"{self.root}/{self.count:03d}"
-        before = self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")
+        conf = {_CLEANUP: "true"} | ({_WHOLE_STAGE: "false"} if wide else {})
+        before = {k: self.spark.conf.get(k, None) for k in conf}
         try:
+            for k, v in conf.items():
+                self.spark.conf.set(k, v)
             (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
         return out

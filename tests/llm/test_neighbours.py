@@ -1,6 +1,10 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
+from posemill import runtime
+from posemill.llm import neighbours
 from posemill.llm.neighbours import copies_of, greedy_search, neighbour_graph, neighbour_list, similar_pairs
 
 D = 12
@@ -189,3 +193,85 @@ def test_descent_is_what_finds_the_neighbours(spark):
         graph = neighbour_graph(df, "feature_id", "grp", names, block_rows=1000, leaf=64, trees=2, rounds=rounds)
         found[rounds] = np.mean([s[r["id"] // 100, r["neighbour"] // 100] >= least[r["id"] // 100] for r in neighbour_list(graph, 10).collect()])
     assert found[0] < 0.6 and found[6] > 0.9
+
+
+def test_largest_of_every_row():
+    rng = np.random.default_rng(1)
+    s = rng.normal(size=(50, 300)).astype(np.float32)
+    s[rng.random(s.shape) < 0.3] = -2
+    s[:5, :250], s[5, :] = 0, 1
+    for m in (1, 14, 300):
+        columns, values = neighbours._top(s, m)
+        assert (np.take_along_axis(s, columns, 1) == values).all() and all(len(set(c)) == m for c in columns.tolist())
+        assert (np.sort(values, 1) == np.sort(s, 1)[:, -m:]).all()
+
+
+def test_falling_numbers_of_half_precision():
+    half = np.array([-2, -1, -0.5, -6e-8, 0, 6e-8, 0.25, 1], np.float16)
+    numbers = neighbours._falling(half)
+    assert (np.diff(numbers.astype(np.int64)) < 0).all()
+    assert (neighbours._falling(numbers.astype(np.uint16)).astype(np.uint16).view(np.float16) == half).all()
+
+
+def test_join_in_a_block_meets_what_the_definition_says():
+    rng = np.random.default_rng(2)
+    n, k = 120, 5
+    half = rng.normal(size=(n, 8))
+    half = (half / np.linalg.norm(half, axis=1, keepdims=True)).astype(np.float16)
+    ids, groups = rng.permutation(n) * 1_000_003 + 2**40, rng.integers(0, 30, n)
+    cos = half.astype(np.float32) @ half.astype(np.float32).T
+    home = rng.integers(0, 2, n).astype(np.int32)
+    near = np.array([rng.choice(np.flatnonzero(groups != g), k, replace=False) for g in groups])
+    edges = neighbours._edges(near, np.take_along_axis(cos, near, 1), ids, home)
+    edges["new"] = rng.integers(0, 3, near.shape)
+    t = neighbours._graph_table(0, ids, groups, half, edges, np.zeros(n, np.int32)).set_column(0, "home", [pa.array(home)])
+    spread = neighbours._spread(t, edges, n)
+    got = neighbours._local_join(n, n)(spread.filter(pc.equal(spread["block"], 0)))
+    found = {(int(i), int(e["id"])): float(e["sim"]) for i, row in zip(got["id"].to_numpy(), neighbours._unpacked(got["edges"], neighbours._EDGE), strict=True) for e in row if e["id"] >= 0}
+
+    weakest, listed, known = edges["sim"].astype(np.float32).min(1), set(), {}
+    # rows of the other block come with their edges of the last two rounds that lead here
+    sent = [(i, j, new) for i in range(n) for j, new in zip(near[i].tolist(), edges["new"][i].tolist(), strict=True) if home[i] == 0 or (home[j] == 0 and new)]
+    here = {i for i in range(n) if home[i] == 0} | {i for i, _, _ in sent}
+    for i, j, new in sent:
+        if j in here:
+            listed.add((i, j))
+            for pair in ((i, j), (j, i)):
+                known[pair] = max(new, known.get(pair, 0))
+    wanted = {}
+    for pivot in range(n):
+        others = [(b, new) for (a, b), new in known.items() if a == pivot]
+        if home[pivot] == 0 and any(new == 2 for _, new in others):
+            for a, x in others:
+                for b, y in others:
+                    if 2 in (x, y) and groups[a] != groups[b] and cos[a, b] > weakest[a] and (a, b) not in listed:
+                        wanted[int(ids[a]), int(ids[b])] = cos[a, b]
+    assert wanted and found.keys() == wanted.keys() and all(abs(found[p] - wanted[p]) < 0.001 for p in wanted)
+    few = neighbours._local_join(2, n)(spread.filter(pc.equal(spread["block"], 0)))
+    for i, row in zip(few["id"].to_numpy(), neighbours._unpacked(few["edges"], neighbours._EDGE), strict=True):
+        best = sorted((s for (a, _), s in wanted.items() if a == i), reverse=True)[:2]
+        assert sorted((float(s) for s in row["sim"] if s > -2), reverse=True) == pytest.approx(best, abs=0.001)
+
+
+def test_listed_neighbours_begin_with_the_nearest():
+    edges = np.zeros((2, 4), neighbours._EDGE)
+    edges["id"], edges["sim"] = [[1, 2, 3, -1], [4, 5, 6, 7]], [[-0.5, 0.5, 0.25, -2], [0.5, 1, 0.5, 0.75]]
+    batch = pa.RecordBatch.from_arrays([pa.array([10, 11]), neighbours._packed(edges)], names=["id", "edges"])
+    out = next(neighbours._listed(3, -1.0)(iter([batch])))
+    assert list(zip(*(out[c].to_pylist() for c in ("id", "rank", "neighbour")), strict=True)) == [(10, 1, 2), (10, 2, 3), (10, 3, 1), (11, 1, 5), (11, 2, 7), (11, 3, 6)]
+
+
+def test_wide_plans_are_cut_without_whole_stage_code(spark, monkeypatch):
+    cuts, kept, cut = [], spark.conf.get("spark.sql.codegen.wholeStage"), runtime.Scratch.cut
+    monkeypatch.setattr(runtime.Scratch, "cut", lambda self, df, files=None, wide=False: (cuts.append(wide), cut(self, df, files, wide))[1])
+    rows = spark.createDataFrame([(i, f"g{i}", 1.0, 0.001 * i) for i in range(6)], "id long, g string, x double, y double")
+    graph = neighbour_graph(rows, "id", "g", ["x", "y"])
+    assert similar_pairs(rows, "id", "g", ["x", "y"], graph, 0.99).count() == 15
+    assert sum(cuts) == 3 and spark.conf.get("spark.sql.codegen.wholeStage") == kept  # vectors located, pairs computed again, keys of copies
+    seen = []
+    monkeypatch.undo()
+    write = type(rows.write).parquet
+    monkeypatch.setattr(type(rows.write), "parquet", lambda self, *a, **x: (seen.append(spark.conf.get("spark.sql.codegen.wholeStage")), write(self, *a, **x))[1])
+    runtime.Scratch(spark, "wide").cut(rows, wide=True)
+    runtime.Scratch(spark, "narrow").cut(rows)
+    assert seen == ["false", kept]
